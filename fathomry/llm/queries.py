@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import bpe, langid
+from fathomry.llm import bpe, jaccard, langid
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +27,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
-QUERIES = {"op8_language_id": op8_language_id, "op9_bpe": op9_bpe}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
 ORACLE_SQL: dict[str, str] = {}

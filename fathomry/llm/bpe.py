@@ -32,9 +32,9 @@ _SPLIT = re.compile(f"[{SPACES}]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 #: Distinct pieces that a task keeps; beyond it the cache starts anew. Changes time and memory, never results.
-CACHE_PIECES = 600_000
-#: Characters of text that are encoded together.
-BATCH_CHARS = 8_000_000
+CACHE_PIECES = 250_000
+#: Rows and characters of text that are encoded together.
+BATCH_ROWS, BATCH_CHARS = 1_000, 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -210,59 +210,73 @@ def _tokenizer(spec) -> PairIndexBpe:
     return _loaded[key]
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= BATCH_CHARS:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of at most BATCH_ROWS values, cut where BATCH_CHARS are reached: first row and values."""
+    for start in range(0, len(column), BATCH_ROWS):
+        values = [x or "" for x in column.slice(start, BATCH_ROWS).to_pylist()]
+        first = chars = 0
+        for k, x in enumerate(values):
+            chars += len(x)
+            if chars >= BATCH_CHARS or k == len(values) - 1:
+                yield start + first, values[first : k + 1]
+                first, chars = k + 1, 0
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, work) -> DataFrame:
-    """``df`` with column ``out`` that ``work`` makes from ``column``, by Arrow batches, without a shuffle."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, kind)])
+def _mapped(df: DataFrame, column: str, made: dict[str, T.DataType], work) -> DataFrame:
+    """``df`` with the columns that ``work`` makes from ``column``, by Arrow batches, without a shuffle."""
+    schema = T.StructType([f for f in df.schema.fields if f.name not in made] + [T.StructField(n, kind) for n, kind in made.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [n for n in batch.schema.names if n != out]
-            for made, start, length in work(batch.column(column)):
-                part = batch.slice(start, length)
-                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [made], names=[*keep, out])
+            keep = [n for n in batch.schema.names if n not in made]
+            for start, *out in work(batch.column(column)):
+                part = batch.slice(start, len(out[0]))
+                yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + out, names=[*keep, *made])
 
     return df.mapInArrow(run, schema)
 
 
+def _spec(df: DataFrame, path: str):
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the token ids of whole texts in ``out`` (array<int>), special tokens recognised and none added.
 
     Null and empty texts have no ids (an empty array). A column of ``docs`` named ``out`` is replaced; repeated
     rows are encoded alike. ``path`` is the tokenizer file on the driver; it is sent to the executors (under 2 MB).
     """
-    with open(path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+    spec = _spec(docs, path)
 
     def work(column: pa.Array):
-        tokenizer, texts = _tokenizer(spec), [x or "" for x in column.to_pylist()]
-        for start, end in _slices(texts):
-            yield tokenizer.encode(texts[start:end]).cast(pa.list_(pa.int32())), start, end - start
+        for start, texts in _parts(column):
+            yield start, _tokenizer(spec).encode(texts).cast(pa.list_(pa.int32()))
 
-    return _mapped(docs, text, out, T.ArrayType(T.IntegerType()), work)
+    return _mapped(docs, text, {out: T.ArrayType(T.IntegerType())}, work)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the decoded text of each id list in ``out``; null lists give null, empty ones an empty text."""
-    with open(path, encoding="utf-8") as f:
-        spec = encoded.sparkSession.sparkContext.broadcast(f.read())
+    spec = _spec(encoded, path)
+
+    def work(column: pa.Array):
+        for start in range(0, len(column), BATCH_ROWS):
+            yield start, _tokenizer(spec).decode(column.slice(start, BATCH_ROWS)).cast(pa.string())
+
+    return _mapped(encoded, ids, {out: T.StringType()}, work)
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` of the ids in one pass: ``docs`` with ``ids`` and ``decoded``, by the rules of both."""
+    spec = _spec(docs, path)
 
     def work(column: pa.Array):
-        for start in range(0, len(column), 500):
-            part = column.slice(start, 500)
-            yield _tokenizer(spec).decode(part).cast(pa.string()), start, len(part)
+        for start, texts in _parts(column):
+            ids = _tokenizer(spec).encode(texts).cast(pa.list_(pa.int32()))
+            yield start, ids, _tokenizer(spec).decode(ids).cast(pa.string())
 
-    return _mapped(encoded, ids, out, T.StringType(), work)
+    return _mapped(docs, text, {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, work)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -23,8 +23,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

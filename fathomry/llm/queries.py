@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import bpe, jaccard, langid
+from fathomry.llm import ann, bpe, jaccard, langid, mixing, vafile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_products(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.in_fold(0, 5)
@@ -30,5 +42,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op8_language_id": op8_language_id, "op9_bpe": op9_bpe, "op10_jaccard_join": op10_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_nearest_neighbours, op3_mix_sources, op4_exact_top_k, op8_language_id, op9_bpe, op10_jaccard_join)}
+ORACLE_SQL = {"op3_mix_sources": mixing.SQL, "op4_exact_top_k": vafile.SQL}

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.llm.common import small_side, stored
+
 #: Longest character n-gram of the backoff.
 ORDER = 5
 #: Labelled documents per language that the model is fitted on, about (a hash picks them). Bounds the model.
@@ -69,24 +71,23 @@ class BackoffModel:
     def fit(cls, docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> BackoffModel:
         """Fit on rows with a text and a lang, of which a hash of doc_id keeps about ``docs_per_language`` each."""
         docs = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-        rates = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("rate"))
+        rates = stored(docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("rate")), "rates")
         share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        sample = docs.join(rates, "lang").where(share < F.col("rate")).select("lang", "text")
-        counts = sample.mapInPandas(_counted, "lang string, n int, item string, k long").groupBy("lang", "n", "item").agg(F.sum("k").alias("k"))
+        sample = docs.join(small_side(rates), "lang").where(share < F.col("rate")).select("lang", "text")
+        counts = stored(sample.mapInPandas(_counted, "lang string, n int, item string, k long").groupBy("lang", "n", "item").agg(F.sum("k").alias("k")), "counts")
+        sums = counts.groupBy("lang", "n").agg(F.sum("k").alias("k")).toPandas()
+        langs = sorted(sums["lang"].unique())
         # What is seen once says little and would be most of the model; such words back off.
-        kept = counts.where("n = 0 or k > 1").toPandas()
-        langs = sorted(kept["lang"].unique())
+        each = F.map_from_entries(F.collect_list(F.struct("lang", "k")))
+        kept = counts.groupBy("n", "item").agg(each.alias("by"), F.sum("k").alias("all")).where("all > 1")
+        kept = kept.select("n", "item", *[F.coalesce(F.col("by")[x], F.lit(0)).cast("int").alias(f"k{i}") for i, x in enumerate(langs)])
         items, logs = [], []
         for n in range(ORDER + 1):
-            part = kept[kept["n"] == n]
-            totals = part.groupby("lang")["k"].sum().reindex(langs, fill_value=0).to_numpy(float)
-            seen = part.groupby("item")["k"].sum()
-            index = {x: k for k, x in enumerate(sorted(seen.index[seen > 1]))}
-            own = part[part["item"].isin(index)]
-            table = np.zeros((len(index), len(langs)))
-            table[own["item"].map(index).to_numpy(int), np.searchsorted(langs, own["lang"].to_numpy(str)) if len(own) else []] = own["k"]
-            items.append(index)
-            logs.append(np.log((table + SMOOTHING) / (totals + SMOOTHING * max(1, len(index)))))
+            part = kept.where(F.col("n") == n).drop("n").orderBy("item").toPandas()
+            totals = sums[sums["n"] == n].set_index("lang")["k"].reindex(langs, fill_value=0).to_numpy(float)
+            items.append({x: k for k, x in enumerate(part["item"])})
+            table = part[[f"k{i}" for i in range(len(langs))]].to_numpy(float)
+            logs.append(np.log((table + SMOOTHING) / (totals + SMOOTHING * max(1, len(part)))).astype(np.float32))
         return cls(langs, items, logs)
 
     def unseen(self, word: str) -> np.ndarray:

@@ -149,15 +149,15 @@ captures AS (
 hosts AS (
   SELECT host AS pattern, CAST('0x' || substr(md5(host), 1, 2) AS INT) AS number FROM (SELECT DISTINCT host FROM captures WHERE host <> '')),
 entries AS (
-  SELECT pattern, action, change, CAST(day AS TIMESTAMP) AS at FROM fixed
+  SELECT pattern, action, change, CAST(day AS TIMESTAMP) AS moment FROM fixed
   UNION ALL
   SELECT pattern, 'block', change, TIMESTAMP '2024-01-01' + to_days(number * 7 + more)
   FROM hosts, (VALUES ('add', 0), ('remove', 45), ('add', 90)) AS c(change, more) WHERE number < 32),
-moments AS (SELECT pattern, action, at, bool_or(change = 'add') AS valid FROM entries GROUP BY ALL),
+moments AS (SELECT pattern, action, moment, bool_or(change = 'add') AS valid FROM entries GROUP BY ALL),
 history AS (
-  SELECT * FROM (SELECT *, LEAD(at) OVER (PARTITION BY pattern, action ORDER BY at) AS until FROM moments) WHERE valid),
+  SELECT * FROM (SELECT *, LEAD(moment) OVER (PARTITION BY pattern, action ORDER BY moment) AS until FROM moments) WHERE valid),
 sized AS (
-  SELECT pattern, action, at AS since, until, len(string_split(string_split(pattern, '/')[1], '.')) AS labels,
+  SELECT pattern, action, moment AS since, until, len(string_split(string_split(pattern, '/')[1], '.')) AS labels,
          len(string_split(pattern, '/')) - 1 AS depth FROM history),
 tails AS (
   SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM captures WHERE host <> ''),

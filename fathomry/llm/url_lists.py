@@ -20,7 +20,7 @@ HOT_ROWS = 500_000
 
 def host(url: Column) -> Column:
     """The host in lower case, without port, user and final dots; null if there is none."""
-    found = F.rtrim(F.lit("."), F.lower(F.regexp_extract(url, URL, 1)))
+    found = F.rtrim(F.lower(F.regexp_extract(url, URL, 1)), F.lit("."))
     return F.when(found != "", found)
 
 
@@ -38,7 +38,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     rows count once.
     """
     parts = F.split(F.trim("pattern"), "/", 2)
-    name = F.rtrim(F.lit("."), F.lower(parts[0]))
+    name = F.rtrim(F.lower(parts[0]), F.lit("."))
     path = segments(F.coalesce(F.get(parts, 1), F.lit("")))
     rows = entries.where("pattern is not null and action is not null and change is not null and at is not null")
     rows = rows.select(name.alias("name"), path.alias("path"), "action", "at", (F.col("change") == "add").alias("on")).where("name <> ''")

@@ -10,7 +10,8 @@ The global order puts shingles of frequent counters last, so that common passage
 Groups of copies are not expanded into pairs. Documents of equal words are one node. Then every document is
 compared exactly with the first of each of a few min-hash buckets, which joins the large groups with a number of
 comparisons in proportion to the documents; the prefix join has to find only links between different
-components.
+components. Before texts are compared, a bound on what two sets can share after their prefixes leaves out
+most candidates.
 """
 
 from __future__ import annotations
@@ -140,25 +141,43 @@ def ordered_prefix(s: np.ndarray, level: np.ndarray, threshold: tuple[int, int]
     return s[: probe + k], index + k, k
 
 
+def _ends(own: np.ndarray, level: np.ndarray, at: int) -> int:
+    """Where the prefix of the first ``at`` tokens ends in the global order, to 56 bits of the token's hash."""
+    token = own[at - 1]
+    return (int(level[int(token % np.uint64(len(level)))]) << 56) | (int(token) >> 8)
+
+
 def _prefixes(reps: DataFrame, level, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Prefix tokens of documents (doc_id, text, component): token, doc, component, n, k, indexed."""
+    """Prefixes of documents (doc_id, text, component): doc, component, n, k, index_n, probe_end, index_end, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, tokens, indexed = [], [], []
-            for text in batch.column("text").to_pylist():
+            rows = []
+            for doc, component, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "text")), strict=True):
                 s = shingles(word_list(text), size)
-                own, index, k = ordered_prefix(s, level.value, threshold) if len(s) else (s, 0, 1)
-                tokens.append(own)
-                indexed.append(np.arange(len(own)) < index)
-                rows.append((len(own), len(s), k))
-            if rows:
-                reps, n, k = np.array(rows, np.int64).T
-                again = lambda name: np.repeat(batch.column(name).to_numpy(zero_copy_only=False), reps)
-                cols = [np.concatenate(tokens).view(np.int64), again("doc_id"), again("component"), np.repeat(n, reps), np.repeat(k, reps).astype(np.int32), np.concatenate(indexed)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "doc", "component", "n", "k", "indexed"])
+                if len(s):
+                    own, index, k = ordered_prefix(s, level.value, threshold)
+                    rows.append((doc, component, len(s), k, index, _ends(own, level.value, len(own)), _ends(own, level.value, index), own.view(np.int64)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["doc", "component", "n", "k", "index_n", "probe_end", "index_end", "tokens"])
+
+    return reps.select("doc_id", "text", "component").mapInArrow(run, "doc long, component long, n long, k int, index_n int, probe_end long, index_end long, tokens array<long>")
+
 
-    return reps.select("doc_id", "text", "component").mapInArrow(run, "token long, doc long, component long, n long, k int, indexed boolean")
+def _enough(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u the larger set, v, c shared prefix tokens) that can still reach the threshold, without their texts.
+
+    Of two prefixes, the one that ends first in the global order has met all that both sets share up to there; what
+    follows it is all that may be added. Where the ends can't be told apart, either bound may hold.
+    """
+    p, q = threshold
+    info = docs.select("doc", "n", "k", F.size("tokens").alias("probe_n"), "index_n", "probe_end", "index_end")
+    x = small_side(info.select(F.col("doc").alias("u"), F.col("n").alias("un"), F.col("k").alias("uk"), "probe_n", "probe_end"))
+    y = small_side(info.select(F.col("doc").alias("v"), F.col("n").alias("vn"), F.col("k").alias("vk"), "index_n", "index_end"))
+    after_u, after_v = f"{p + q} * (c + un - probe_n) >= {p} * (un + vn)", f"{p + q} * (c + vn - index_n) >= {p} * (un + vn)"
+    fits = f"c >= least(uk, vk) and (probe_end <= index_end and {after_u} or index_end <= probe_end and {after_v})"
+    return pairs.join(x, "u").join(y, "v").where(fits).select("u", "v")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
@@ -223,14 +242,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     # Prefixes of one document of each node; only tokens that meet in two components can make new links.
     reps = nodes.select(F.col("node").alias("doc_id")).distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     reps = stored(reps.select("doc_id", F.coalesce("component", "doc_id").alias("component")), "reps")
-    prefixes = _prefixes(docs.join(small_side(reps), "doc_id"), level, words, threshold)
+    tables = stored(_prefixes(docs.join(small_side(reps), "doc_id"), level, words, threshold), "prefixes")
+    prefixes = tables.select("doc", "component", "n", "index_n", F.posexplode("tokens").alias("pos", "token"))
+    prefixes = prefixes.select("token", "doc", "component", "n", (F.col("pos") < F.col("index_n")).alias("indexed"))
     shared = prefixes.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     shared = stored(shared, "tokens")
-    met = stored(prefixes.join(small_side(shared), "token", "left_semi"), "prefixes")
+    met = stored(prefixes.join(small_side(shared), "token", "left_semi"), "met")
     p, q = threshold
     x, y = met.alias("x"), met.where("indexed").alias("y")
     fits = F.expr(f"x.token = y.token and x.component <> y.component and (y.n < x.n or y.n = x.n and y.doc < x.doc) and {q} * y.n >= {p} * x.n")
-    pairs = x.join(y, fits).groupBy(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("x.k", "y.k")).alias("k")).where("c >= k").select("u", "v")
+    counts = x.join(y, fits).groupBy(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    pairs = _enough(counts, tables, threshold)
     more = stored(_linked(pairs, docs, words, threshold), "links")
 
     final = components(links.unionAll(more)).withColumnRenamed("node", "doc_id")

@@ -36,7 +36,9 @@ BLOCK_ROWS = 2_048
 #: Labelled rows that the model is fitted on, about (a hash of the conversation picks them), and their first turns used.
 SAMPLE_ROWS, SAMPLE_TURNS = 50_000, 64
 #: Chances: a turn begins inside a row; a beginning has a marker, or another role's; a line that goes on looks like one.
-BEGIN_INSIDE, MARKED, MISMARKED, SEEMING = 0.02, 0.45, 0.005, 0.003
+BEGIN_INSIDE, MARKED, MISMARKED, SEEMING = 0.02, 0.45, 0.0001, 0.0001
+#: Added to the count of every line feature.
+SMOOTHING = 5.0
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -75,8 +77,8 @@ class TurnModel:
         self.codes = {}
         for first in (True, False):
             totals = np.array([sum(k for (r, f, _), k in seen.items() if r == role and f == first) for role in self.roles])
-            self.codes[first] = {code: np.log([(seen.get((r, first, code), 0) + 0.5) / (t + 0.5 * (len(codes) + 1)) for r, t in zip(self.roles, totals, strict=True)]) for code in codes}
-            self.codes[first][None] = np.log(0.5 / (totals + 0.5 * (len(codes) + 1)))
+            self.codes[first] = {code: np.log([(seen.get((r, first, code), 0) + SMOOTHING) / (t + SMOOTHING * (len(codes) + 1)) for r, t in zip(self.roles, totals, strict=True)]) for code in codes}
+            self.codes[first][None] = np.log(SMOOTHING / (totals + SMOOTHING * (len(codes) + 1)))
         self.begin = {None: np.full(n, np.log(1 - MARKED - MISMARKED))} | {m: np.log([MARKED if r == m else MISMARKED / (n - 1) for r in self.roles]) for m in set(ALIASES.values())}
 
     def emissions(self, line: str, first: bool) -> tuple[np.ndarray, np.ndarray]:

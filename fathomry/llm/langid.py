@@ -57,6 +57,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for g in grams(word, n):
                         counts[n][g] += k
             for n, c in enumerate(counts):
+                if not c:
+                    continue
                 yield pd.DataFrame({"lang": lang, "n": n, "item": list(c.keys()), "k": list(c.values())})
 
 

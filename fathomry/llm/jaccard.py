@@ -37,6 +37,8 @@ BINS, BUCKET_BINS, PROMISING = 32, 8, 0.55
 #: Frequency counters: one for so many bytes of text, but at most 16 M (16 MB broadcast). Beyond, only the order gets coarser.
 BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 24
 _PARTS = 16
+#: Shared tokens that are broadcast; more are joined by a shuffle.
+BROADCAST_TOKENS = 50_000
 
 
 class _Hashes(dict):
@@ -247,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     prefixes = prefixes.select("token", "doc", "component", "n", (F.col("pos") < F.col("index_n")).alias("indexed"))
     shared = prefixes.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     shared = stored(shared, "tokens")
-    met = stored(prefixes.join(small_side(shared), "token", "left_semi"), "met")
+    met = stored(prefixes.join(small_side(shared, BROADCAST_TOKENS), "token", "left_semi"), "met")
     p, q = threshold
     x, y = met.alias("x"), met.where("indexed").alias("y")
     fits = F.expr(f"x.token = y.token and x.component <> y.component and (y.n < x.n or y.n = x.n and y.doc < x.doc) and {q} * y.n >= {p} * x.n")

@@ -4,13 +4,14 @@ Lines are parsed by token count and leading tokens; fields that vary are general
 across documents are dropped. Tokens that hold a digit are variable from the start. Distinct parsed lines are
 counted over distinct texts first, so that very common lines don't meet in one task; only leaves whose lines occur in
 enough texts are clustered by similarity, each a group of bounded size: a leaf that holds too many lines is
-parsed by more leading tokens.
+dealt out to several tasks, whose templates are merged until no two of the leaf are similar.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.llm.common import BROADCAST_ROWS, small_side, stored
+from fathomry.llm.components import components
 
-#: Leading tokens of a leaf; the next numbers are for leaves with more than LEAF_LINES distinct lines.
-DEPTHS = (3, 6, 12)
+#: Leading tokens of a leaf.
+DEPTH = 3
+#: A task clusters so many distinct lines at once (twice as many when two chunks of a large leaf meet).
 LEAF_LINES = 1_024
 #: Templates of fewer tokens say too little.
 LEAST_TOKENS = 3
@@ -38,7 +41,9 @@ FIELDS = 64
 _DIGITS = re.compile(r"\S*\d\S*")
 _digest = xxhash.xxh3_64_intdigest
 _SIGN = 1 << 63
-_LEVELS = [f"d{k}" for k in range(len(DEPTHS))]
+#: A template's position in which its lines differ.
+_WILD = -_SIGN
+_CHUNK = "line long, leaf long, texts long, fields array<long>, key long, size long, chunks long, chunk long"
 
 
 def _key(tokens: str) -> int:
@@ -58,8 +63,8 @@ def parsed_lines(text: str | None) -> list[tuple[int, list[str]]]:
     return out
 
 
-def _leaf(tokens: list[str], depth: int) -> int:
-    return _key(f"{len(tokens)} {' '.join(tokens[:depth])}")
+def _leaf(tokens: list[str]) -> int:
+    return _key(f"{len(tokens)} {' '.join(tokens[:DEPTH])}")
 
 
 def fields(tokens: list[str]) -> list[int]:
@@ -81,7 +86,7 @@ def _lines(texts: DataFrame) -> DataFrame:
                 own: dict[int, int] = {}
                 for key, tokens in parsed_lines(text):
                     if key and key not in own:
-                        own[key] = _leaf(tokens, DEPTHS[0])
+                        own[key] = _leaf(tokens)
                 lines += own.keys()
                 leaves += own.values()
                 sizes.append(len(own))
@@ -92,7 +97,7 @@ def _lines(texts: DataFrame) -> DataFrame:
 
 
 def _shapes(texts: DataFrame) -> DataFrame:
-    """line, d0.. (digests of the leaves at each depth) and fields of the ``wanted`` lines of each text."""
+    """line and fields of the ``wanted`` lines of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,18 +107,18 @@ def _shapes(texts: DataFrame) -> DataFrame:
                 for key, tokens in parsed_lines(text):
                     if key in wanted:
                         wanted.remove(key)
-                        rows.append((key, *(_leaf(tokens, d) for d in DEPTHS), fields(tokens)))
-            cols = list(zip(*rows, strict=True)) or [[]] * (len(DEPTHS) + 2)
-            kinds = [pa.int64()] * (len(DEPTHS) + 1) + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["line", *_LEVELS, "fields"])
+                        rows.append((key, fields(tokens)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64()))], names=["line", "fields"])
 
-    return texts.select("text", "wanted").mapInArrow(run, f"line long, {', '.join(f'{d} long' for d in _LEVELS)}, fields array<long>")
+    return texts.select("text", "wanted").mapInArrow(run, "line long, fields array<long>")
 
 
-def clusters(table: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The template number of each row of field digests, in order; fields in which a template's lines differ don't count as equal.
+def generalised(table: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The template number of each row of field digests, in order, and the templates; fields in which a template's lines differ are _WILD and don't count as equal.
 
-    A line joins the most similar template, the first of equal ones, and generalises it.
+    A line (or template) joins the most similar template, the first of equal ones, and generalises it. As templates
+    only lose fields, no two of those that come out are similar, nor will be.
     """
     n, width = table.shape
     templates, fixed = np.empty_like(table), np.ones((n, width), bool)
@@ -127,15 +132,99 @@ def clusters(table: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
                 fixed[best] &= templates[best] == row
                 continue
         templates[count] = row
+        fixed[count] = row != _WILD
         out[k] = count
         count += 1
-    return out
+    return out, np.where(fixed[:count], templates[:count], _WILD)
+
+
+def clusters(table: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The template number of each row of field digests, in order."""
+    return generalised(table, similarity)[0]
 
 
 def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Template numbers of one leaf's lines, the more frequent lines first."""
+    """Templates of one leaf's lines, the more frequent lines first; each has the digest of its first line."""
+    pdf = pdf.sort_values(["texts", "line"], ascending=[False, True])
+    found = clusters(np.stack(pdf["fields"].to_numpy()))
+    return pd.DataFrame({"line": pdf["line"], "template": pdf["line"].to_numpy()[np.unique(found, return_index=True)[1]][found]})
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One chunk's lines or templates and what they join (``into``, itself for those that stay, with generalised fields)."""
     pdf = pdf.sort_values(["texts", "line"], ascending=[False, True])
-    return pd.DataFrame({"line": pdf["line"], "leaf": pdf["leaf"], "template": clusters(np.stack(pdf["fields"].to_numpy()))})
+    found, made = generalised(np.stack(pdf["fields"].to_numpy()))
+    first = np.unique(found, return_index=True)[1]
+    stays = np.zeros(len(pdf), bool)
+    stays[first] = True
+    rows = [made[k] if one else None for k, one in zip(found, stays, strict=True)]
+    return pdf.drop(columns="group").assign(fields=rows, into=pdf["line"].to_numpy()[first][found])
+
+
+def _block_key(block: int):
+    """A digest of the block-th stretch of a line's fields, null if the line has fewer stretches or a field of it varies.
+
+    The positions after the leaf's own are cut into one stretch more than similar lines may differ in, so that any two
+    similar ones agree in a whole stretch.
+    """
+
+    @F.pandas_udf("long")
+    def run(rows: pd.Series) -> pd.Series:
+        out = []
+        for row in rows:
+            n = len(row)
+            same = DEPTH if n < FIELDS else 0  # the stretches of a long line don't end where the leaf's tokens do
+            blocks = min(n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1, n - same)
+            own = row[same + block * (n - same) // blocks : same + (block + 1) * (n - same) // blocks] if block < blocks else row[:0]
+            out.append(_digest(np.asarray(own, np.int64).tobytes()) - _SIGN if len(own) and _WILD not in own else None)
+        return pd.Series(out, dtype="Int64")
+
+    return run(F.col("fields"))
+
+
+def _dealt(live: DataFrame, salt: int) -> DataFrame:
+    """``live`` with the size of a row's group (leaf, key), the group's number of chunks, a power of two, and the row's chunk."""
+    sizes = live.groupBy("leaf", "key").count()
+    sizes = stored(sizes.select("leaf", "key", F.col("count").alias("size"), F.expr(f"cast(pow(2, ceil(log2(greatest(count / {LEAF_LINES}D, 1)))) as long)").alias("chunks")), "sizes")
+    out = live.join(small_side(sizes), ["leaf", "key"])
+    return stored(out.select("line", "leaf", "texts", "fields", "key", "size", "chunks", F.expr(f"pmod(xxhash64(line, {salt}), chunks)").alias("chunk")), "chunks")
+
+
+def _met(chunks: DataFrame, links: list[DataFrame], turn: int = 0) -> DataFrame:
+    """What stays of ``chunks`` when chunk c of each group has met chunk c xor ``turn``; what joined another goes to ``links``."""
+    group = F.xxhash64("leaf", "key", F.expr(f"least(chunk, chunk ^ {turn}L)"))
+    rows = chunks.where(f"chunks > {turn}").select("line", "leaf", "texts", "fields", "key", "size", "chunks", "chunk", group.alias("group"))
+    out = stored(rows.groupBy("group").applyInPandas(_merge, f"{_CHUNK}, into long"), "merged")
+    links.append(out.where("line <> into").select(F.col("line").alias("u"), F.col("into").alias("v")))
+    return out.where("line = into").drop("into").unionByName(chunks.where(f"chunks <= {turn}"))
+
+
+def _merged_leaves(rows: DataFrame) -> DataFrame:
+    """Templates of leaves with more than LEAF_LINES lines: line, template; lines that are like no other are left out.
+
+    A leaf is dealt out to chunks, and their templates are dealt out anew as long as they get much fewer. In leaves
+    that stay large, all that agree in a stretch of fields meet; if those are many, each of their chunks meets each other.
+    """
+    links: list[DataFrame] = []
+    stuck, salt = [], 0
+    live = rows.select("line", "leaf", "texts", "fields", F.lit(1 << 62).alias("key"))  # the key: the leaf's size before
+    while True:
+        chunks = _dealt(live, salt)
+        stuck.append(chunks.where("chunks > 1 and size > 0.8D * key").select("line", "leaf", "texts", "fields"))
+        chunks = chunks.where("chunks = 1 or size <= 0.8D * key")
+        if not chunks.limit(1).count():
+            break
+        left = _met(chunks, links).where("chunks > 1")  # a leaf in one chunk is done
+        live, salt = left.select("line", "leaf", "texts", "fields", F.col("size").alias("key")), salt + 1
+    live = stored(reduce(DataFrame.unionAll, stuck), "stuck")
+    widest = live.agg(F.max(F.size("fields"))).first()[0] or 0
+    for block in range(int(widest * (1 - SIMILARITY)) + 2 if widest else 0):
+        keyed = stored(live.withColumn("key", _block_key(block)), "keyed")
+        chunks = _dealt(keyed.where("key is not null"), 0)
+        for turn in range(chunks.agg(F.max("chunks")).first()[0] or 0):
+            chunks = _met(chunks, links, turn)
+        live = keyed.where("key is null").unionByName(chunks.select(*keyed.columns)).drop("key")
+    return components(reduce(DataFrame.unionAll, links)).withColumnRenamed("node", "line").withColumnRenamed("component", "template")
 
 
 def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
@@ -151,22 +240,18 @@ def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST
     leaves = stored(leaves.where((F.col("texts") >= least_texts) & (F.col("lines") > 1)).select("leaf"), "leaves")
     some = stored(counts.join(small_side(leaves), "leaf", "left_semi"), "candidates")
     wanted = stored(some.groupBy("text_key").agg(F.collect_list("line").alias("wanted")), "wanted")
-    shapes = _shapes(texts.join(small_side(wanted, BROADCAST_ROWS // 10), "text_key")).groupBy("line").agg(*[F.first(c).alias(c) for c in (*_LEVELS, "fields")])
-    rows = stored(some.select("line", "texts").join(shapes, "line"), "shapes")
-
-    leaf = F.col("line")
-    marked = rows
-    for level in reversed(_LEVELS):
-        large = rows.groupBy(level).count().where(F.col("count") > LEAF_LINES)
-        large = stored(large.select(F.col(level).alias("_level"), F.lit(True).alias(f"large_{level}")), "large")
-        marked = marked.join(small_side(large), F.col(level) == F.col("_level"), "left").drop("_level")
-        leaf = F.when(F.col(f"large_{level}").isNull(), F.col(level)).otherwise(leaf)
-    grouped = marked.select("line", "texts", leaf.alias("leaf"), "fields")
-    found = stored(grouped.groupBy("leaf").applyInPandas(_templates, "line long, leaf long, template long"), "templates")
+    shapes = _shapes(texts.join(small_side(wanted, BROADCAST_ROWS // 10), "text_key")).groupBy("line").agg(F.first("fields").alias("fields"))
+    rows = stored(some.select("line", "leaf", "texts").join(shapes, "line"), "shapes")
+
+    large = stored(rows.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"), "large")
+    grouped = rows.join(small_side(large), "leaf", "left_anti")
+    found = stored(grouped.groupBy("leaf").applyInPandas(_templates, "line long, template long"), "templates")
+    if large.limit(1).count():
+        found = found.unionByName(stored(_merged_leaves(rows.join(small_side(large), "leaf", "left_semi")), "templates"))
 
     # The different texts of a template's several lines.
-    several = found.groupBy("leaf", "template").count().where("count > 1").drop("count")
-    members = stored(found.join(several, ["leaf", "template"]).select("line", F.xxhash64("leaf", "template").alias("template")), "members")
+    several = found.groupBy("template").count().where("count > 1").drop("count")
+    members = stored(found.join(several, "template").select("line", "template"), "members")
     spread = lines.select("text_key", "line").join(small_side(members), "line").select("template", "text_key").distinct()
     wide = stored(spread.groupBy("template").count().where(F.col("count") >= least_texts).select("template"), "wide")
     more = members.join(small_side(wide), "template", "left_semi").select("line")

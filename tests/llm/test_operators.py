@@ -242,6 +242,28 @@ def test_line_dedup(spark):
     assert templates.drop_recurring(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_large_leaves(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    own = lambda: " ".join(word() for _ in range(24))
+    # One template with more fillers than a task takes.
+    texts = [f"{own()}\nThe user called {word()} has joined the open channel today\n{own()}" for _ in range(1_100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = templates.drop_recurring(docs).collect()
+    assert all(r.lines_dropped == 1 and "joined" not in r.text for r in rows)
+    # A few rare templates in a leaf of many lines that are like no other, of which many share a stretch of words.
+    monkeypatch.setattr(templates, "LEAF_LINES", 64)
+    ends = [" ".join(word() for _ in range(6)) for _ in range(3)]
+    rare = [f"It is said {word()} {ends[k % 3]} {word()}" for k in range(18)]
+    plain = [f"It is said {word()} {word()} {word()} {word()} {word()} {word()} {word()} {word()}" for _ in range(150)]
+    shared = [f"It is said {word()} {word()} {word()} {word()} {word()} {word()} over there" for _ in range(150)]
+    short = [f"Posted here by {word()}" for _ in range(300)]
+    lines = rare + short + plain + shared
+    docs = spark.createDataFrame([(k, f"{own()}\n{x}\n{own()}") for k, x in enumerate(lines)], "doc_id long, text string")
+    dropped = {r.doc_id for r in templates.drop_recurring(docs).where("lines_dropped > 0").collect()}
+    assert dropped == set(range(len(rare + short)))
+
+
 def test_clusters_generalise():
     table = np.array([[1, 2, 3, 4], [1, 2, 3, 9], [1, 2, 8, 9], [5, 6, 7, 8]])
     assert templates.clusters(table, 0.7).tolist() == [0, 0, 1, 2]

@@ -123,3 +123,13 @@ def test_stream(spark, tmp_path):
         outbox.start(outbox.event_stream(spark, str(tmp_path / "events")), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
     assert {tuple(r) for r in outbox.indexed(spark, str(tmp_path / "index")).collect()} == {(1, 4, "d"), (2, 1, "c")}
     assert [tuple(r) for r in outbox.sequence_gaps(events).collect()] == [(1, 2, 4)]
+
+
+def test_stream_of_files_that_overlap_in_time(spark, tmp_path):
+    ends = F.expr("id div 100 * 7 % 16 * 86400")  # documents of a file end at different times
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") % 100 * 21_600 + ends)
+    events = spark.range(1_600).select(F.expr("id div 100").alias("doc_id"), (F.col("id") % 100 + 1).alias("version"), F.md5(F.col("id").cast("string")).alias("hash"), ts.alias("ts"))
+    events.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id", "ts").write.parquet(str(tmp_path / "events"))
+    assert len(list((tmp_path / "events").glob("*.parquet"))) == 8
+    outbox.start(outbox.event_stream(spark, str(tmp_path / "events")), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
+    assert {tuple(r) for r in outbox.indexed(spark, str(tmp_path / "index")).collect()} == {tuple(r) for r in outbox.latest(events).collect()}

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.llm import jaccard
 from fathomry.llm.common import BROADCAST_ROWS, small_side, stored
 from fathomry.llm.components import components
 
@@ -33,8 +34,6 @@ LEAST_TOKENS = 3
 LEAST_TEXTS = 5
 #: Lines of which so large a share of fields agrees belong to one template.
 SIMILARITY = 0.7
-#: A document whose recurring lines hold more than this share of its characters is a copy as a whole and stays as it is.
-MOST_SHARE = 0.5
 #: Positions that are compared; a longer line's tokens are compared in as many equal stretches.
 FIELDS = 64
 
@@ -228,12 +227,12 @@ def _merged_leaves(rows: DataFrame) -> DataFrame:
 
 
 def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
-    """The digests of lines whose template occurs in at least ``least_texts`` of the texts: line.
+    """The digests of lines that occur, or whose template does, in at least ``least_texts`` of the texts: line, template (null for a line alone).
 
     ``texts`` has text_key and text, ``lines`` is what ``_lines`` makes of them, once for each text_key and line.
     """
     counts = stored(lines.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("text_key").alias("text_key")), "line-counts")
-    often = counts.where(F.col("texts") >= least_texts).select("line")
+    often = counts.where(F.col("texts") >= least_texts).select("line", F.lit(None).cast("long").alias("template"))
 
     # Leaves in which several lines may form a template. Their shapes come from one text each.
     leaves = counts.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("lines"))
@@ -254,11 +253,27 @@ def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST
     members = stored(found.join(several, "template").select("line", "template"), "members")
     spread = lines.select("text_key", "line").join(small_side(members), "line").select("template", "text_key").distinct()
     wide = stored(spread.groupBy("template").count().where(F.col("count") >= least_texts).select("template"), "wide")
-    more = members.join(small_side(wide), "template", "left_semi").select("line")
+    more = members.join(small_side(wide), "template", "left_semi").select("line", "template")
+    return often.unionAll(more)
+
+
+def _apart(texts: DataFrame, hits: DataFrame, least_texts: int) -> DataFrame:
+    """The lines that still recur when a group of near duplicates counts as one text: line.
+
+    ``hits`` has text_key, line and template. Only texts that hold recurring lines are grouped; others count for none.
+    """
+    own = texts.join(small_side(stored(hits.select("text_key").distinct(), "hit-texts")), "text_key", "left_semi")
+    own = stored(own.groupBy(F.col("text_key").alias("doc_id")).agg(F.first("text").alias("text")), "hit-texts")
+    groups = stored(jaccard.near_duplicates(own).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("near")), "near")
+    counted = stored(hits.join(small_side(groups), "text_key").select("line", "template", "near").distinct(), "counted")
+    often = counted.where("template is null").groupBy("line").count().where(F.col("count") >= least_texts).select("line")
+    wide = counted.where("template is not null").select("template", "near").distinct().groupBy("template").count()
+    wide = stored(wide.where(F.col("count") >= least_texts).select("template"), "wide")
+    more = counted.select("line", "template").distinct().join(small_side(wide), "template", "left_semi").select("line")
     return often.unionAll(more).distinct()
 
 
-def _without(most_share: float):
+def _without():
     @F.pandas_udf("text string, lines_dropped long")
     def run(text: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
@@ -267,24 +282,19 @@ def _without(most_share: float):
                 out.append((None, 0))
                 continue
             own = set(own)
-            parts = x.split("\n")
             gone = [key in own for key, _ in parsed_lines(x)]
-            size = sum(len(p) for p, g in zip(parts, gone, strict=True) if g)
-            if size > most_share * sum(map(len, parts)):
-                out.append((x, 0))
-            else:
-                out.append(("\n".join(p for p, g in zip(parts, gone, strict=True) if not g), sum(gone)))
+            out.append(("\n".join(p for p, g in zip(x.split("\n"), gone, strict=True) if not g), sum(gone)))
         return pd.DataFrame(out, columns=["text", "lines_dropped"])
 
     return run
 
 
-def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_share: float = MOST_SHARE) -> DataFrame:
+def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
     """``docs`` (text and any other columns) without the lines whose template recurs, and with ``lines_dropped`` (long).
 
-    A template recurs if it occurs in at least ``least_texts`` different texts; exact copies of a text count as one.
-    Templates of fewer than LEAST_TOKENS tokens say too little and stay. Documents of which recurring lines
-    hold more than ``most_share`` of the characters are copies as a whole: they stay, for document deduplication. Lines
+    A template recurs if it occurs in at least ``least_texts`` different texts; exact copies of a text count as one,
+    and so do near duplicates (word 5-grams with a Jaccard similarity of 0.75), which are left to document deduplication.
+    Templates of fewer than LEAST_TOKENS tokens say too little and stay. Lines
     end at a newline; other lines, blank ones included, stay as they are, in order. Null and empty texts stay,
     repeated rows are treated alike, and a column lines_dropped is replaced. No row goes. An empty table gives an empty result.
     """
@@ -292,9 +302,11 @@ def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_share:
     texts = docs.where("text <> ''").select(F.xxhash64("text").alias("text_key"), "text")
     lines = stored(_lines(texts).distinct(), "lines")
     recurring = stored(recurring_lines(texts, lines, least_texts), "recurring")
+    hits = stored(lines.select("text_key", "line").join(small_side(recurring), "line"), "hits")
+    recurring = stored(_apart(texts, hits, least_texts), "recurring")
     hit = lines.join(small_side(recurring), "line").groupBy("text_key").agg(F.collect_set("line").alias("_found"))
     hit = stored(hit.withColumnRenamed("text_key", "_text_key"), "hit")
     out = docs.join(small_side(hit, BROADCAST_ROWS // 10), F.xxhash64("text") == F.col("_text_key"), "left")
-    out = out.withColumn("_kept", _without(most_share)(F.when(F.col("_found").isNotNull(), F.col("text")), F.col("_found")))
+    out = out.withColumn("_kept", _without()(F.when(F.col("_found").isNotNull(), F.col("text")), F.col("_found")))
     text = F.when(F.col("_found").isNotNull(), F.col("_kept.text")).otherwise(F.col("text"))
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], F.coalesce("_kept.lines_dropped", F.lit(0)).cast("long").alias("lines_dropped"))

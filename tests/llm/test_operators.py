@@ -242,6 +242,16 @@ def test_line_dedup(spark):
     assert templates.drop_recurring(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_mostly_recurring_documents(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    passages = [own(60) for _ in range(2)]
+    texts = [f"{own(25)}\n{passages[k % 2]}" for k in range(12)]  # most of each recurs, but none is near another
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = templates.drop_recurring(docs).collect()
+    assert all(r.text == texts[r.doc_id].split("\n")[0] and r.lines_dropped == 1 for r in rows) and len(rows) == 12
+
+
 def test_line_dedup_of_large_leaves(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=7))

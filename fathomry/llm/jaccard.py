@@ -7,11 +7,12 @@ is compared exactly if it shares at least the smaller k of the two.
 
 The global order puts shingles of frequent counters last, so that common passages stay out of prefixes.
 
-Groups of copies are not expanded into pairs. Documents of equal words are one node. Then every document is
-compared exactly with the first of each of a few min-hash buckets, which joins the large groups with a number of
-comparisons in proportion to the documents; the prefix join has to find only links between different
-components. Before texts are compared, a bound on what two sets can share after their prefixes leaves out
-most candidates.
+Groups of copies are not expanded into pairs. Documents of equal sets are one node. Then every document is
+compared exactly with the pivot of each of a few min-hash buckets, its most central member, which joins the large
+groups with a number of comparisons in proportion to the documents; the prefix join has to find only links between
+different components. Two documents around one pivot that share too little with it can only link through shingles
+that the pivot lacks: such pairs are sought by these few shingles alone, not by what the whole group has in common.
+Before texts are compared, a bound on what two sets can share after their prefixes leaves out most candidates.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,70 +41,89 @@ BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 24
 _PARTS = 16
 #: Shared tokens that are broadcast; more are joined by a shuffle.
 BROADCAST_TOKENS = 50_000
+#: A task hashes the words of about so many bytes of text at once.
+SLICE_BYTES = 1 << 21
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept within a task; starts anew when large."""
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, in stretches of about SLICE_BYTES or of one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(ends)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield texts.slice(a, b - a)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin and end. Words stand between the six ASCII spaces; A-Z in lower case."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+    names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    full = np.fromiter(map(len, names), np.int64, len(names))[at] > 0  # spaces at an end leave an empty word
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[at]
+    return h[full], np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy()]
 
-_hashes = _Hashes()
 
-
-def word_list(text: str | None) -> list[bytes]:
-    """Words between the six ASCII spaces, A-Z in lower case."""
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of fewer words, the one of them all; of none, none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(h))
-    last = len(h) - size + 1
+def _mixed(h: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each ``size`` words in a row."""
+    last = max(0, len(h) - size + 1) if size else 0
     out = np.full(last, size, np.uint64)
     for k in range(size):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + last]
     out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(31)))
+    return out ^ (out >> np.uint64(31))
+
+
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles; of fewer words, the one of them all; of none, none."""
+    for part in _slices(texts):
+        h, offsets = word_hashes(part)
+        rows = _mixed(h, size)
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            yield np.unique(rows[a : b - size + 1] if b - a >= size else _mixed(h[a:b], b - a))
+
+
+def _list_column(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.LargeListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *(a.view(np.int64) for a in arrays)])).cast(pa.list_(pa.int64()))
 
 
-def _signature(s: np.ndarray) -> list[int]:
+def _signature(s: np.ndarray) -> np.ndarray:
     """The smallest hash of each bin by the leading bits, -1 for an empty bin."""
     edges = np.searchsorted(s, np.arange(BINS, dtype=np.uint64) << np.uint64(59))
     ends = np.append(edges[1:], len(s))
     out = np.full(BINS, -1, np.int64)
     full = edges < ends
     out[full] = (s[edges[full]] >> np.uint64(20)).astype(np.int64)
-    return out.tolist()
+    return out
 
 
 def _profiles(docs: DataFrame, size: int, counters: int) -> DataFrame:
-    """For each document its set's size, a digest of its words and its signature; besides, each task's shingle counts."""
+    """For each document its set's size, a digest of the set and its signature; besides, each task's shingle counts (255: that or more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(counters, np.int64)
+        counts = np.zeros(counters, np.uint8)
         names = ["doc_id", "n", "digest", "mins", "part", "counts"]
+
+        def rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+            at, more = np.unique((np.concatenate(sets) % np.uint64(counters)).astype(np.uint32), return_counts=True)
+            counts[at] = np.minimum(counts[at] + more, 255)
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _list_column([_signature(s) for s in sets])]
+            return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+
         for batch in batches:
-            rows, seen = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = word_list(text)
-                s = shingles(words, size)
-                seen.append(s)
-                rows.append((doc_id, len(s), xxhash.xxh3_128_digest(b" ".join(words)), _signature(s)))
-            if seen:
-                counts += np.bincount((np.concatenate(seen) % np.uint64(counters)).astype(np.int64), minlength=counters)
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64())), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=names)
-        for k, part in enumerate(np.split(np.minimum(counts, 255).astype(np.uint8), _PARTS)):
-            one = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64()))]
+            sets, held, done = [], 0, 0
+            for s in shingle_sets(batch.column("text"), size):
+                sets.append(s)
+                held += len(s)
+                if held >= 1 << 19:
+                    yield rows(batch.column("doc_id").slice(done, len(sets)), sets)
+                    sets, held, done = [], 0, done + len(sets)
+            if sets:
+                yield rows(batch.column("doc_id").slice(done), sets)
+        one = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))]
+        for k, part in enumerate(np.split(counts, _PARTS)):
             yield pa.RecordBatch.from_arrays([*one, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, mins array<long>, part int, counts binary")
@@ -150,21 +171,24 @@ def _ends(own: np.ndarray, level: np.ndarray, at: int) -> int:
 
 
 def _prefixes(reps: DataFrame, level, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """Prefixes of documents (doc_id, text, component): doc, component, n, k, index_n, probe_end, index_end, tokens."""
+    """Prefixes of documents (doc_id, text and others): these others, n, k, index_n, probe_end, index_end, tokens."""
+    others = [c for c in reps.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, component, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "component", "text")), strict=True):
-                s = shingles(word_list(text), size)
+            at, rows, tokens = [], [], []
+            for k, s in enumerate(shingle_sets(batch.column("text"), size)):
                 if len(s):
-                    own, index, k = ordered_prefix(s, level.value, threshold)
-                    rows.append((doc, component, len(s), k, index, _ends(own, level.value, len(own)), _ends(own, level.value, index), own.view(np.int64)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["doc", "component", "n", "k", "index_n", "probe_end", "index_end", "tokens"])
+                    own, index, matches = ordered_prefix(s, level.value, threshold)
+                    at.append(k)
+                    rows.append((len(s), matches, index, _ends(own, level.value, len(own)), _ends(own, level.value, index)))
+                    tokens.append(own)
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            made = [pa.array(c, kind) for c, kind in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.select(others).take(pa.array(at, pa.int64())).columns, *made, _list_column(tokens)], names=[*others, "n", "k", "index_n", "probe_end", "index_end", "tokens"])
 
-    return reps.select("doc_id", "text", "component").mapInArrow(run, "doc long, component long, n long, k int, index_n int, probe_end long, index_end long, tokens array<long>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema.fields if f.name != "text")
+    return reps.select(*others, "text").mapInArrow(run, f"{kinds}, n long, k int, index_n int, probe_end long, index_end long, tokens array<long>")
 
 
 def _enough(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -174,16 +198,19 @@ def _enough(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> Da
     follows it is all that may be added. Where the ends can't be told apart, either bound may hold.
     """
     p, q = threshold
-    info = docs.select("doc", "n", "k", F.size("tokens").alias("probe_n"), "index_n", "probe_end", "index_end")
-    x = small_side(info.select(F.col("doc").alias("u"), F.col("n").alias("un"), F.col("k").alias("uk"), "probe_n", "probe_end"))
-    y = small_side(info.select(F.col("doc").alias("v"), F.col("n").alias("vn"), F.col("k").alias("vk"), "index_n", "index_end"))
+    info = docs.select("doc_id", "n", "k", F.size("tokens").alias("probe_n"), "index_n", "probe_end", "index_end")
+    x = small_side(info.select(F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("k").alias("uk"), "probe_n", "probe_end"))
+    y = small_side(info.select(F.col("doc_id").alias("v"), F.col("n").alias("vn"), F.col("k").alias("vk"), "index_n", "index_end"))
     after_u, after_v = f"{p + q} * (c + un - probe_n) >= {p} * (un + vn)", f"{p + q} * (c + vn - index_n) >= {p} * (un + vn)"
     fits = f"c >= least(uk, vk) and (probe_end <= index_end and {after_u} or index_end <= probe_end and {after_v})"
     return pairs.join(x, "u").join(y, "v").where(fits).select("u", "v")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose whole texts reach the threshold, by exact comparison of their sets."""
+def _compared(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int], rest: bool = False) -> DataFrame:
+    """The pairs (u, v) of doc_ids whose whole texts reach the threshold, by exact comparison of their sets.
+
+    With ``rest`` all pairs, with both sets' sizes, how many shingles they share, whether they link, and what v lacks of u.
+    """
     p, q = threshold
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
@@ -192,19 +219,118 @@ def _linked(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int,
     right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("u_text").to_pylist(), batch.column("v_text").to_pylist(), strict=True):
-                if b != last:
-                    last, own = b, shingles(word_list(b), size)
-                s = shingles(word_list(a), size)
-                both = len(np.intersect1d(s, own, assume_unique=True))
-                keep.append(both > 0 and q * both >= p * (len(s) + len(own) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            ids, texts = batch.column("v").to_numpy(), batch.column("v_text")
+            # v stands in many pairs in a row (in one of a repeated doc_id, with other texts between).
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | pc.not_equal(texts.slice(1), texts.slice(0, max(0, len(ids) - 1))).to_numpy(zero_copy_only=False)
+            others = shingle_sets(texts.take(pa.array(np.flatnonzero(new))), size)
+            found, lacking = [], []
+            for s, fresh in zip(shingle_sets(batch.column("u_text"), size), new.tolist(), strict=True):
+                own = next(others) if fresh else own
+                same = own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s if len(own) else np.zeros(len(s), bool)
+                both = int(same.sum())
+                found.append((len(s), len(own), both, both > 0 and q * both >= p * (len(s) + len(own) - both)))
+                if rest:
+                    lacking.append(s[~same])
+            cols = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), [pa.int64()] * 3 + [pa.bool_()], strict=True)] if found else [pa.array([], kind) for kind in [pa.int64()] * 3 + [pa.bool_()]]
+            if rest:
+                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), *cols, _list_column(lacking)], names=["u", "v", "un", "vn", "both", "linked", "rest"])
+            else:
+                yield batch.select(["u", "v"]).filter(cols[3])
+
+    # v, a bucket's pivot, occurs in many pairs: joined last, its pairs stand together.
+    joined = pairs.join(left, "u").join(right, "v")
+    return joined.mapInArrow(run, "u long, v long, un long, vn long, both long, linked boolean, rest array<long>") if rest else joined.mapInArrow(run, "u long, v long").distinct()
+
+
+def _pivots(nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of a node and the pivot of one of its buckets that their signatures show to be alike.
+
+    A bucket's pivot is the node with the most company in all its buckets, which an original has rather than its edited copies.
+    """
+    buckets = F.explode(F.expr(f"filter(transform(slice(mins, 1, {BUCKET_BINS}), (x, i) -> struct(i, x)), s -> s.x >= 0)"))
+    bucketed = nodes.select("node", buckets.alias("bucket"))
+    crowds = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("company"), F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
+    crowded = stored(bucketed.join(crowds.select("bucket", "company"), "bucket"), "crowded")
+    weights = crowded.groupBy("node").agg(F.sum("company").alias("company"))
+    firsts = crowded.drop("company").join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("v"))
+    starred = crowded.join(firsts, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    mins = nodes.select("node", "mins")
+    alike = F.expr("aggregate(zip_with(a, b, (x, y) -> int(x >= 0 and x = y)), 0, (s, x) -> s + x)")
+    either = F.expr("aggregate(zip_with(a, b, (x, y) -> int(x >= 0 or y >= 0)), 0, (s, x) -> s + x)")
+    return starred.join(mins.toDF("u", "a"), "u").join(mins.toDF("v", "b"), "v").where(alike >= PROMISING * either).select("u", "v")
+
 
-    # v, the first of a bucket, occurs in many pairs: joined last, its pairs stand together.
-    return pairs.join(left, "u").join(right, "v").mapInArrow(run, "u long, v long").distinct()
+def _around(stars: DataFrame, several: DataFrame, first: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The documents around each pivot whose group holds several components: doc_id, pivot, component, n, over, inner, rest.
+
+    ``over`` is what the document shares with its pivot, ``rest`` what the pivot lacks. Two such documents share at
+    most the smaller ``over`` within the pivot. ``inner`` tells whether for any document of another component that may be enough.
+    Documents whose id has several texts (``several``) are left to the general join.
+    """
+    p, q = threshold
+    best = stars.where("2 * both >= un").join(small_side(several.select(F.col("doc_id").alias("u"))), "u", "left_anti").join(small_side(several.select(F.col("doc_id").alias("v"))), "v", "left_anti")
+    best = best.groupBy("u").agg(F.max_by(F.struct("v", "vn", "un", "both", "rest"), F.struct("both", -F.col("v"))).alias("b")).select("u", "b.*")
+    best = stored(best, "best")
+    pivots = best.groupBy("v").agg(F.min("vn").alias("n"))
+    own = pivots.select(F.col("v").alias("doc_id"), F.col("v").alias("pivot"), "n", F.col("n").alias("over"), F.expr("cast(array() as array<long>)").alias("rest"))
+    rows = best.join(pivots.select(F.col("v").alias("u")), "u", "left_anti").select(F.col("u").alias("doc_id"), F.col("v").alias("pivot"), F.col("un").alias("n"), F.col("both").alias("over"), "rest").unionByName(own)
+    rows = rows.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = stored(rows.withColumn("cap", F.expr(f"{p + q} * over div {p} - n")), "around")
+    main = rows.where("doc_id = pivot").select("pivot", F.col("component").alias("main"))
+    rows = rows.join(main, "pivot").withColumn("aside", F.expr("component <> main"))
+    group = rows.groupBy("pivot").agg(F.max(F.when(F.col("aside"), F.col("cap"))).alias("aside_cap"), F.min(F.when(F.col("aside"), F.col("n"))).alias("aside_n"), F.min("n").alias("least_n"))
+    inner = F.expr(f"if(aside, cap >= least_n and {q} * cap >= {p} * n, n <= aside_cap and cap >= aside_n)")
+    return rows.join(group.where("aside_n is not null"), "pivot").select("doc_id", "pivot", "component", "n", "over", inner.alias("inner"), "rest")
+
+
+def _candidates(tables: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """u (the larger set), v, c: how many prefix tokens two documents of different components share.
+
+    Only tokens that meet in two components are joined. Pairs around one pivot count here only where what they share
+    with it may be enough. So that a large group doesn't meet itself, lists of documents around pivots are joined by
+    (token, pivot), for pairs of pivots that do share the token.
+    """
+    p, q = threshold
+    met = tables.select("doc_id", "component", "pivot", "over", "inner", "n", "index_n", F.posexplode("tokens").alias("pos", "token"))
+    met = met.select("token", F.col("doc_id").alias("doc"), "component", "pivot", "over", "inner", "n", (F.col("pos") < F.col("index_n")).alias("indexed"))
+    shared = stored(met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "tokens")
+    met = stored(met.join(small_side(shared, BROADCAST_TOKENS), "token", "left_semi"), "met")
+    fits = f"x.component <> y.component and (y.n < x.n or y.n = x.n and y.doc < x.doc) and {q} * y.n >= {p} * x.n"
+    names = [F.col("x.doc").alias("u"), F.col("y.doc").alias("v")]
+
+    # At least one of the two is around no pivot.
+    x = met.select("token", "doc", "component", "n", F.col("pivot").isNotNull().alias("side")).alias("x")
+    sides = F.when(F.col("pivot").isNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    y = met.where("indexed").select("token", "doc", "component", "n", F.explode(sides).alias("side")).alias("y")
+    out = x.join(y, F.expr(f"x.token = y.token and x.side = y.side and {fits}")).select(*names)
+
+    # Both are: around different pivots, or around one.
+    kinds = F.when(F.col("inner"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    grouped = stored(met.where("pivot is not null").withColumn("within", F.explode(kinds)), "grouped")
+    lists = stored(grouped.groupBy("token", "within", "pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")), "lists")
+    apart = lists.where("not within").select("token", "pivot")
+    across = apart.join(apart.withColumnRenamed("pivot", "other"), "token").where("pivot <> other").select("token", F.lit(False).alias("within"), "pivot", "other")
+    meets = across.unionByName(lists.where("within and low < high").select("token", "within", "pivot", F.col("pivot").alias("other")))
+    x = grouped.join(meets, ["token", "within", "pivot"]).alias("x")
+    y = grouped.where("indexed").alias("y")
+    near = f"x.token = y.token and x.within = y.within and x.other = y.pivot and {fits} and (not x.within or {p} * (x.n + y.n) <= {p + q} * least(x.over, y.over))"
+    out = out.unionAll(x.join(y, F.expr(near)).select(*names))
+    return out.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _beside(around: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) around one pivot that share too little with it, but with what it lacks may reach the threshold."""
+    p, q = threshold
+    rows = stored(around.select("pivot", F.explode("rest").alias("token"), F.col("doc_id").alias("doc"), "component", "n", "over"), "rest")
+    lists = rows.groupBy("pivot", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = stored(rows.join(lists.select("pivot", "token"), ["pivot", "token"], "left_semi"), "rest")
+    x, y = rows.alias("x"), rows.alias("y")
+    fits = f"x.pivot = y.pivot and x.token = y.token and x.component <> y.component and (y.n < x.n or y.n = x.n and y.doc < x.doc) and {q} * y.n >= {p} * x.n and {p} * (x.n + y.n) > {p + q} * least(x.over, y.over)"
+    pairs = x.join(y, F.expr(fits)).groupBy(F.col("x.doc").alias("u"), F.col("y.doc").alias("v"))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("c"), F.min(F.expr("x.n + y.n")).alias("n"), F.min(F.expr("least(x.over, y.over)")).alias("over"))
+    return pairs.where(f"{p + q} * (over + c) >= {p} * n").select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -224,38 +350,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     level = spark.sparkContext.broadcast(_classes(profiles, counters))
     rows = profiles.where("part is null").select("doc_id", "n", "digest", "mins")
 
-    # Documents of equal words are one node, named by their smallest doc_id.
+    # Documents of equal sets are one node, named by their smallest doc_id.
     usable = rows.where("doc_id is not null and n > 0")
     nodes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.first("mins").alias("mins"), F.count(F.lit(1)).alias("copies")), "nodes")
     copies = usable.join(nodes.where("copies > 1").select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-
-    # Each node against the first of its buckets.
-    bucketed = nodes.select("node", F.explode(F.expr(f"filter(transform(slice(mins, 1, {BUCKET_BINS}), (x, i) -> struct(i, x)), s -> s.x >= 0)")).alias("bucket"))
-    firsts = bucketed.groupBy("bucket").agg(F.min("node").alias("v"), F.max("node").alias("top")).where("v < top").select("bucket", "v")
-    starred = bucketed.join(firsts, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    mins = nodes.select("node", "mins")
-    alike = F.expr("aggregate(zip_with(a, b, (x, y) -> int(x >= 0 and x = y)), 0, (s, x) -> s + x)")
-    either = F.expr("aggregate(zip_with(a, b, (x, y) -> int(x >= 0 or y >= 0)), 0, (s, x) -> s + x)")
-    promising = starred.join(mins.toDF("u", "a"), "u").join(mins.toDF("v", "b"), "v").where(alike >= PROMISING * either).select("u", "v")
     copies = stored(copies.distinct(), "copies")
-    links = stored(_linked(promising, docs, words, threshold).unionAll(copies), "links")
+    several = stored(usable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("doc_id"), "several")
+
+    # Each node against the pivots of its buckets.
+    stars = stored(_compared(_pivots(nodes), docs, words, threshold, rest=True), "stars")
+    links = stars.where("linked").select("u", "v").unionAll(copies)
     first = stored(components(links), "components")
+    around = stored(_around(stars, several, first, threshold), "around")
 
     # Prefixes of one document of each node; only tokens that meet in two components can make new links.
-    reps = nodes.select(F.col("node").alias("doc_id")).distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    reps = stored(reps.select("doc_id", F.coalesce("component", "doc_id").alias("component")), "reps")
+    reps = nodes.select(F.col("node").alias("doc_id")).distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    reps = stored(reps.join(around.select("doc_id", "pivot", "over", "inner"), "doc_id", "left"), "reps")
     tables = stored(_prefixes(docs.join(small_side(reps), "doc_id"), level, words, threshold), "prefixes")
-    prefixes = tables.select("doc", "component", "n", "index_n", F.posexplode("tokens").alias("pos", "token"))
-    prefixes = prefixes.select("token", "doc", "component", "n", (F.col("pos") < F.col("index_n")).alias("indexed"))
-    shared = prefixes.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    shared = stored(shared, "tokens")
-    met = stored(prefixes.join(small_side(shared, BROADCAST_TOKENS), "token", "left_semi"), "met")
-    p, q = threshold
-    x, y = met.alias("x"), met.where("indexed").alias("y")
-    fits = F.expr(f"x.token = y.token and x.component <> y.component and (y.n < x.n or y.n = x.n and y.doc < x.doc) and {q} * y.n >= {p} * x.n")
-    counts = x.join(y, fits).groupBy(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    pairs = _enough(counts, tables, threshold)
-    more = stored(_linked(pairs, docs, words, threshold), "links")
+    pairs = _enough(_candidates(tables, threshold), tables, threshold).unionAll(_beside(around, threshold)).distinct()
+    more = stored(_compared(pairs, docs, words, threshold), "links")
 
     final = components(links.unionAll(more)).withColumnRenamed("node", "doc_id")
     return rows.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(n > 0, coalesce(component, doc_id), doc_id)").alias("component_id"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -328,7 +329,10 @@ def test_bpe_matches_the_library(spark):
 
 
 def brute_components(texts):
-    sets = [set(jaccard.shingles(jaccard.word_list(t)).tolist()) for t in texts]
+    sets = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
     at = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
@@ -358,3 +362,35 @@ def test_jaccard(spark):
     assert all((r.component_id, r.n_shingles) == (at[r.doc_id], sizes[r.doc_id]) for r in rows if r.doc_id is not None)
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_of_edited_copies(spark, seed):
+    """Groups in which copies reach the threshold with their original or with copies of equal edits, but seldom with each other; ids with several texts."""
+    rng = random.Random(seed)
+    vocab, rows = [f"w{k}" for k in range(2_000)], []
+    for g in range(3):
+        base = rng.choices(vocab, k=60 + 20 * g)
+        parts = [rng.choices(vocab, k=4) for _ in range(6)]
+        for k in range(70):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([1, 2, 4])] = rng.choice([*parts, rng.choices(vocab, k=2), []])
+            rows.append(" ".join(words))
+    rng.shuffle(rows)
+    at, sizes = brute_components(rows)
+    assert 6 < len(set(at)) < 150
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard.near_duplicates(docs.repartition(4)).collect()}
+    assert out == {k: (c, n) for k, (c, n) in enumerate(zip(at, sizes, strict=True))}
+    # Rows of one id are one document: links of any of its texts join the others' groups.
+    merged = [k if k % 9 else 0 for k in range(len(rows))]
+    at2 = list(range(len(rows)))
+    for k, c in enumerate(at):
+        for a, b in ((k, c), (k, merged[k])):
+            x, y = at2[a], at2[b]
+            at2 = [min(x, y) if z in (x, y) else z for z in at2]
+    docs = spark.createDataFrame([(merged[k], t) for k, t in enumerate(rows)], "doc_id long, text string")
+    out = jaccard.near_duplicates(docs).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == {(m, at2[k]) for k, m in enumerate(merged)}

@@ -39,8 +39,6 @@ BINS, BUCKET_BINS, PROMISING = 32, 8, 0.55
 #: Frequency counters: one for so many bytes of text, but at most 16 M (16 MB broadcast). Beyond, only the order gets coarser.
 BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 24
 _PARTS = 16
-#: Shared tokens that are broadcast; more are joined by a shuffle.
-BROADCAST_TOKENS = 50_000
 #: A task hashes the words of about so many bytes of text at once.
 SLICE_BYTES = 1 << 21
 
@@ -288,35 +286,41 @@ def _around(stars: DataFrame, several: DataFrame, first: DataFrame, threshold: t
 def _candidates(tables: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """u (the larger set), v, c: how many prefix tokens two documents of different components share.
 
-    Only tokens that meet in two components are joined. Pairs around one pivot count here only where what they share
-    with it may be enough. So that a large group doesn't meet itself, lists of documents around pivots are joined by
-    (token, pivot), for pairs of pivots that do share the token.
+    So that a large group doesn't meet itself, the documents around a pivot go into the join on the token as one list
+    for each (token, pivot); only lists that meet others are read. Pairs around one pivot count here only where what they
+    share with it may be enough.
     """
     p, q = threshold
-    met = tables.select("doc_id", "component", "pivot", "over", "inner", "n", "index_n", F.posexplode("tokens").alias("pos", "token"))
-    met = met.select("token", F.col("doc_id").alias("doc"), "component", "pivot", "over", "inner", "n", (F.col("pos") < F.col("index_n")).alias("indexed"))
-    shared = stored(met.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"), "tokens")
-    met = stored(met.join(small_side(shared, BROADCAST_TOKENS), "token", "left_semi"), "met")
-    fits = f"x.component <> y.component and (y.n < x.n or y.n = x.n and y.doc < x.doc) and {q} * y.n >= {p} * x.n"
-    names = [F.col("x.doc").alias("u"), F.col("y.doc").alias("v")]
-
-    # At least one of the two is around no pivot.
-    x = met.select("token", "doc", "component", "n", F.col("pivot").isNotNull().alias("side")).alias("x")
-    sides = F.when(F.col("pivot").isNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    y = met.where("indexed").select("token", "doc", "component", "n", F.explode(sides).alias("side")).alias("y")
-    out = x.join(y, F.expr(f"x.token = y.token and x.side = y.side and {fits}")).select(*names)
-
-    # Both are: around different pivots, or around one.
+    rows = tables.select(F.col("doc_id").alias("doc"), "component", "pivot", "over", "inner", "n", "index_n", F.posexplode("tokens").alias("pos", "token"))
+    rows = rows.withColumn("indexed", F.col("pos") < F.col("index_n")).drop("pos", "index_n")
     kinds = F.when(F.col("inner"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    grouped = stored(met.where("pivot is not null").withColumn("within", F.explode(kinds)), "grouped")
+    grouped = stored(rows.where("pivot is not null").withColumn("within", F.explode(kinds)), "grouped")
     lists = stored(grouped.groupBy("token", "within", "pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")), "lists")
-    apart = lists.where("not within").select("token", "pivot")
-    across = apart.join(apart.withColumnRenamed("pivot", "other"), "token").where("pivot <> other").select("token", F.lit(False).alias("within"), "pivot", "other")
-    meets = across.unionByName(lists.where("within and low < high").select("token", "within", "pivot", F.col("pivot").alias("other")))
-    x = grouped.join(meets, ["token", "within", "pivot"]).alias("x")
-    y = grouped.where("indexed").alias("y")
-    near = f"x.token = y.token and x.within = y.within and x.other = y.pivot and {fits} and (not x.within or {p} * (x.n + y.n) <= {p + q} * least(x.over, y.over))"
-    out = out.unionAll(x.join(y, F.expr(near)).select(*names))
+
+    # Single documents and lists: two documents in the one order of sizes, a document and a list, two lists.
+    heads = rows.where("pivot is null").select("token", "doc", "component", "n", "indexed", F.lit(False).alias("many"))
+    none = F.lit(None).cast("long")
+    both = heads.unionAll(lists.where("not within").select("token", "pivot", none, none, F.lit(True), F.lit(True)))
+    x, y = both.alias("x"), both.where("indexed").alias("y")
+    larger = "(x.n > y.n or x.n = y.n and x.doc > y.doc)"
+    pair = f"not x.many and not y.many and x.component <> y.component and {larger} and {q} * y.n >= {p} * x.n"
+    met = x.join(y, F.expr(f"x.token = y.token and if(y.many, not x.many or x.doc < y.doc, {pair})"))
+    met = stored(met.select(F.col("x.token").alias("token"), *[F.col(f"x.{c}").alias(c) for c in ("doc", "component", "n", "indexed", "many")], F.col("y.doc").alias("other"), F.col("y.many").alias("list")), "met")
+    out = met.where("not list").select(F.col("doc").alias("u"), F.col("other").alias("v"))
+
+    # A document and each of a list.
+    x, y = met.where("list and not many").drop("many", "list").alias("x"), grouped.where("not within").alias("y")
+    fits = f"x.token = y.token and x.other = y.pivot and x.component <> y.component and if({larger}, y.indexed and {q} * y.n >= {p} * x.n, x.indexed and {q} * x.n >= {p} * y.n)"
+    ends = [F.expr(f"if({larger}, x.doc, y.doc)").alias("u"), F.expr(f"if({larger}, y.doc, x.doc)").alias("v")]
+    out = out.unionAll(x.join(y, F.expr(fits)).select(*ends))
+
+    # Each of a list and each of another, or of the same.
+    across = met.where("many").select("token", F.lit(False).alias("within"), F.col("doc").alias("pivot"), "other")
+    meets = across.unionAll(across.select("token", "within", "other", "pivot")).unionAll(lists.where("within and low < high").select("token", "within", "pivot", "pivot"))
+    x, y = grouped.join(meets, ["token", "within", "pivot"]).alias("x"), grouped.where("indexed").alias("y")
+    fits = f"x.token = y.token and x.within = y.within and x.other = y.pivot and x.component <> y.component and {larger} and {q} * y.n >= {p} * x.n"
+    enough = f"(not x.within or {p} * (x.n + y.n) <= {p + q} * least(x.over, y.over))"
+    out = out.unionAll(x.join(y, F.expr(f"{fits} and {enough}")).select(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")))
     return out.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -363,7 +367,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     first = stored(components(links), "components")
     around = stored(_around(stars, several, first, threshold), "around")
 
-    # Prefixes of one document of each node; only tokens that meet in two components can make new links.
+    # Prefixes of one document of each node.
     reps = nodes.select(F.col("node").alias("doc_id")).distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     reps = stored(reps.join(around.select("doc_id", "pivot", "over", "inner"), "doc_id", "left"), "reps")
     tables = stored(_prefixes(docs.join(small_side(reps), "doc_id"), level, words, threshold), "prefixes")

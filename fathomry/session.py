@@ -12,8 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts go to Python workers.
+ARROW_ROWS = "1000"
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Let Python workers of a local session find this package, wherever the driver was started."""
+    """Let Python workers of a local session find this package, wherever the driver was started; bound what they hold at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

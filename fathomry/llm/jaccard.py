@@ -245,15 +245,21 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int
 def _pivots(nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) of a node and the pivot of one of its buckets that their signatures show to be alike.
 
-    A bucket's pivot is the node with the most company in all its buckets, which an original has rather than its edited copies.
+    A bucket's pivot is the node with the most company in all its buckets, which an original has rather than its edited
+    copies. A node also meets the pivot of its pivot, so that a large group gathers around one.
     """
     buckets = F.explode(F.expr(f"filter(transform(slice(mins, 1, {BUCKET_BINS}), (x, i) -> struct(i, x)), s -> s.x >= 0)"))
     bucketed = nodes.select("node", buckets.alias("bucket"))
     crowds = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("company"), F.min("node").alias("low"), F.max("node").alias("top")).where("low < top")
     crowded = stored(bucketed.join(crowds.select("bucket", "company"), "bucket"), "crowded")
     weights = crowded.groupBy("node").agg(F.sum("company").alias("company"))
-    firsts = crowded.drop("company").join(weights, "node").groupBy("bucket").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("v"))
-    starred = crowded.join(firsts, "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    firsts = crowded.drop("company").join(weights, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("v"))).alias("b"))
+    firsts = firsts.select("bucket", F.col("b.company").alias("company"), (-F.col("b.v")).alias("v"))
+    starred = crowded.drop("company").join(firsts, "bucket").where("node <> v").select(F.col("node").alias("u"), "v", "company").distinct()
+    starred = stored(starred, "starred")
+    above = starred.groupBy(F.col("u").alias("v")).agg(F.max_by("v", F.struct("company", -F.col("v"))).alias("w"))
+    hops = starred.join(above, "v").where("u <> w").select("u", F.col("w").alias("v"))
+    starred = starred.select("u", "v").unionAll(hops).distinct()
     mins = nodes.select("node", "mins")
     alike = F.expr("aggregate(zip_with(a, b, (x, y) -> int(x >= 0 and x = y)), 0, (s, x) -> s + x)")
     either = F.expr("aggregate(zip_with(a, b, (x, y) -> int(x >= 0 or y >= 0)), 0, (s, x) -> s + x)")
@@ -265,18 +271,20 @@ def _around(stars: DataFrame, several: DataFrame, first: DataFrame, threshold: t
 
     ``over`` is what the document shares with its pivot, ``rest`` what the pivot lacks. Two such documents share at
     most the smaller ``over`` within the pivot. ``inner`` tells whether for any document of another component that may be enough.
+    A document's pivot is the one of most company, of those that share half of its shingles.
     Documents whose id has several texts (``several``) are left to the general join.
     """
     p, q = threshold
-    best = stars.where("2 * both >= un").join(small_side(several.select(F.col("doc_id").alias("u"))), "u", "left_anti").join(small_side(several.select(F.col("doc_id").alias("v"))), "v", "left_anti")
-    best = best.groupBy("u").agg(F.max_by(F.struct("v", "vn", "un", "both", "rest"), F.struct("both", -F.col("v"))).alias("b")).select("u", "b.*")
+    rows = stars.where("2 * both >= un").join(small_side(several.select(F.col("doc_id").alias("u"))), "u", "left_anti").join(small_side(several.select(F.col("doc_id").alias("v"))), "v", "left_anti")
+    company = stored(rows.groupBy("v").agg(F.count(F.lit(1)).alias("company")), "company")
+    best = rows.join(small_side(company), "v").groupBy("u").agg(F.max_by(F.struct("v", "vn", "un", "both", "rest"), F.struct("company", "both", -F.col("v"))).alias("b")).select("u", "b.*")
     best = stored(best, "best")
-    pivots = best.groupBy("v").agg(F.min("vn").alias("n"))
-    own = pivots.select(F.col("v").alias("doc_id"), F.col("v").alias("pivot"), "n", F.col("n").alias("over"), F.expr("cast(array() as array<long>)").alias("rest"))
-    rows = best.join(pivots.select(F.col("v").alias("u")), "u", "left_anti").select(F.col("u").alias("doc_id"), F.col("v").alias("pivot"), F.col("un").alias("n"), F.col("both").alias("over"), "rest").unionByName(own)
+    alone = best.groupBy("v").agg(F.min("vn").alias("n")).join(best.select(F.col("u").alias("v")), "v", "left_anti")
+    alone = alone.select(F.col("v").alias("doc_id"), F.col("v").alias("pivot"), "n", F.col("n").alias("over"), F.expr("cast(array() as array<long>)").alias("rest"))
+    rows = best.select(F.col("u").alias("doc_id"), F.col("v").alias("pivot"), F.col("un").alias("n"), F.col("both").alias("over"), "rest").unionByName(alone)
     rows = rows.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = stored(rows.withColumn("cap", F.expr(f"{p + q} * over div {p} - n")), "around")
-    main = rows.where("doc_id = pivot").select("pivot", F.col("component").alias("main"))
+    main = rows.select(F.col("doc_id").alias("pivot"), F.col("component").alias("main"))
     rows = rows.join(main, "pivot").withColumn("aside", F.expr("component <> main"))
     group = rows.groupBy("pivot").agg(F.max(F.when(F.col("aside"), F.col("cap"))).alias("aside_cap"), F.min(F.when(F.col("aside"), F.col("n"))).alias("aside_n"), F.min("n").alias("least_n"))
     inner = F.expr(f"if(aside, cap >= least_n and {q} * cap >= {p} * n, n <= aside_cap and cap >= aside_n)")
@@ -295,32 +303,33 @@ def _candidates(tables: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     rows = rows.withColumn("indexed", F.col("pos") < F.col("index_n")).drop("pos", "index_n")
     kinds = F.when(F.col("inner"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     grouped = stored(rows.where("pivot is not null").withColumn("within", F.explode(kinds)), "grouped")
-    lists = stored(grouped.groupBy("token", "within", "pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")), "lists")
+    lists = stored(grouped.groupBy("token", "within", "pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")), "lists")
 
     # Single documents and lists: two documents in the one order of sizes, a document and a list, two lists.
     heads = rows.where("pivot is null").select("token", "doc", "component", "n", "indexed", F.lit(False).alias("many"))
     none = F.lit(None).cast("long")
-    both = heads.unionAll(lists.where("not within").select("token", "pivot", none, none, F.lit(True), F.lit(True)))
+    both = heads.unionAll(lists.where("not within").select("token", "pivot", none, "docs", F.lit(True), F.lit(True)))
     x, y = both.alias("x"), both.where("indexed").alias("y")
     larger = "(x.n > y.n or x.n = y.n and x.doc > y.doc)"
     pair = f"not x.many and not y.many and x.component <> y.component and {larger} and {q} * y.n >= {p} * x.n"
     met = x.join(y, F.expr(f"x.token = y.token and if(y.many, not x.many or x.doc < y.doc, {pair})"))
-    met = stored(met.select(F.col("x.token").alias("token"), *[F.col(f"x.{c}").alias(c) for c in ("doc", "component", "n", "indexed", "many")], F.col("y.doc").alias("other"), F.col("y.many").alias("list")), "met")
+    met = met.select(F.col("x.token").alias("token"), *[F.col(f"x.{c}").alias(c) for c in ("doc", "component", "n", "indexed", "many")], F.col("y.doc").alias("other"), F.col("y.many").alias("list"), F.col("y.n").alias("docs"))
+    met = stored(met, "met")
     out = met.where("not list").select(F.col("doc").alias("u"), F.col("other").alias("v"))
 
-    # A document and each of a list.
-    x, y = met.where("list and not many").drop("many", "list").alias("x"), grouped.where("not within").alias("y")
+    # A document, or each of the shorter of two lists, and each of a list.
+    lone = met.where("list and not many").select("token", "doc", "component", "n", "indexed", "other")
+    lists_met = met.where("many").select("token", F.expr("if(n <= docs, doc, other)").alias("pivot"), F.expr("if(n <= docs, other, doc)").alias("other"))
+    each = grouped.where("not within")
+    x = lone.unionAll(each.join(lists_met, ["token", "pivot"]).select(*lone.columns)).alias("x")
     fits = f"x.token = y.token and x.other = y.pivot and x.component <> y.component and if({larger}, y.indexed and {q} * y.n >= {p} * x.n, x.indexed and {q} * x.n >= {p} * y.n)"
     ends = [F.expr(f"if({larger}, x.doc, y.doc)").alias("u"), F.expr(f"if({larger}, y.doc, x.doc)").alias("v")]
-    out = out.unionAll(x.join(y, F.expr(fits)).select(*ends))
-
-    # Each of a list and each of another, or of the same.
-    across = met.where("many").select("token", F.lit(False).alias("within"), F.col("doc").alias("pivot"), "other")
-    meets = across.unionAll(across.select("token", "within", "other", "pivot")).unionAll(lists.where("within and low < high").select("token", "within", "pivot", "pivot"))
-    x, y = grouped.join(meets, ["token", "within", "pivot"]).alias("x"), grouped.where("indexed").alias("y")
-    fits = f"x.token = y.token and x.within = y.within and x.other = y.pivot and x.component <> y.component and {larger} and {q} * y.n >= {p} * x.n"
-    enough = f"(not x.within or {p} * (x.n + y.n) <= {p + q} * least(x.over, y.over))"
-    out = out.unionAll(x.join(y, F.expr(f"{fits} and {enough}")).select(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")))
+    out = out.unionAll(x.join(each.alias("y"), F.expr(fits)).select(*ends))
+
+    # Two of one list.
+    own = grouped.where("within").join(lists.where("within and low < high").select("token", "pivot"), ["token", "pivot"], "left_semi")
+    fits = f"x.token = y.token and x.pivot = y.pivot and x.component <> y.component and {larger} and {q} * y.n >= {p} * x.n and {p} * (x.n + y.n) <= {p + q} * least(x.over, y.over)"
+    out = out.unionAll(own.alias("x").join(own.where("indexed").alias("y"), F.expr(fits)).select(F.col("x.doc").alias("u"), F.col("y.doc").alias("v")))
     return out.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
 
 

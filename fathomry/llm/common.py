@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomry.session import written
+
 #: A word, as the contracts define it: a run of anything but these six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side with at most this many thin rows (ids and a few numbers) may be broadcast: 16 to 32 MB.
 BROADCAST_ROWS = 1_000_000
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="fathomry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: A Python worker splits about so many bytes of text into words at once.
+SLICE_BYTES = 1 << 21
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
+
+
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, in stretches of about SLICE_BYTES or of one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(ends)]
+    for a, b in zip(edges, edges[1:]):
+        if a < b:
+            yield texts.slice(a, b - a)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomry.llm.common import small_side, stored
+from fathomry.llm.common import small_side, stored, text_slices
 from fathomry.llm.components import components
 
 WORDS = 5
@@ -39,17 +39,6 @@ BINS, BUCKET_BINS, PROMISING = 32, 8, 0.55
 #: Frequency counters: one for so many bytes of text, but at most 16 M (16 MB broadcast). Beyond, only the order gets coarser.
 BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 24
 _PARTS = 16
-#: A task hashes the words of about so many bytes of text at once.
-SLICE_BYTES = 1 << 21
-
-
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """The texts in order, in stretches of about SLICE_BYTES or of one longer text."""
-    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-    edges = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(ends)]
-    for a, b in zip(edges, edges[1:]):
-        if a < b:
-            yield texts.slice(a, b - a)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +64,7 @@ def _mixed(h: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its word shingles; of fewer words, the one of them all; of none, none."""
-    for part in _slices(texts):
+    for part in text_slices(texts):
         h, offsets = word_hashes(part)
         rows = _mixed(h, size)
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

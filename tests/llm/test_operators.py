@@ -253,6 +253,17 @@ def test_line_dedup_of_mostly_recurring_documents(spark):
     assert all(r.text == texts[r.doc_id].split("\n")[0] and r.lines_dropped == 1 for r in rows) and len(rows) == 12
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = random.Random(7)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    long, short = own(60), own(40)
+    texts = [f"{own(30)}\n{own(70)}\n{x}\n{own(30)}" for x in (long, long, short, short, long)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[4] + " x"])), "doc_id long, text string")
+    rows = {r.doc_id: r for r in templates.drop_recurring(docs).collect()}
+    assert [rows[k].lines_dropped for k in range(6)] == [1, 1, 0, 0, 1, 1] and all(long not in r.text for r in rows.values())
+    assert templates.drop_recurring(docs, long_texts=5).where("lines_dropped > 0").count() == 0
+
+
 def test_line_dedup_of_large_leaves(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdefghij", k=7))
@@ -292,6 +303,41 @@ def test_language_id_on_held_out_documents(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) > 0
 
 
+def test_language_id_against_a_dictionary(spark):
+    """The backoff in plain Python: words by log frequency, unseen ones by their longest known n-grams."""
+    rng = random.Random(8)
+    langs = {x: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(60)] for x, letters in (("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "aeghij"))}
+    say = lambda x: " ".join(rng.choices(langs[x], k=rng.randint(1, 12)) + [rng.choice(["12", "²", "", "ǅx"])])
+    rows = [(k, say(x), x) for k in range(90) for x in langs]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.BackoffModel.fit(docs)
+    letters = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    pieces = lambda v, n: [v[k : k + n] for k in range(len(v) - n + 1)]
+    grams = lambda w, n: [w] if n == 0 else pieces(f"^{w}$" if n > 1 else w, n)
+    counts = {(x, n): Counter(g for _, t, y in rows if x == y for w in letters(t) for g in grams(w, n)) for x in langs for n in range(6)}
+    known = {n: {g for x in langs for g in counts[x, n] if sum(counts[y, n][g] for y in langs) > 1} for n in range(6)}
+    log = lambda x, n, g: math.log((counts[x, n][g] + 0.1) / (counts[x, n].total() + 0.1 * len(known[n])))
+
+    def brute(text):
+        total = Counter({x: 0.0 for x in langs})
+        for w in letters(text or ""):
+            n = next((n for n in (0, 5, 4, 3, 2, 1) if any(g in known[n] for g in grams(w, n))), None)
+            own = [g for g in grams(w, n) if g in known[n]] if n is not None else []
+            for x in langs:
+                total[x] += sum(log(x, n, g) for g in own) / max(1, len(own))
+        size = len(letters(text or ""))
+        share = {x: math.exp((v - max(total.values())) / max(1, size) * min(size, 20)) for x, v in total.items()}
+        return (max(sorted(share), key=share.get), max(share.values()) / sum(share.values())) if size else ("und", 0.0)
+
+    texts = [*ODD, *[t for _, t, _ in rows[:60]], *[f"{say('aa')} {say('bb')} zz é" for _ in range(40)], "q", "zzz yyy"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in langid.predict(asked, model).collect():
+        lang, share = brute(texts[r.doc_id])
+        assert math.isclose(r.score, share, abs_tol=1e-4) and (r.lang_pred == lang or math.isclose(share, 1 / 3, abs_tol=1e-4))
+    with pytest.raises(ValueError):
+        langid.BackoffModel.fit(spark.range(600).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"), F.col("id").cast("string").alias("lang")))
+
+
 def test_language_id_of_odd_rows(spark):
     docs = odd_docs(spark)
     model = langid.BackoffModel.fit(docs)

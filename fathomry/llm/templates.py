@@ -32,6 +32,8 @@ LEAF_LINES = 1_024
 LEAST_TOKENS = 3
 #: A template recurs if it occurs in so many different texts.
 LEAST_TEXTS = 5
+#: A line of so many tokens is a passage, which nobody writes twice: it recurs if it occurs in so many different texts.
+LONG_TOKENS, LONG_TEXTS = 50, 2
 #: Lines of which so large a share of fields agrees belong to one template.
 SIMILARITY = 0.7
 #: Positions that are compared; a longer line's tokens are compared in as many equal stretches.
@@ -76,23 +78,24 @@ def fields(tokens: list[str]) -> list[int]:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """(text_key, line, leaf) once for each different line of a text."""
+    """(text_key, line, leaf, long) once for each different line of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, leaves, sizes = [], [], []
+            lines, leaves, long, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
-                own: dict[int, int] = {}
+                own: dict[int, list[str]] = {}
                 for key, tokens in parsed_lines(text):
-                    if key and key not in own:
-                        own[key] = _leaf(tokens)
+                    if key:
+                        own.setdefault(key, tokens)
                 lines += own.keys()
-                leaves += own.values()
+                leaves += map(_leaf, own.values())
+                long += [len(tokens) >= LONG_TOKENS for tokens in own.values()]
                 sizes.append(len(own))
             keys = batch.column("text_key").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(lines, pa.int64()), pa.array(leaves, pa.int64())], names=["text_key", "line", "leaf"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(lines, pa.int64()), pa.array(leaves, pa.int64()), pa.array(long, pa.bool_())], names=["text_key", "line", "leaf", "long"])
 
-    return texts.select("text_key", "text").mapInArrow(run, "text_key long, line long, leaf long")
+    return texts.select("text_key", "text").mapInArrow(run, "text_key long, line long, leaf long, long boolean")
 
 
 def _shapes(texts: DataFrame) -> DataFrame:
@@ -226,49 +229,54 @@ def _merged_leaves(rows: DataFrame) -> DataFrame:
     return components(reduce(DataFrame.unionAll, links)).withColumnRenamed("node", "line").withColumnRenamed("component", "template")
 
 
-def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
-    """The digests of lines that occur, or whose template does, in at least ``least_texts`` of the texts: line, template (null for a line alone).
+def _often(counted: DataFrame, least_texts: int, long_texts: int) -> DataFrame:
+    """The rows of ``counted`` (long, count) whose count is enough."""
+    return counted.where(F.col("count") >= F.when(F.col("long"), long_texts).otherwise(least_texts)).drop("count")
+
+
+def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST_TEXTS, long_texts: int = LONG_TEXTS) -> DataFrame:
+    """The digests of lines that occur, or whose template does, in enough of the texts: line, long, template (null for a line alone).
 
     ``texts`` has text_key and text, ``lines`` is what ``_lines`` makes of them, once for each text_key and line.
     """
-    counts = stored(lines.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("text_key").alias("text_key")), "line-counts")
-    often = counts.where(F.col("texts") >= least_texts).select("line", F.lit(None).cast("long").alias("template"))
+    counts = stored(lines.groupBy("line", "leaf", "long").agg(F.count(F.lit(1)).alias("count"), F.min("text_key").alias("text_key")), "line-counts")
+    often = _often(counts, least_texts, long_texts).select("line", "long", F.lit(None).cast("long").alias("template"))
 
     # Leaves in which several lines may form a template. Their shapes come from one text each.
-    leaves = counts.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count(F.lit(1)).alias("lines"))
-    leaves = stored(leaves.where((F.col("texts") >= least_texts) & (F.col("lines") > 1)).select("leaf"), "leaves")
-    some = stored(counts.join(small_side(leaves), "leaf", "left_semi"), "candidates")
+    leaves = counts.groupBy("leaf", "long").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("lines"))
+    leaves = stored(_often(leaves, least_texts, long_texts).where("lines > 1").select("leaf"), "leaves")
+    some = stored(counts.withColumnRenamed("count", "texts").join(small_side(leaves), "leaf", "left_semi"), "candidates")
     wanted = stored(some.groupBy("text_key").agg(F.collect_list("line").alias("wanted")), "wanted")
     shapes = _shapes(texts.join(small_side(wanted, BROADCAST_ROWS // 10), "text_key")).groupBy("line").agg(F.first("fields").alias("fields"))
-    rows = stored(some.select("line", "leaf", "texts").join(shapes, "line"), "shapes")
+    rows = stored(some.select("line", "leaf", "texts", "long").join(shapes, "line"), "shapes")
 
     large = stored(rows.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"), "large")
     grouped = rows.join(small_side(large), "leaf", "left_anti")
-    found = stored(grouped.groupBy("leaf").applyInPandas(_templates, "line long, template long"), "templates")
+    found = stored(grouped.drop("long").groupBy("leaf").applyInPandas(_templates, "line long, template long"), "templates")
     if large.limit(1).count():
         found = found.unionByName(stored(_merged_leaves(rows.join(small_side(large), "leaf", "left_semi")), "templates"))
 
     # The different texts of a template's several lines.
     several = found.groupBy("template").count().where("count > 1").drop("count")
-    members = stored(found.join(several, "template").select("line", "template"), "members")
-    spread = lines.select("text_key", "line").join(small_side(members), "line").select("template", "text_key").distinct()
-    wide = stored(spread.groupBy("template").count().where(F.col("count") >= least_texts).select("template"), "wide")
-    more = members.join(small_side(wide), "template", "left_semi").select("line", "template")
+    members = stored(found.join(several, "template").join(rows.select("line", "long"), "line").select("line", "long", "template"), "members")
+    spread = lines.select("text_key", "line").join(small_side(members), "line").select("template", "long", "text_key").distinct()
+    wide = stored(_often(spread.groupBy("template", "long").count(), least_texts, long_texts).select("template"), "wide")
+    more = members.join(small_side(wide), "template", "left_semi").select("line", "long", "template")
     return often.unionAll(more)
 
 
-def _apart(texts: DataFrame, hits: DataFrame, least_texts: int) -> DataFrame:
+def _apart(texts: DataFrame, hits: DataFrame, least_texts: int, long_texts: int) -> DataFrame:
     """The lines that still recur when a group of near duplicates counts as one text: line.
 
-    ``hits`` has text_key, line and template. Only texts that hold recurring lines are grouped; others count for none.
+    ``hits`` has text_key, line, long and template. Only texts that hold recurring lines are grouped; others count for none.
     """
     own = texts.join(small_side(stored(hits.select("text_key").distinct(), "hit-texts")), "text_key", "left_semi")
     own = stored(own.groupBy(F.col("text_key").alias("doc_id")).agg(F.first("text").alias("text")), "hit-texts")
     groups = stored(jaccard.near_duplicates(own).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("near")), "near")
-    counted = stored(hits.join(small_side(groups), "text_key").select("line", "template", "near").distinct(), "counted")
-    often = counted.where("template is null").groupBy("line").count().where(F.col("count") >= least_texts).select("line")
-    wide = counted.where("template is not null").select("template", "near").distinct().groupBy("template").count()
-    wide = stored(wide.where(F.col("count") >= least_texts).select("template"), "wide")
+    counted = stored(hits.join(small_side(groups), "text_key").select("line", "long", "template", "near").distinct(), "counted")
+    often = _often(counted.where("template is null").groupBy("line", "long").count(), least_texts, long_texts).select("line")
+    wide = counted.where("template is not null").select("template", "long", "near").distinct().groupBy("template", "long").count()
+    wide = stored(_often(wide, least_texts, long_texts).select("template"), "wide")
     more = counted.select("line", "template").distinct().join(small_side(wide), "template", "left_semi").select("line")
     return often.unionAll(more).distinct()
 
@@ -289,10 +297,11 @@ def _without():
     return run
 
 
-def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame:
+def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, long_texts: int = LONG_TEXTS) -> DataFrame:
     """``docs`` (text and any other columns) without the lines whose template recurs, and with ``lines_dropped`` (long).
 
-    A template recurs if it occurs in at least ``least_texts`` different texts; exact copies of a text count as one,
+    A template recurs if it occurs in at least ``least_texts`` different texts, one of LONG_TOKENS tokens or more in
+    ``long_texts``; exact copies of a text count as one,
     and so do near duplicates (word 5-grams with a Jaccard similarity of 0.75), which are left to document deduplication.
     Templates of fewer than LEAST_TOKENS tokens say too little and stay. Lines
     end at a newline; other lines, blank ones included, stay as they are, in order. Null and empty texts stay,
@@ -301,9 +310,9 @@ def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS) -> DataFrame
     docs = docs.drop("lines_dropped")
     texts = docs.where("text <> ''").select(F.xxhash64("text").alias("text_key"), "text")
     lines = stored(_lines(texts).distinct(), "lines")
-    recurring = stored(recurring_lines(texts, lines, least_texts), "recurring")
+    recurring = stored(recurring_lines(texts, lines, least_texts, long_texts), "recurring")
     hits = stored(lines.select("text_key", "line").join(small_side(recurring), "line"), "hits")
-    recurring = stored(_apart(texts, hits, least_texts), "recurring")
+    recurring = stored(_apart(texts, hits, least_texts, long_texts), "recurring")
     hit = lines.join(small_side(recurring), "line").groupBy("text_key").agg(F.collect_set("line").alias("_found"))
     hit = stored(hit.withColumnRenamed("text_key", "_text_key"), "hit")
     out = docs.join(small_side(hit, BROADCAST_ROWS // 10), F.xxhash64("text") == F.col("_text_key"), "left")

@@ -7,6 +7,8 @@ base plus a running sum within the bucket, so that no task sorts a whole source.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from fathomry.llm.common import small_side, stored, word_count
 WEIGHTS = (5, 2, 1)
 #: A source is taken at most so many times.
 MOST_EPOCHS = 3
-#: Leading hex digits of the key that make a bucket: 4,096 buckets for each source.
-BUCKET_DIGITS = 3
+#: A bucket is to hold about so many rows at most. Results don't depend on it.
+BUCKET_ROWS = 1 << 14
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
@@ -26,7 +28,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS)
     The targets share the sum of all sizes by weight, but none is above ``most_epochs`` times its source's size;
     what is above is reshared by weight. With the sources in order of limit / weight, those before the first
     that its share doesn't fill are at their limits, and the rest share what these leave. The windows hold one
-    row for each source.
+    row for each source, of which a task must hold all.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -50,7 +52,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_epochs: int = MOST_EPOCHS, seed:
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))))
     rows = stored(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), key.alias("key")), "sizes")
-    rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    digits = max(1, math.ceil(math.log(max(1, rows.count() / BUCKET_ROWS), 16)))
+    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
     sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most_epochs)
     budget, whole = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
@@ -76,14 +79,19 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` once for each time it is taken, with the columns of ``docs``.
 
     The document in which a source's budget ends is there with its first words only, joined by spaces; a column
-    n_chars then follows the text. Equal rows share what they take in equal whole words.
+    n_chars then follows the text. Equal rows (of one doc_id, text and source) share what they take in equal whole words;
+    words left over, fewer than there are such rows, follow in further copies of one of them. So the mix has each
+    source's budget to the word. Rows of null or empty text aren't taken. An empty table gives an empty result.
     """
-    taken = mix(docs, **options).where("taken > 0")
-    each = taken.groupBy("doc_id", "text_hash", "source").agg(F.first("size").alias("_size"), F.floor(F.sum("taken") / F.count(F.lit(1))).alias("_taken"))
     names = docs.columns
+    taken = mix(docs, **options)
+    share = F.floor(F.sum("taken") / F.count(F.lit(1)))
+    each = taken.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), F.col("source").alias("_source"))
+    each = stored(each.agg(F.first("size").alias("_size"), share.alias("_taken"), (F.sum("taken") - share * F.count(F.lit(1))).alias("_left")), "taken")
     rows = docs.withColumn("_hash", F.xxhash64("text"))
-    right = each.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), F.col("source").alias("_source"), "_size", "_taken").where("_taken > 0")
-    rows = rows.join(right, rows["doc_id"].eqNullSafe(right["_doc"]) & (rows["_hash"] == right["_text"]) & rows["source"].eqNullSafe(right["_source"]))
+    key = rows["doc_id"].eqNullSafe(F.col("_doc")) & (rows["_hash"] == F.col("_text")) & rows["source"].eqNullSafe(F.col("_source"))
+    left = rows.join(small_side(each.where("_left > 0")), key).dropDuplicates(["_doc", "_text", "_source"]).withColumn("_taken", F.col("_left"))
+    rows = rows.join(each.where("_taken > 0"), key).unionByName(left)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     words = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
     cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, words), " ")

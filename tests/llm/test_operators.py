@@ -126,7 +126,11 @@ def test_mix(spark):
         assert sum(r.taken for r in own) == round(own[0].target) and own[0].source_size == sum(r.size for r in own)
     assert math.isclose(sum({r.source: r.target for r in out}.values()), sum(r.size for r in out))
     words = lambda df: df.select(F.sum(F.size(F.split("text", " ")))).first()[0]
-    assert abs(words(mixing.mixed(docs).where("text <> ''")) - sum(r.taken for r in out)) <= 2
+    assert words(mixing.mixed(docs)) == sum(r.taken for r in out)
+    for copies, others in ((7, 30), (40, 9)):  # repeated rows share a budget that ends among them
+        rows = [(1, "w " * 13, None, "a", 0)] * copies + [(k, "v " * 17, None, "b", 0) for k in range(2, others)]
+        again = spark.createDataFrame(rows, DOCS)
+        assert mixing.mixed(again).select(F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != "")))).first()[0] == sum(r.taken for r in mixing.mix(again).collect())
     assert Counter(map(tuple, mixing.mix(docs.repartition(5)).collect())) == Counter(map(tuple, out))
     assert mixing.mix(odd_docs(spark)).count() == len(ODD) + 1 and mixing.mix(docs.limit(0)).count() == 0
 

@@ -36,3 +36,17 @@ def test_stages_take_odd_rows(spark):
         for _, stage in P.STAGES:
             table_out = stage(spark, table, "")
             assert table_out.count() <= 3 * docs.count()
+
+
+def test_near_duplicates_keep_one_of_repeated_rows(spark):
+    text, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, text), (3, text), (2, text), (2, text), (None, other), (None, other), (7, None), (7, None), (8, " "), (2, other + " x y z")]
+    docs = spark.createDataFrame([(k, t, None, None, 0, "clash") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component string")
+    found = sorted(map(str, P.near_duplicates(spark, docs, "").select("doc_id", "text").collect()))
+    assert found == sorted(f"Row(doc_id={k}, text={t!r})" for k, t in [(2, text), (None, other), (7, None), (7, None), (8, " "), (2, other + " x y z")])
+
+
+def test_language_id_drops_what_it_rejects(spark):
+    docs = spark.createDataFrame([(k, t, x, None, 0) for k, (t, x) in enumerate([("aa bb aa cc", "x"), ("dd ee dd ff", "y"), ("aa cc bb", None), ("12 34", "x"), (None, "x")] * 20)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.language_id(spark, docs, "")
+    assert {(r.text, r.lang) for r in out.collect()} == {("aa bb aa cc", "x"), ("dd ee dd ff", "y"), ("aa cc bb", "x")} and out.count() == 60

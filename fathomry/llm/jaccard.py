@@ -10,8 +10,8 @@ The global order puts shingles of frequent counters last, so that common passage
 Groups of copies are not expanded into pairs. Documents of equal sets are one node. Then every document is
 compared exactly with the pivot of each of a few min-hash buckets, its most central member, which joins the large
 groups with a number of comparisons in proportion to the documents; the prefix join has to find only links between
-different components. Two documents around one pivot that share too little with it can only link through shingles
-that the pivot lacks: such pairs are sought by these few shingles alone, not by what the whole group has in common.
+different components. Two documents around one pivot that share too little of the group's core (the pivot's shingles
+and others that are common there) can only link through what is beside it: such pairs are sought by these few shingles alone.
 Before texts are compared, a bound on what two sets can share after their prefixes leaves out most candidates.
 """
 
@@ -39,6 +39,8 @@ BINS, BUCKET_BINS, PROMISING = 32, 8, 0.55
 #: Frequency counters: one for so many bytes of text, but at most 16 M (16 MB broadcast). Beyond, only the order gets coarser.
 BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 24
 _PARTS = 16
+#: A shingle that more documents around a pivot have belongs to the group's core.
+COMMON = 64
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -255,29 +257,48 @@ def _pivots(nodes: DataFrame) -> DataFrame:
     return starred.join(mins.toDF("u", "a"), "u").join(mins.toDF("v", "b"), "v").where(alike >= PROMISING * either).select("u", "v")
 
 
-def _around(stars: DataFrame, several: DataFrame, first: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The documents around each pivot whose group holds several components: doc_id, pivot, component, n, over, inner, rest.
+def _gathered(stars: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents around each pivot, doc_id, pivot, n, over; and what of each is beside the group's core: pivot, token, doc.
 
-    ``over`` is what the document shares with its pivot, ``rest`` what the pivot lacks. Two such documents share at
-    most the smaller ``over`` within the pivot. ``inner`` tells whether for any document of another component that may be enough.
-    A document's pivot is the one of most company, of those that share half of its shingles.
+    A document's pivot is the one of most company, of those that share half of its shingles. The core is the pivot's
+    set and what more than COMMON documents have besides; ``over`` is what the document shares with the core.
     Documents whose id has several texts (``several``) are left to the general join.
     """
-    p, q = threshold
     rows = stars.where("2 * both >= un").join(small_side(several.select(F.col("doc_id").alias("u"))), "u", "left_anti").join(small_side(several.select(F.col("doc_id").alias("v"))), "v", "left_anti")
     company = stored(rows.groupBy("v").agg(F.count(F.lit(1)).alias("company")), "company")
     best = rows.join(small_side(company), "v").groupBy("u").agg(F.max_by(F.struct("v", "vn", "un", "both", "rest"), F.struct("company", "both", -F.col("v"))).alias("b")).select("u", "b.*")
     best = stored(best, "best")
+    beside = best.select(F.col("v").alias("pivot"), F.explode("rest").alias("token"), F.col("u").alias("doc"))
+    common = stored(beside.groupBy("pivot", "token").count().where(F.col("count") > COMMON).select("pivot", "token"), "common")
+    core = beside.join(small_side(common), ["pivot", "token"], "left_semi").groupBy(F.col("doc").alias("u")).agg(F.count(F.lit(1)).alias("more"))
+    own = best.join(core, "u", "left").select(F.col("u").alias("doc_id"), F.col("v").alias("pivot"), F.col("un").alias("n"), F.expr("both + coalesce(more, 0)").alias("over"))
     alone = best.groupBy("v").agg(F.min("vn").alias("n")).join(best.select(F.col("u").alias("v")), "v", "left_anti")
-    alone = alone.select(F.col("v").alias("doc_id"), F.col("v").alias("pivot"), "n", F.col("n").alias("over"), F.expr("cast(array() as array<long>)").alias("rest"))
-    rows = best.select(F.col("u").alias("doc_id"), F.col("v").alias("pivot"), F.col("un").alias("n"), F.col("both").alias("over"), "rest").unionByName(alone)
-    rows = rows.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = stored(rows.withColumn("cap", F.expr(f"{p + q} * over div {p} - n")), "around")
+    own = own.unionByName(alone.select(F.col("v").alias("doc_id"), F.col("v").alias("pivot"), "n", F.col("n").alias("over")))
+    return stored(own, "around"), stored(beside.join(small_side(common), ["pivot", "token"], "left_anti"), "beside")
+
+
+def _placed(around: DataFrame, first: DataFrame) -> DataFrame:
+    """``around`` with each document's component, and the component of its pivot (``main``), where a group holds several components."""
+    rows = around.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     main = rows.select(F.col("doc_id").alias("pivot"), F.col("component").alias("main"))
-    rows = rows.join(main, "pivot").withColumn("aside", F.expr("component <> main"))
+    rows = rows.join(main, "pivot")
+    split = rows.where("component <> main").select("pivot").distinct()
+    return rows.join(split, "pivot", "left_semi")
+
+
+def _central(placed: DataFrame) -> DataFrame:
+    """The pairs (u, v) of each document that isn't in its pivot's component and the group's document, besides the pivot, that is nearest to the core."""
+    nearest = placed.where("doc_id <> pivot").groupBy("pivot").agg(F.min_by("doc_id", F.struct(F.expr("n - 2 * over"), "doc_id")).alias("v"))
+    return placed.where("component <> main").join(nearest, "pivot").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+
+
+def _inner(placed: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, pivot, component, n, over, and ``inner``: whether what a document of another component shares within the core may be enough."""
+    p, q = threshold
+    rows = placed.withColumn("cap", F.expr(f"{p + q} * over div {p} - n")).withColumn("aside", F.expr("component <> main"))
     group = rows.groupBy("pivot").agg(F.max(F.when(F.col("aside"), F.col("cap"))).alias("aside_cap"), F.min(F.when(F.col("aside"), F.col("n"))).alias("aside_n"), F.min("n").alias("least_n"))
     inner = F.expr(f"if(aside, cap >= least_n and {q} * cap >= {p} * n, n <= aside_cap and cap >= aside_n)")
-    return rows.join(group.where("aside_n is not null"), "pivot").select("doc_id", "pivot", "component", "n", "over", inner.alias("inner"), "rest")
+    return rows.join(group, "pivot").select("doc_id", "pivot", "component", "n", "over", inner.alias("inner"))
 
 
 def _candidates(tables: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -322,12 +343,12 @@ def _candidates(tables: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return out.groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _beside(around: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) around one pivot that share too little with it, but with what it lacks may reach the threshold."""
+def _beside(around: DataFrame, beside: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) around one pivot that share too little of the core, but with what is beside it may reach the threshold."""
     p, q = threshold
-    rows = stored(around.select("pivot", F.explode("rest").alias("token"), F.col("doc_id").alias("doc"), "component", "n", "over"), "rest")
+    rows = stored(beside.join(around.select(F.col("doc_id").alias("doc"), "component", "n", "over"), "doc"), "beside")
     lists = rows.groupBy("pivot", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = stored(rows.join(lists.select("pivot", "token"), ["pivot", "token"], "left_semi"), "rest")
+    rows = stored(rows.join(lists.select("pivot", "token"), ["pivot", "token"], "left_semi"), "beside")
     x, y = rows.alias("x"), rows.alias("y")
     fits = f"x.pivot = y.pivot and x.token = y.token and x.component <> y.component and (y.n < x.n or y.n = x.n and y.doc < x.doc) and {q} * y.n >= {p} * x.n and {p} * (x.n + y.n) > {p + q} * least(x.over, y.over)"
     pairs = x.join(y, F.expr(fits)).groupBy(F.col("x.doc").alias("u"), F.col("y.doc").alias("v"))
@@ -363,13 +384,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     stars = stored(_compared(_pivots(nodes), docs, words, threshold, rest=True), "stars")
     links = stars.where("linked").select("u", "v").unionAll(copies)
     first = stored(components(links), "components")
-    around = stored(_around(stars, several, first, threshold), "around")
+
+    # What isn't in the component of its group's pivot, against the most central of the others.
+    around, beside = _gathered(stars, several)
+    links = stored(links.unionAll(_compared(_central(_placed(around, first)), docs, words, threshold)), "links")
+    first = stored(components(links), "components")
+    around = stored(_inner(_placed(around, first), threshold), "around")
 
     # Prefixes of one document of each node.
     reps = nodes.select(F.col("node").alias("doc_id")).distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     reps = stored(reps.join(around.select("doc_id", "pivot", "over", "inner"), "doc_id", "left"), "reps")
     tables = stored(_prefixes(docs.join(small_side(reps), "doc_id"), level, words, threshold), "prefixes")
-    pairs = _enough(_candidates(tables, threshold), tables, threshold).unionAll(_beside(around, threshold)).distinct()
+    pairs = _enough(_candidates(tables, threshold), tables, threshold).unionAll(_beside(around, beside, threshold)).distinct()
     more = stored(_compared(pairs, docs, words, threshold), "links")
 
     final = components(links.unionAll(more)).withColumnRenamed("node", "doc_id")

@@ -78,11 +78,11 @@ def fields(tokens: list[str]) -> list[int]:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """(text_key, line, leaf, long) once for each different line of a text."""
+    """(text_key, line, leaf, size: tokens) once for each different line of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, leaves, long, sizes = [], [], [], []
+            lines, leaves, tokens_of, sizes = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own: dict[int, list[str]] = {}
                 for key, tokens in parsed_lines(text):
@@ -90,12 +90,12 @@ def _lines(texts: DataFrame) -> DataFrame:
                         own.setdefault(key, tokens)
                 lines += own.keys()
                 leaves += map(_leaf, own.values())
-                long += [len(tokens) >= LONG_TOKENS for tokens in own.values()]
+                tokens_of += map(len, own.values())
                 sizes.append(len(own))
             keys = batch.column("text_key").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(lines, pa.int64()), pa.array(leaves, pa.int64()), pa.array(long, pa.bool_())], names=["text_key", "line", "leaf", "long"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(lines, pa.int64()), pa.array(leaves, pa.int64()), pa.array(tokens_of, pa.int32())], names=["text_key", "line", "leaf", "size"])
 
-    return texts.select("text_key", "text").mapInArrow(run, "text_key long, line long, leaf long, long boolean")
+    return texts.select("text_key", "text").mapInArrow(run, "text_key long, line long, leaf long, size int")
 
 
 def _shapes(texts: DataFrame) -> DataFrame:
@@ -239,6 +239,7 @@ def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST
 
     ``texts`` has text_key and text, ``lines`` is what ``_lines`` makes of them, once for each text_key and line.
     """
+    lines = lines.withColumn("long", F.col("size") >= LONG_TOKENS)
     counts = stored(lines.groupBy("line", "leaf", "long").agg(F.count(F.lit(1)).alias("count"), F.min("text_key").alias("text_key")), "line-counts")
     often = _often(counts, least_texts, long_texts).select("line", "long", F.lit(None).cast("long").alias("template"))
 
@@ -265,15 +266,19 @@ def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST
     return often.unionAll(more)
 
 
-def _apart(texts: DataFrame, hits: DataFrame, least_texts: int, long_texts: int) -> DataFrame:
+def _apart(texts: DataFrame, lines: DataFrame, hits: DataFrame, least_texts: int, long_texts: int) -> DataFrame:
     """The lines that still recur when a group of near duplicates counts as one text: line.
 
-    ``hits`` has text_key, line, long and template. Only texts that hold recurring lines are grouped; others count for none.
+    ``hits`` has text_key, line, size, long and template. Only texts of which recurring lines are at least half can be copies
+    as a whole; others count each.
     """
-    own = texts.join(small_side(stored(hits.select("text_key").distinct(), "hit-texts")), "text_key", "left_semi")
+    sizes = lines.groupBy("text_key").agg(F.sum("size").alias("all"))
+    whole = hits.groupBy("text_key").agg(F.sum("size").alias("own")).join(sizes, "text_key").where("2 * own >= all").select("text_key")
+    own = texts.join(small_side(stored(whole, "whole-texts")), "text_key", "left_semi")
     own = stored(own.groupBy(F.col("text_key").alias("doc_id")).agg(F.first("text").alias("text")), "hit-texts")
     groups = stored(jaccard.near_duplicates(own).select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("near")), "near")
-    counted = stored(hits.join(small_side(groups), "text_key").select("line", "long", "template", "near").distinct(), "counted")
+    counted = hits.join(small_side(groups), "text_key", "left").withColumn("near", F.coalesce("near", "text_key"))
+    counted = stored(counted.select("line", "long", "template", "near").distinct(), "counted")
     often = _often(counted.where("template is null").groupBy("line", "long").count(), least_texts, long_texts).select("line")
     wide = counted.where("template is not null").select("template", "long", "near").distinct().groupBy("template", "long").count()
     wide = stored(_often(wide, least_texts, long_texts).select("template"), "wide")
@@ -302,7 +307,8 @@ def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, long_texts:
 
     A template recurs if it occurs in at least ``least_texts`` different texts, one of LONG_TOKENS tokens or more in
     ``long_texts``; exact copies of a text count as one,
-    and so do near duplicates (word 5-grams with a Jaccard similarity of 0.75), which are left to document deduplication.
+    and so do near duplicates (word 5-grams with a Jaccard similarity of 0.75) of which recurring lines are at least
+    half; these are left to document deduplication.
     Templates of fewer than LEAST_TOKENS tokens say too little and stay. Lines
     end at a newline; other lines, blank ones included, stay as they are, in order. Null and empty texts stay,
     repeated rows are treated alike, and a column lines_dropped is replaced. No row goes. An empty table gives an empty result.
@@ -311,8 +317,8 @@ def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, long_texts:
     texts = docs.where("text <> ''").select(F.xxhash64("text").alias("text_key"), "text")
     lines = stored(_lines(texts).distinct(), "lines")
     recurring = stored(recurring_lines(texts, lines, least_texts, long_texts), "recurring")
-    hits = stored(lines.select("text_key", "line").join(small_side(recurring), "line"), "hits")
-    recurring = stored(_apart(texts, hits, least_texts, long_texts), "recurring")
+    hits = stored(lines.select("text_key", "line", "size").join(small_side(recurring), "line"), "hits")
+    recurring = stored(_apart(texts, lines, hits, least_texts, long_texts), "recurring")
     hit = lines.join(small_side(recurring), "line").groupBy("text_key").agg(F.collect_set("line").alias("_found"))
     hit = stored(hit.withColumnRenamed("text_key", "_text_key"), "hit")
     out = docs.join(small_side(hit, BROADCAST_ROWS // 10), F.xxhash64("text") == F.col("_text_key"), "left")

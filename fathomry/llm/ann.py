@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.llm.common import stored
-from fathomry.llm.vectors import distinct_vectors, in_blocks, matrix, ranked, usable
+from fathomry.llm.vectors import distinct_vectors, in_blocks, matrix, query_vectors, ranked, usable
 
 #: Hashes a table, tables and probes for so many vectors at most: the fewer there are, the farther the nearest.
 PARAMETERS = ((1 << 14, (1, 12, 16)), (1 << 20, (1, 12, 6)), (float("inf"), (2, 24, 96)))
@@ -59,8 +59,8 @@ def probes(x: np.ndarray, table: int, hashes: int, count: int) -> np.ndarray:
     return buckets
 
 
-def _bucketed(vectors: DataFrame, name: str, hashes: int, tables: int, count: int) -> DataFrame:
-    """Rows (name, vector, single) once for each table and probe, with dim, table_no and bucket."""
+def _bucketed(vectors: DataFrame, hashes: int, tables: int, count: int) -> DataFrame:
+    """Rows (vector and others) once for each table and probe, with dim, table_no and bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,22 +77,38 @@ def _bucketed(vectors: DataFrame, name: str, hashes: int, tables: int, count: in
                     extra = [pa.array(np.full(buckets.size, v, np.int32)) for v in (dim, t)]
                     yield pa.RecordBatch.from_arrays([*rows.columns, *extra, pa.array(buckets.ravel())], names=[*rows.schema.names, "dim", "table_no", "bucket"])
 
-    return vectors.select(name, "vector", "single").mapInArrow(run, f"{name} long, vector array<double>, single boolean, dim int, table_no int, bucket long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
+    return vectors.mapInArrow(run, f"{kinds}, dim int, table_no int, bucket long")
+
+
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from v; scaled first where squares would leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = x - v
+        out = np.sqrt((d * d).sum(axis=1))
+        odd = ~((out > 1e-140) & (out < 1e150))
+        if odd.any():
+            d = d[odd]
+            most = np.abs(d).max(axis=1)
+            unit = d / np.where((most > 0) & (most < np.inf), most, 1.0)[:, None]
+            out[odd] = np.sqrt((unit * unit).sum(axis=1)) * np.where(most < np.inf, np.where(most > 0, most, 1.0), 1.0)
+    return out
 
 
 def _nearest(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if rows.num_rows and queries.num_rows:
-            order = np.argsort(rep := rows.column("rep").to_numpy(), kind="stable")
-            rep, x, single = rep[order], matrix(rows.column("vector"))[order], rows.column("single").to_numpy()[order]
+            rep, salt = rows.column("rep").to_numpy(), rows.column("salt").to_numpy()
+            order = np.lexsort((salt, rep))
+            rep, salt, x, single = rep[order], salt[order], matrix(rows.column("vector"))[order], rows.column("single").to_numpy()[order]
             for q, v in zip(queries.column("query_id").to_pylist(), matrix(queries.column("vector")), strict=True):
-                score = np.sqrt(((x - v) ** 2).sum(axis=1))
-                score[(rep == q) & single] = np.inf
+                score = distances(x, v)
+                score[(rep == q) & single] = np.nan  # last of all
                 best = np.argsort(score, kind="stable")[:k]
-                out += [(q, int(rep[b]), float(score[b])) for b in best if not (rep[b] == q and single[b])]
-        q, r, s = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "rep": pa.array(r, pa.int64()), "score": pa.array(s, pa.float64())})
+                out += [(q, int(rep[b]), int(salt[b]), float(score[b])) for b in best if not (rep[b] == q and single[b])]
+        q, r, t, s = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "rep": pa.array(r, pa.int64()), "salt": pa.array(t, pa.int64()), "score": pa.array(s, pa.float64())})
 
     return run
 
@@ -101,8 +117,8 @@ def nearest(vectors: DataFrame, queries, k: int = 10, parameters: tuple[int, int
     """The k nearest vectors found for each query: query_id, rank, vec_id, score (Euclidean distance).
 
     ``vectors`` has vec_id and embedding; ``queries`` is a condition on vec_id. Rows whose vector is null, empty,
-    zero or holds null or non-finite components take no part, nor do rows without an id; of rows with one id the
-    smallest vector counts. A query is compared with vectors of its own length only and never with itself; ties go to the
+    zero or holds null or non-finite components take no part, nor do rows without an id. Every other row is a candidate,
+    also where rows of one id have different vectors (the smallest of them asks; equal rows count once). A query is compared with vectors of its own length only and never with itself; ties go to the
     smaller vec_id. Fewer than k rows come only for fewer candidates. Other columns are not read. ``parameters``:
     hashes a table, tables, probes; by default by the number of vectors. An empty table gives an empty result.
     """
@@ -111,14 +127,15 @@ def nearest(vectors: DataFrame, queries, k: int = 10, parameters: tuple[int, int
     groups = stored(distinct_vectors(rows, k).withColumn("single", F.size("members") == 1), "groups")
     size = groups.count()
     hashes, tables, count = parameters or next(own for most, own in PARAMETERS if size <= most)
-    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "vector", F.lit(False).alias("single"))
-    schema = "query_id long, rep long, score double"
+    asked = query_vectors(rows, queries)
+    schema = "query_id long, rep long, salt long, score double"
     keys = ["dim", "table_no", "bucket"]
-    index, looked = _bucketed(groups, "rep", hashes, tables, 1), _bucketed(asked, "query_id", hashes, tables, count)
-    found = stored(in_blocks(index, looked.drop("single"), keys, _nearest(k), schema).distinct(), "found")
+    index = _bucketed(groups.select("rep", "salt", "vector", "single"), hashes, tables, 1)
+    looked = _bucketed(asked, hashes, tables, count)
+    found = stored(in_blocks(index, looked, keys, _nearest(k), schema).distinct(), "found")
     out = stored(ranked(found, groups, k, F.col("score").asc()), "ranked")
     short = asked.join(out.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
     dim = F.size("vector").alias("dim")
-    scanned = in_blocks(groups.select("rep", "vector", "single", dim), short.select("query_id", "vector", dim), ["dim"], _nearest(k), schema)
+    scanned = in_blocks(groups.select("rep", "salt", "vector", "single", dim), short.select("query_id", "vector", dim), ["dim"], _nearest(k), schema)
     rest = ranked(scanned, groups, k, F.col("score").asc())
     return out.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)

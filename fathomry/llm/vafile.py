@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.llm.common import stored
-from fathomry.llm.vectors import distinct_vectors, in_blocks, matrix, ranked, usable
+from fathomry.llm.vectors import distinct_vectors, in_blocks, matrix, query_vectors, ranked, usable
 
 #: Cells of each dimension.
 CELLS = 64
 SCALE = 1024
-#: Components of which a product of two could leave the range of a long in a sum.
-LARGEST = 1 << 28
+#: Below, the product of two vectors' lengths bounds every sum of products within a long; above, decimals add them up.
+SAFE = float(1 << 62)
 
 
 def cell_bounds(groups: DataFrame, cells: int = CELLS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -38,7 +38,7 @@ def cell_bounds(groups: DataFrame, cells: int = CELLS) -> dict[int, tuple[np.nda
 
 
 def approximations(groups: DataFrame, bounds) -> DataFrame:
-    """rep, single, dim, cells: one byte for each component instead of the vector."""
+    """rep, salt, single, dim, cells: one byte for each component instead of the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,21 +47,21 @@ def approximations(groups: DataFrame, bounds) -> DataFrame:
                 part = batch.filter(pa.array(sizes == dim))
                 x, highs = matrix(pa.chunked_array([part.column("vector")])), bounds.value[dim][1]
                 cells = np.stack([np.searchsorted(highs[j, :-1], x[:, j]) for j in range(dim)], axis=1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("single"), pa.array(np.full(len(x), dim, np.int32)), pa.array([c.tobytes() for c in cells], pa.binary())], names=["rep", "single", "dim", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("salt"), part.column("single"), pa.array(np.full(len(x), dim, np.int32)), pa.array([c.tobytes() for c in cells], pa.binary())], names=["rep", "salt", "single", "dim", "cells"])
 
-    return groups.select("rep", "single", "vector").mapInArrow(run, "rep long, single boolean, dim int, cells binary")
+    return groups.select("rep", "salt", "single", "vector").mapInArrow(run, "rep long, salt long, single boolean, dim int, cells binary")
 
 
 def _bounded(k: int, bounds):
     """The approximations of a block that can be among a query's k best in it, with their bounds."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"query_id": [], "rep": [], "low": [], "high": []}
+        out = {"query_id": [], "rep": [], "salt": [], "low": [], "high": []}
         if rows.num_rows and queries.num_rows:
             dim = rows.column("dim")[0].as_py()
             cells = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, dim)
             lows, highs = (b[np.arange(dim), cells] for b in bounds.value[dim])
-            rep, single = rows.column("rep").to_numpy(), rows.column("single").to_numpy()
+            rep, salt, single = (rows.column(c).to_numpy() for c in ("rep", "salt", "single"))
             most = max(np.abs(lows).max(), np.abs(highs).max())
             ids = queries.column("query_id").to_numpy()
             for start in range(0, len(ids), 128):
@@ -73,9 +73,9 @@ def _bounded(k: int, bounds):
                 low[own] = high[own] = -np.inf
                 least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
                 i, j = np.nonzero((high >= least[:, None]) & ~own)
-                for name, values in (("query_id", ids[start + i]), ("rep", rep[j]), ("low", low[i, j]), ("high", high[i, j])):
+                for name, values in (("query_id", ids[start + i]), ("rep", rep[j]), ("salt", salt[j]), ("low", low[i, j]), ("high", high[i, j])):
                     out[name].append(values)
-        kinds = {"query_id": np.int64, "rep": np.int64, "low": np.float64, "high": np.float64}
+        kinds = {"query_id": np.int64, "rep": np.int64, "salt": np.int64, "low": np.float64, "high": np.float64}
         return pa.table({n: pa.array(np.concatenate([np.empty(0, kinds[n]), *v]).astype(kinds[n])) for n, v in out.items()})
 
     return run
@@ -85,29 +85,33 @@ def top_products(vectors: DataFrame, queries, k: int = 10, scale: int = SCALE, c
     """The k highest inner products of floor(scale * x) vectors for each query: query_id, rank, vec_id, score (long).
 
     ``vectors`` has vec_id and embedding; ``queries`` is a condition on vec_id. Rows whose vector is null, empty or
-    holds null or non-finite components take no part, nor do rows without an id, nor vectors with a scaled component of
-    2**28 and more (their scores may not fit a long); of rows with one id the smallest vector counts. A query is scored
-    against vectors of its own length, never against itself; ties go to the smaller vec_id. Other columns are not read. An
+    holds null or non-finite components take no part, nor do rows without an id. Every other row is a candidate, also
+    where rows of one id have different vectors (the smallest of them asks; equal rows count once). A component or a
+    candidate's score beyond a long raises an error. A query is scored against vectors of its own length, never against itself; ties go to the smaller vec_id. Other columns are not read. An
     empty table gives an empty result.
     """
-    rows = usable(vectors).where(F.forall("vector", lambda x: F.abs(x) < LARGEST / scale))
-    rows = stored(rows.select("vec_id", F.transform("vector", lambda x: F.floor(x * float(scale)).cast("long")).alias("vector")), "vectors")
+    large = F.raise_error(F.lit("a scaled component leaves the range of a long")).cast("long")
+    scaled = F.transform("vector", lambda x: F.when(F.abs(x) < 2.0**63 / scale, F.floor(x * float(scale)).cast("long")).otherwise(large))
+    rows = stored(usable(vectors).select("vec_id", scaled.alias("vector")).distinct(), "vectors")
     groups = stored(distinct_vectors(rows, k).withColumn("single", F.size("members") == 1), "groups")
     bounds = rows.sparkSession.sparkContext.broadcast(cell_bounds(groups, cells))
     file = stored(approximations(groups, bounds), "cells")
-    asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "vector", F.size("vector").alias("dim"))
-    found = stored(in_blocks(file, asked, ["dim"], _bounded(k, bounds), "query_id long, rep long, low double, high double"), "bounds")
+    asked = query_vectors(rows, queries).withColumn("dim", F.size("vector"))
+    found = stored(in_blocks(file, asked, ["dim"], _bounded(k, bounds), "query_id long, rep long, salt long, low double, high double"), "bounds")
 
-    by_low = Window.partitionBy("query_id").orderBy(F.col("low").desc(), "rep")
+    by_low = Window.partitionBy("query_id").orderBy(F.col("low").desc(), "rep", "salt")
     kth = found.withColumn("r", F.row_number().over(by_low)).where(F.col("r") == k).select("query_id", F.col("low").alias("least"))
-    left = found.join(kth, "query_id", "left").where("least is null or high >= least").select("query_id", "rep", "high")
-    by_high = Window.partitionBy("query_id").orderBy(F.col("high").desc(), "rep")
+    left = found.join(kth, "query_id", "left").where("least is null or high >= least").select("query_id", "rep", "salt", "high")
+    by_high = Window.partitionBy("query_id").orderBy(F.col("high").desc(), "rep", "salt")
     left = stored(left.withColumn("r", F.row_number().over(by_high)), "left")
 
     def exact(some: DataFrame) -> DataFrame:
-        product = F.expr("aggregate(zip_with(a, b, (x, y) -> x * y), 0L, (s, x) -> s + x)")
-        pairs = some.join(groups.select("rep", F.col("vector").alias("a")), "rep").join(asked.select("query_id", F.col("vector").alias("b")), "query_id")
-        return pairs.select("query_id", "rep", product.alias("score"))
+        length = "sqrt(aggregate({}, 0D, (s, x) -> s + cast(x as double) * x))"
+        plain = "aggregate(zip_with(a, b, (x, y) -> x * y), 0L, (s, x) -> s + x)"
+        wide = "cast(aggregate(zip_with(a, b, (x, y) -> cast(cast(x as decimal(19,0)) * cast(y as decimal(19,0)) as decimal(38,0))), cast(0 as decimal(38,0)), (s, x) -> cast(s + x as decimal(38,0))) as long)"
+        product = F.expr(f"if({length.format('a')} * {length.format('b')} < {SAFE}D, {plain}, {wide})")
+        pairs = some.join(groups.select("rep", "salt", F.col("vector").alias("a")), ["rep", "salt"]).join(asked.select("query_id", F.col("vector").alias("b")), "query_id")
+        return pairs.select("query_id", "rep", "salt", product.alias("score"))
 
     first = stored(exact(left.where(F.col("r") <= k)), "exact")
     certain = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)

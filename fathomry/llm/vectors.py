@@ -14,16 +14,21 @@ BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id long, vector array<double>): rows with an id and a vector of finite components.
 
-    Of several rows with one id, the one with the smallest vector counts; equal rows count once.
+    Rows of one id and different vectors are different rows; equal rows count once.
     """
     vector = F.col(embedding).cast("array<double>")
     fine = F.coalesce(F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False)) & (F.size(vector) > 0)
     out = rows.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), vector.alias("vector"))
-    return out.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return out.distinct()
+
+
+def query_vectors(rows: DataFrame, condition) -> DataFrame:
+    """(query_id, vector) of the rows that meet the condition; of several vectors of one id, the smallest asks."""
+    return rows.where(condition).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """One row for each different vector: rep (its smallest vec_id), members (its k + 1 smallest vec_ids, in order), vector.
+    """One row for each different vector: rep (its smallest vec_id), salt (which of that id's vectors), members (its k + 1 smallest vec_ids, in order), vector.
 
     More copies can't be among any query's k nearest, since ties go to the smaller vec_id and a query leaves out
     only itself. The rank limit is applied before the shuffle, so copies of one vector don't meet in one task.
@@ -31,7 +36,7 @@ def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     few = vectors.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
     out = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    return out.select(F.col("members")[0].alias("rep"), "members", "vector")
+    return out.select(F.col("members")[0].alias("rep"), F.xxhash64("vector").alias("salt"), "members", "vector")
 
 
 def matrix(column: pa.ChunkedArray, kind=np.float64) -> np.ndarray:
@@ -58,7 +63,7 @@ def in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], run, schema:
 
 
 def ranked(found: DataFrame, groups: DataFrame, k: int, order: Column) -> DataFrame:
-    """The k first of each query's (query_id, rep, score), with copies: query_id, rank, vec_id, score."""
-    each = found.join(groups.select("rep", "members"), "rep").select("query_id", F.explode("members").alias("vec_id"), "score").where("vec_id <> query_id")
+    """The k first of each query's (query_id, rep, salt, score), with copies: query_id, rank, vec_id, score."""
+    each = found.join(groups.select("rep", "salt", "members"), ["rep", "salt"]).select("query_id", F.explode("members").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

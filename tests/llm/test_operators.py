@@ -112,6 +112,23 @@ def test_top_products(spark):
     assert vafile.top_products(df.limit(0), F.expr("vec_id % 100 = 0")).count() == 0
 
 
+def test_searches_keep_large_vectors_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (1, [300_000.0, 1.0]), (2, [3.0, -2e6]), (3, [1e200, -1e200]), (4, [1e-200, 2e-200]), (5, [2.0, 2.0]), (5, [7.0, 9.0]), (0, [1.5, 2.0]), (5, [2.0, 2.0]), (6, [-2e6, 4e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [(r.vec_id, r.score) for r in ann.nearest(df, F.expr("vec_id = 0")).orderBy("rank").collect()]
+    best = sorted((math.dist((1.0, 2.0), v), k) for k, v in {(k, tuple(v)) for k, v in rows if k})
+    assert [k for k, _ in found] == [k for _, k in best] and all(math.isclose(s, d) for (_, s), (d, _) in zip(found, best, strict=True))
+    assert [r.vec_id for r in ann.nearest(df, F.expr("vec_id = 3")).orderBy("rank").collect()][:2] != [] and ann.nearest(df, F.expr("vec_id = 4")).orderBy("rank").first().score > 0
+    fits = df.where("vec_id <> 3")
+    exact = lambda v: [math.floor(1024 * x) for x in v]
+    for q, own in ((0, [1.0, 2.0]), (6, [-2e6, 4e6])):
+        got = [(r.vec_id, r.score) for r in vafile.top_products(fits, F.expr(f"vec_id = {q}")).orderBy("rank").collect()]
+        want = sorted(((k, sum(a * b for a, b in zip(exact(v), exact(own)))) for k, v in {(k, tuple(v)) for k, v in rows if k not in (q, 3)}), key=lambda t: (-t[1], t[0]))
+        assert got == want[:10]
+    with pytest.raises(Exception, match="range of a long"):
+        vafile.top_products(df, F.expr("vec_id = 0")).collect()
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 

@@ -61,8 +61,7 @@ def raw_tokens(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Tokens of more than one character that are no stop words, in order."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(raw_tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def stem(token: Column) -> Column:

@@ -213,11 +213,11 @@ wa AS (SELECT doc_id, chunk_no AS pos, text FROM ({_windows('base', 400, 400)}))
     "replaced_chunks": f"""WITH base AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {_EDITED}, {_stable('sa', 'base')}, {_stable('sb', 'edited')}, {_diffed('came', 'sa', 'sb')}, {_diffed('went', 'sb', 'sa')},
 i AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, text FROM came WHERE NOT reused), d AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, text FROM went WHERE NOT reused)
 SELECT doc_id, n, md5(d.text) AS deleted, md5(i.text) AS inserted FROM d FULL JOIN i USING (doc_id, n)""",
-    "version_active": f"{_VERSIONS} SELECT doc_id, CASE WHEN landed >= n_rows THEN 13 ELSE 12 END AS active, 1.0 AS coverage, round(landed / n_rows, 6) AS early_coverage FROM landed",
+    "version_active": f"{_VERSIONS} SELECT doc_id, CASE WHEN landed >= n_rows THEN 13 ELSE 12 END AS active, round(CAST(CASE WHEN landed >= n_rows THEN landed ELSE (SELECT count(*) FROM stable s WHERE s.doc_id = landed.doc_id) END AS DOUBLE) / n_rows, 6) AS coverage, round(landed / n_rows, 6) AS early_coverage FROM landed",
     "collected_rows": f"{_VERSIONS} SELECT doc_id, CASE WHEN landed >= n_rows THEN 13 ELSE 12 END AS oldest, CASE WHEN landed >= n_rows THEN n_rows ELSE 2 * n_rows END AS n_rows FROM landed",
     "gc_series": f"{_UPDATES} SELECT doc_id, version AS edit, version * (1 + doc_id % 60) AS total_rows, (version - 1) * (1 + doc_id % 60) AS stale_rows, 2 * (1 + doc_id % 60) AS kept_rows, 1 + doc_id % 60 AS kept_stale FROM updates WHERE version % 10 = 0",
     "drift": f"{_UPDATES} SELECT n.doc_id FROM newest n LEFT JOIN known k ON n.doc_id = k.doc_id AND n.hash = k.hash WHERE k.doc_id IS NULL",
-    "reconcile": f"{_UPDATES} SELECT doc_id, hash FROM newest",
+    "reconcile": f"{_UPDATES} SELECT k.doc_id, k.hash FROM known k JOIN newest n ON n.doc_id = k.doc_id AND n.hash = k.hash UNION ALL SELECT n.doc_id, n.hash FROM newest n LEFT JOIN known k ON n.doc_id = k.doc_id AND n.hash = k.hash WHERE k.doc_id IS NULL",
     "sequence_gaps": f"{_UPDATES}, s AS (SELECT doc_id, version, lag(version) OVER (PARTITION BY doc_id ORDER BY version) AS after FROM updates WHERE NOT lost) SELECT doc_id, after, version AS before FROM s WHERE version > after + 1",
     "stream_index": f"{_UPDATES} SELECT doc_id, version, hash FROM known",
     "update_rates": f"{_UPDATES} SELECT date_trunc('hour', ts) AS start, count(*) AS events FROM updates GROUP BY ALL",

@@ -35,7 +35,7 @@ THRESHOLD = (3, 4)
 #: The longest prefix asks for so many shared tokens.
 MOST_MATCHES = 8
 #: Min-hash bins of a document's signature, those that open buckets, and the estimate below which a bucket's pair is left to the prefix join.
-BINS, BUCKET_BINS, PROMISING = 32, 8, 0.55
+BINS, BUCKET_BINS, PROMISING = 32, 8, 0.35
 #: Frequency counters: one for so many bytes of text, but at most 16 M (16 MB broadcast). Beyond, only the order gets coarser.
 BYTES_PER_COUNTER, LEAST_COUNTERS, MOST_COUNTERS = 256, 1 << 16, 1 << 24
 _PARTS = 16
@@ -260,11 +260,11 @@ def _pivots(nodes: DataFrame) -> DataFrame:
 def _gathered(stars: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents around each pivot, doc_id, pivot, n, over; and what of each is beside the group's core: pivot, token, doc.
 
-    A document's pivot is the one of most company, of those that share half of its shingles. The core is the pivot's
+    A document's pivot is the one of most company, of those that share a third of its shingles. The core is the pivot's
     set and what more than COMMON documents have besides; ``over`` is what the document shares with the core.
     Documents whose id has several texts (``several``) are left to the general join.
     """
-    rows = stars.where("2 * both >= un").join(small_side(several.select(F.col("doc_id").alias("u"))), "u", "left_anti").join(small_side(several.select(F.col("doc_id").alias("v"))), "v", "left_anti")
+    rows = stars.where("3 * both >= un").join(small_side(several.select(F.col("doc_id").alias("u"))), "u", "left_anti").join(small_side(several.select(F.col("doc_id").alias("v"))), "v", "left_anti")
     company = stored(rows.groupBy("v").agg(F.count(F.lit(1)).alias("company")), "company")
     best = rows.join(small_side(company), "v").groupBy("u").agg(F.max_by(F.struct("v", "vn", "un", "both", "rest"), F.struct("company", "both", -F.col("v"))).alias("b")).select("u", "b.*")
     best = stored(best, "best")

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomry.llm.common import small_side, stored
+
 #: A block holds about so many vectors, and so many queries.
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
 
@@ -54,7 +56,7 @@ def in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], run, schema:
     """
     n = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
     m = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("_query_blocks"))
-    sizes = n.join(m, keys)
+    sizes = small_side(stored(n.join(m, keys), "sizes"))
     left = rows.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64("rep"), F.col("_blocks"))).withColumn("_query_block", F.explode(F.sequence(F.lit(0), F.col("_query_blocks") - 1).cast("array<long>")))
     right = queries.join(sizes, keys).withColumn("_query_block", F.pmod(F.xxhash64("query_id"), F.col("_query_blocks"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1).cast("array<long>")))
     by = [*keys, "_block", "_query_block"]

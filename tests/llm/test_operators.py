@@ -100,6 +100,23 @@ def test_recall_of_the_query(spark):
     assert hits >= 0.9 * total
 
 
+def test_probes_select_few_where_neighbours_are_near(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 32))[rng.integers(0, 60, 6_000)] + 0.4 * rng.normal(size=(6_000, 32))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.stored(ann.usable(df), "rows")
+    groups = ann.distinct_vectors(rows, 10).withColumn("single", F.lit(True))
+    asked = ann.query_vectors(rows, F.expr("vec_id % 100 = 0"))
+    hashes, count, _ = ann.fitted(ann.stored(groups, "groups"), asked)[32]
+    u, q = ann.unit_rows(x), np.arange(0, 6_000, 100)
+    seen = np.zeros((len(q), len(x)), bool)
+    for t in range(ann.TABLES):
+        own, looked = ann.probes(u, t, hashes, 1)[:, 0], ann.probes(u[q], t, hashes, count)
+        seen |= np.array([np.isin(own, p) for p in looked])
+    nearest = np.argsort(((x[q][:, None] - x[None]) ** 2).sum(axis=2), axis=1)[:, 1:11]
+    assert np.take_along_axis(seen, nearest, axis=1).mean() >= 0.9 and seen.mean() < 0.06
+
+
 def test_top_products(spark):
     x, df = vectors(spark)
     y = np.floor(x * 1024).astype(np.int64)

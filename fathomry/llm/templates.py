@@ -39,7 +39,8 @@ SIMILARITY = 0.7
 #: Positions that are compared; a longer line's tokens are compared in as many equal stretches.
 FIELDS = 64
 
-_DIGITS = re.compile(r"\S*\d\S*")
+#: The end of a token from its first digit; its replacement leaves "0" in these tokens alone.
+_DIGITS = re.compile(r"\d\S*")
 _digest = xxhash.xxh3_64_intdigest
 _SIGN = 1 << 63
 #: A template's position in which its lines differ.
@@ -55,11 +56,13 @@ def _key(tokens: str) -> int:
 def parsed_lines(text: str | None) -> list[tuple[int, list[str]]]:
     """The digest and the tokens of each line; lines of too few tokens have the digest 0.
 
-    The whole text is generalised in one go; a token never spans a line.
+    The digits of the whole text are marked in one go, in time linear in its length; a token never spans a line.
     """
     out = []
-    for line in _DIGITS.sub("<*>", text or "").split("\n"):
+    for line in _DIGITS.sub("0", text or "").split("\n"):
         tokens = line.split()
+        if "0" in line:
+            tokens = ["<*>" if token[-1] == "0" else token for token in tokens]
         out.append((_key(" ".join(tokens)) if len(tokens) >= LEAST_TOKENS else 0, tokens))
     return out
 

@@ -324,6 +324,13 @@ def test_line_dedup_of_large_leaves(spark, monkeypatch):
     assert dropped == set(range(len(rare + short)))
 
 
+def test_parsed_lines_mark_tokens_with_digits():
+    found = templates.parsed_lines("a0b \u0663x y\n0\n\nno digits here 7" + "x" * 1_000_000)
+    assert [tokens for _, tokens in found] == [["<*>", "<*>", "y"], ["<*>"], [], ["no", "digits", "here", "<*>"]]
+    assert templates.parsed_lines("x" * 1_000_000) == [(0, ["x" * 1_000_000])]
+    assert templates.parsed_lines(None) == [(0, [])]
+
+
 def test_clusters_generalise():
     table = np.array([[1, 2, 3, 4], [1, 2, 3, 9], [1, 2, 8, 9], [5, 6, 7, 8]])
     assert templates.clusters(table, 0.7).tolist() == [0, 0, 1, 2]

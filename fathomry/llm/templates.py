@@ -148,11 +148,21 @@ def clusters(table: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     return generalised(table, similarity)[0]
 
 
-def _templates(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one leaf's lines, the more frequent lines first; each has the digest of its first line."""
-    pdf = pdf.sort_values(["texts", "line"], ascending=[False, True])
-    found = clusters(np.stack(pdf["fields"].to_numpy()))
-    return pd.DataFrame({"line": pdf["line"], "template": pdf["line"].to_numpy()[np.unique(found, return_index=True)[1]][found]})
+def _templates(rows: pa.Table) -> pa.Table:
+    """Templates of the lines of several whole leaves, the more frequent lines first; each has the digest of its first line."""
+    lines, leaves = rows.column("line").to_numpy(), rows.column("leaf").to_numpy()
+    column = rows.column("fields").combine_chunks()
+    values, starts = column.values.to_numpy(), column.offsets.to_numpy()
+    order = np.lexsort((lines, -rows.column("texts").to_numpy(), leaves))
+    lines, leaves = lines[order], leaves[order]
+    edges = [0, *(np.flatnonzero(np.diff(leaves)) + 1).tolist(), len(order)]
+    out = np.empty_like(lines)
+    for a, b in zip(edges, edges[1:]):
+        own = order[a:b]
+        width = starts[own[0] + 1] - starts[own[0]]
+        found = clusters(values[starts[own][:, None] + np.arange(width)])
+        out[a:b] = lines[a:b][np.unique(found, return_index=True)[1]][found]
+    return pa.table({"line": lines, "template": out})
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -255,8 +265,9 @@ def recurring_lines(texts: DataFrame, lines: DataFrame, least_texts: int = LEAST
     rows = stored(some.select("line", "leaf", "texts", "long").join(shapes, "line"), "shapes")
 
     large = stored(rows.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"), "large")
-    grouped = rows.join(small_side(large), "leaf", "left_anti")
-    found = stored(grouped.drop("long").groupBy("leaf").applyInPandas(_templates, "line long, template long"), "templates")
+    grouped = rows.join(small_side(large), "leaf", "left_anti").drop("long")
+    tasks = rows.count() // LEAF_LINES + 1  # small leaves share a group of about LEAF_LINES lines
+    found = stored(grouped.groupBy(F.expr(f"pmod(hash(leaf), {tasks})")).applyInArrow(_templates, "line long, template long"), "templates")
     if large.limit(1).count():
         found = found.unionByName(stored(_merged_leaves(rows.join(small_side(large), "leaf", "left_semi")), "templates"))
 

@@ -10,9 +10,9 @@ from fathomry.llm.common import stored
 
 def _stars(edges: DataFrame) -> bool:
     """Whether every u has one v and no v is a u: each component is then a star around its smallest id."""
-    several = edges.groupBy("u").count().where("count > 1").limit(1).select("u")
-    chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).select("u")
-    return not several.unionAll(chained).limit(1).count()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("end"))
+    degrees = ends.groupBy("end.node").agg(F.sum("end.out").alias("out"), F.min("end.out").alias("least"))
+    return degrees.where("out > 1 or out = 1 and least = 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -387,8 +387,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
 
     # What isn't in the component of its group's pivot, against the most central of the others.
     around, beside = _gathered(stars, several)
-    links = stored(links.unionAll(_compared(_central(_placed(around, first)), docs, words, threshold)), "links")
-    first = stored(components(links), "components")
+    more = stored(_compared(_central(_placed(around, first)), docs, words, threshold), "links")
+    first = stored(components(first.toDF("u", "v").unionAll(more)), "components")
     around = stored(_inner(_placed(around, first), threshold), "around")
 
     # Prefixes of one document of each node.
@@ -398,5 +398,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
     pairs = _enough(_candidates(tables, threshold), tables, threshold).unionAll(_beside(around, beside, threshold)).distinct()
     more = stored(_compared(pairs, docs, words, threshold), "links")
 
-    final = components(links.unionAll(more)).withColumnRenamed("node", "doc_id")
+    final = components(first.toDF("u", "v").unionAll(more)).withColumnRenamed("node", "doc_id")
     return rows.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(n > 0, coalesce(component, doc_id), doc_id)").alias("component_id"))

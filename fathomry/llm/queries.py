@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import ann, bpe, chat, jaccard, langid, lengths, mixing, resample, templates, url_lists, vafile
+from fathomry.llm import ann, bpe, chat, jaccard, langid, lengths, mixing, phrases, resample, templates, url_lists, vafile
 from fathomry.llm.common import stored
 
 
@@ -75,6 +75,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-_OPERATORS = (op1_url_lists, op2_nearest_neighbours, op3_mix_sources, op4_exact_top_k, op5_chat_turns, op6_token_counts, op7_line_dedup, op8_language_id, op9_bpe, op10_jaccard_join, op12_importance_resampling)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+_OPERATORS = (op1_url_lists, op2_nearest_neighbours, op3_mix_sources, op4_exact_top_k, op5_chat_turns, op6_token_counts, op7_line_dedup, op8_language_id, op9_bpe, op10_jaccard_join, op12_importance_resampling, op13_phrases)
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLE_SQL = {"op1_url_lists": url_lists.SQL, "op3_mix_sources": mixing.SQL, "op4_exact_top_k": vafile.SQL, "op12_importance_resampling": resample.SQL}
+ORACLE_SQL = {"op1_url_lists": url_lists.SQL, "op3_mix_sources": mixing.SQL, "op4_exact_top_k": vafile.SQL, "op12_importance_resampling": resample.SQL, "op13_phrases": phrases.SQL}

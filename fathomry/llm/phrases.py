@@ -1,10 +1,10 @@
 """Phrase collocation mining: depth-limited count tries per shard, merged by prefix range.
 
-A first pass counts hashes of runs of up to SKETCHED words in one table of counters. A phrase one of whose parts has too small
-a counter can't be frequent, so that most runs never enter a trie; a coarser table only lets more through. In a
-second pass each shard of a task's text grows a trie level by level, in arrays: a node is a phrase, its children
-are its continuations. The shard is written as sorted (key, count) rows, a key being the path of the
-node. Runs of all shards are merged by ranges of keys; a walk along each merged range adds up equal keys, drops rare
+Two passes count hashes in tables of counters: those of words, then those of runs of up to SKETCHED words none of which has
+a small counter. A phrase one of whose parts has too small a counter can't be frequent, so that most runs never
+enter a trie; a coarser table only lets more through. In a third pass each shard of a task's text grows a trie level by level, in arrays: a node is a phrase, its children
+are its continuations. A task's shards are merged and written as sorted (key, count) rows, a key being the path of the
+node. Runs of all tasks are merged by ranges of keys; a walk along each merged range adds up equal keys, drops rare
 phrases and reads from the path down to a node how often each of its left parts occurs. Right parts follow from
 suffix links: the link of a node is its phrase without the first word, whose own right parts are the node's others.
 """
@@ -32,8 +32,8 @@ MOST_WORDS, LEAST_COUNT, FIRST, COVERED = 5, 100, 2_000, 100
 #: at most MOST_COUNTERS. This bounds what is broadcast (a bit a counter, 8 MB) and changes work, never results.
 SKETCHED, LOAD, LEAST_COUNTERS, MOST_COUNTERS = 3, 0.3, 1 << 20, 1 << 26
 _BLOCK = 1 << 16
-#: Words of a shard.
-SHARD_WORDS = 1 << 21
+#: Words of a shard, and rows of its run after which a task writes what it has merged.
+SHARD_WORDS, RUN_ROWS = 1 << 21, 1 << 21
 UNKNOWN = "und"
 
 _KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -82,8 +82,17 @@ def _together(piece: np.ndarray, size: int) -> np.ndarray:
     return piece[:last] == piece[size - 1 :][:last]
 
 
-def _counted(rows: DataFrame, counters: int, least: int) -> DataFrame:
-    """From each task: (lang, n) words by language; (block, counts) compressed counters by blocks, that go up to 255 or ``least``."""
+def _may(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the counters of these hashes are large."""
+    x = hashes % np.uint64(len(bits) * 8)
+    return (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _counted(rows: DataFrame, counters: int, least: int, lengths: range, bits=None) -> DataFrame:
+    """From each task: (lang, n) words by language; (block, counts) compressed counters by blocks, that go up to 255 or ``least``.
+
+    With ``bits``, only runs of words that these may let through are counted.
+    """
     kind = np.uint8 if least <= 255 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +103,12 @@ def _counted(rows: DataFrame, counters: int, least: int) -> DataFrame:
             for _, lang, piece, h in _coded(batch.column("text"), langs):
                 for name, k in zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True):
                     sizes[name] = sizes.get(name, 0) + k
-                for size in range(1, SKETCHED + 1):
-                    np.add.at(counts, (_hashes(h, size)[_together(piece, size)] % np.uint64(counters)).astype(np.int64), 1)
+                word = _may(bits.value, _hashes(h, 1)) if bits else None
+                for size in lengths:
+                    fine = _together(piece, size)
+                    for k in range(size) if bits else ():
+                        fine &= word[k : k + len(fine)]
+                    np.add.at(counts, (_hashes(h, size)[fine] % np.uint64(counters)).astype(np.int64), 1)
         yield pa.RecordBatch.from_arrays([pa.array(list(sizes), pa.string()), pa.array(list(sizes.values()), pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names=["lang", "n", "block", "counts"])
         for k in range(counters // _BLOCK):
             own = np.minimum(counts[k * _BLOCK : (k + 1) * _BLOCK], 255 if least <= 255 else least).astype(kind)
@@ -126,14 +139,8 @@ def _frequent(counted: DataFrame, counters: int, least: int) -> np.ndarray:
     return out.ravel()
 
 
-def _trie(words: pa.Array, names: list[bytes], lang: np.ndarray, piece: np.ndarray, h: np.ndarray, bits: np.ndarray, most_words: int) -> tuple[pa.Array, pa.Array]:
-    """The shard's sorted keys and counts: of each phrase that may be frequent, a key of its language and words."""
-
-    def may(size: int, ahead: np.ndarray) -> np.ndarray:
-        """Of the positions ``ahead`` those whose runs of ``size`` words have a large counter."""
-        x = _hashes(h, size)[ahead] % np.uint64(len(bits) * 8)
-        return ahead[(bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-
+def _trie(words: pa.Array, names: list[bytes], lang: np.ndarray, piece: np.ndarray, h: np.ndarray, bits: tuple[np.ndarray, np.ndarray], most_words: int) -> pa.Table:
+    """The shard's (key, k): of each phrase that may be frequent, a key of its language and words, and its count."""
     coded = words.dictionary_encode()
     own = pa.array([_escaped(x) for x in coded.dictionary.to_pylist()], pa.binary())
     code, v = coded.indices.to_numpy().astype(np.int64), len(own)
@@ -145,7 +152,7 @@ def _trie(words: pa.Array, names: list[bytes], lang: np.ndarray, piece: np.ndarr
         if before is not None:
             fine &= (before[:-1] & before[1:])[: len(fine)]
         at = np.flatnonzero(fine)
-        at = may(size, at) if size <= SKETCHED else at
+        at = at[_may(bits[size > 1], _hashes(h, size)[at])] if size <= SKETCHED else at
         if not len(at):
             break
         found, inverse, k = np.unique(node[at] * v + code[at + size - 1], return_inverse=True, return_counts=True)
@@ -154,26 +161,23 @@ def _trie(words: pa.Array, names: list[bytes], lang: np.ndarray, piece: np.ndarr
         counts.append(k)
         before, node = np.zeros(len(fine), bool), np.full(len(fine), -1, np.int64)
         before[at], node[at] = True, inverse
-    if not keys:
-        return pa.array([], pa.binary()), pa.array([], pa.int64())
-    keys, counts = pa.concat_arrays(keys), pa.array(np.concatenate(counts).astype(np.int64))
-    order = pc.sort_indices(keys)
-    return keys.take(order), counts.take(order)
+    return pa.table({"key": pa.chunked_array(keys, pa.binary()), "k": pa.chunked_array([pa.array(x, pa.int64()) for x in counts], pa.int64())})
 
 
 def _runs(rows: DataFrame, bits, most_words: int) -> DataFrame:
-    """(key, k): the sorted runs of all shards."""
+    """(key, k): the sorted runs of all tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names, size = [], {}, 0
+        held, names, size, merged = [], {}, 0, pa.table({"key": pa.array([], pa.binary()), "k": pa.array([], pa.int64())})
 
-        def shard() -> pa.RecordBatch:
+        def shard() -> pa.Table:
             first, pieces = 0, []
             for _, _, piece, _ in held:
                 pieces.append(piece + first)
                 first += int(piece[-1]) + 1 if len(piece) else 0
             own = _trie(pa.concat_arrays([x[0] for x in held]), [x.encode() for x in names], *(np.concatenate(x) for x in ([x[1] for x in held], pieces, [x[3] for x in held])), bits.value, most_words)
-            return pa.RecordBatch.from_arrays(list(own), names=["key", "k"])
+            both = pa.concat_tables([merged, own]).group_by("key").aggregate([("k", "sum")])
+            return both.rename_columns(["key", "k"]).sort_by("key")
 
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
@@ -182,10 +186,12 @@ def _runs(rows: DataFrame, bits, most_words: int) -> DataFrame:
                 held.append((words, number[lang], piece, h))
                 size += len(words)
                 if size >= SHARD_WORDS:
-                    yield shard()
+                    merged = shard()
                     held, size = [], 0
-        if held:
-            yield shard()
+                    if len(merged) >= RUN_ROWS:
+                        yield from merged.to_batches()
+                        merged = merged.slice(0, 0)
+        yield from (shard() if held else merged).to_batches()
 
     return rows.mapInArrow(run, "key binary, k long")
 
@@ -249,10 +255,13 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
     """
     rows = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
     octets = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counters = 1 << int(octets / 6 * SKETCHED / (LOAD * least)).bit_length()
+    counters = 1 << int(octets / 6 * (SKETCHED - 1) / (LOAD * least)).bit_length()
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, counters))
-    counted = stored(_counted(rows, counters, least), "counters")
-    bits = docs.sparkSession.sparkContext.broadcast(_frequent(counted, counters, least))
+    spark = docs.sparkSession.sparkContext
+    counted = stored(_counted(rows, counters, least, range(1, 2)), "counters")
+    words = spark.broadcast(_frequent(counted, counters, least))
+    longer = stored(_counted(rows, counters, least, range(2, SKETCHED + 1), words), "counters")
+    bits = spark.broadcast((words.value, _frequent(longer, counters, least)))
     runs = stored(_runs(rows, bits, most_words), "runs")
     merged = stored(runs.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_walk(least), _SCHEMA), "merged")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.llm import ann, bpe, chat, jaccard, langid, lengths, mixing, phrases, resample, templates, url_lists, vafile
+from fathomry.llm import ann, bpe, chat, jaccard, langid, lengths, mixing, packing, phrases, resample, templates, url_lists, vafile
 from fathomry.llm.common import stored
 
 
@@ -71,6 +71,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.packed(cut).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
@@ -79,6 +86,6 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
-_OPERATORS = (op1_url_lists, op2_nearest_neighbours, op3_mix_sources, op4_exact_top_k, op5_chat_turns, op6_token_counts, op7_line_dedup, op8_language_id, op9_bpe, op10_jaccard_join, op12_importance_resampling, op13_phrases)
+_OPERATORS = (op1_url_lists, op2_nearest_neighbours, op3_mix_sources, op4_exact_top_k, op5_chat_turns, op6_token_counts, op7_line_dedup, op8_language_id, op9_bpe, op10_jaccard_join, op11_best_fit_packing, op12_importance_resampling, op13_phrases)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL = {"op1_url_lists": url_lists.SQL, "op3_mix_sources": mixing.SQL, "op4_exact_top_k": vafile.SQL, "op12_importance_resampling": resample.SQL, "op13_phrases": phrases.SQL}

@@ -34,6 +34,8 @@ SKETCHED, LOAD, LEAST_COUNTERS, MOST_COUNTERS = 3, 0.3, 1 << 20, 1 << 26
 _BLOCK = 1 << 16
 #: Words of a shard, and rows of its run after which a task writes what it has merged.
 SHARD_WORDS, RUN_ROWS = 1 << 21, 1 << 21
+#: Text of a task, where there is enough of it for all cores: each task writes a frequent phrase once.
+TASK_BYTES = 1 << 28
 UNKNOWN = "und"
 
 _KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -258,6 +260,7 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
     counters = 1 << int(octets / 6 * (SKETCHED - 1) / (LOAD * least)).bit_length()
     counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, counters))
     spark = docs.sparkSession.sparkContext
+    rows = rows.coalesce(max(spark.defaultParallelism, octets // TASK_BYTES))
     counted = stored(_counted(rows, counters, least, range(1, 2)), "counters")
     words = spark.broadcast(_frequent(counted, counters, least))
     longer = stored(_counted(rows, counters, least, range(2, SKETCHED + 1), words), "counters")

@@ -6,7 +6,7 @@ together, largest first. Each range is swept: a piece goes into the smallest gap
 and what is left of the gap goes on. Pieces and gaps left over in their ranges have ranks there; a piece's next gaps are the
 last unused ones of the ranges above. From each range's counts (one row a range) follows which ranks of pieces meet
 which ranks of gaps, so that no two claim the same room; an equi-join carries this out. Gaps are updated and the round
-repeats while some gap holds a piece. Then the step's other pieces open sequences, as many in each as surely fit.
+repeats while some gap holds a piece. Then the step's other pieces open sequences, by next-fit in order of length.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from fathomry.llm.common import ranked, stored
 #: Tokens of a sequence; the token that ends a document.
 CAPACITY, END = 1_024, 2
 #: A step takes the pieces of which at least so many fit a sequence, but not as many as in the next step.
-STEPS = (1, 2, 3, 4, 6, 10, 20)
+STEPS = (1, 2, 3, 4, 6, 10, 20, 60, 200)
 #: Texts with white space of this length go to the tokenizers library, as the other's pattern would overflow its stack.
 LONG_RUN = 2_000
 _RUNS = re.compile(rf"\s{{{LONG_RUN}}}")
@@ -202,12 +202,32 @@ def _round(waiting: DataFrame, gaps: DataFrame, capacity: int) -> tuple[list[Dat
     return [*placed, more.select("row", "sequence_id", "offset")], met.where("part is null").select("row", "length"), rest.where("gap > 0")
 
 
-def _opened(waiting: DataFrame, step: int, each: int, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """New sequences of ``each`` pieces, in order of length: placements and gaps."""
-    placed = ranked(waiting, [F.col("length").desc(), F.col("row").asc()])
-    placed = placed.withColumn("sequence_id", -1 - (F.lit(step << 48) + F.floor((F.col("rank") - 1) / each)))
-    upto = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("rank"))
-    placed = stored(placed.select("row", "length", "sequence_id", (upto - F.col("length")).cast("int").alias("offset")), "opened")
+def _next_fit(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int, int, int]]:
+    """Next-fit of (length, pieces), longest first, into new sequences: by length, where its pieces go.
+
+    Rows (length, first rank, pieces that go on in the last sequence, its number, its filled part, the next sequence's number,
+    pieces in each).
+    """
+    out, rank, last, filled = [], 1, -1, capacity
+    for length, n in counts:
+        on, each = min(n, (capacity - filled) // length), capacity // length
+        out.append((length, rank, on, last, filled, last + 1, each))
+        filled += on * length
+        if rest := n - on:
+            last += -(-rest // each)
+            filled = ((rest - 1) % each + 1) * length
+        rank += n
+    return out
+
+
+def _opened(waiting: DataFrame, step: int, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """New sequences for pieces in order of length: placements and gaps."""
+    counts = [tuple(x) for x in waiting.groupBy("length").count().collect()]  # at most ``capacity`` rows
+    plan = waiting.sparkSession.createDataFrame(_next_fit(sorted(counts, reverse=True), capacity), "length int, first long, on long, last long, filled int, next long, each int")
+    placed = ranked(waiting, [F.col("length").desc(), F.col("row").asc()]).join(F.broadcast(plan), "length").withColumn("i", F.expr("rank - first"))
+    number = F.expr("if(i < on, last, next + (i - on) div each)")
+    offset = F.expr("cast(if(i < on, filled + i * length, (i - on) % each * length) as int)")
+    placed = stored(placed.select("row", "length", (-1 - (F.lit(step << 48) + number)).alias("sequence_id"), offset.alias("offset")), "opened")
     gaps = placed.groupBy("sequence_id").agg((capacity - F.sum("length")).cast("int").alias("gap")).where("gap > 0")
     return placed.select("row", "sequence_id", "offset"), gaps
 
@@ -243,7 +263,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = rest.where(small) if kept is None else kept.unionAll(rest.where(small))
             gaps = rest.where(~small)
         if n:
-            placed, opened = _opened(waiting, step, each, capacity)
+            placed, opened = _opened(waiting, step, capacity)
             out.append(placed)
             gaps = opened if gaps is None else gaps.unionAll(opened)
         gaps = gaps if kept is None else gaps.unionAll(kept)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from fathomry.functions.text import SPACE, STEM_END, STOP_WORDS
 from fathomry.operators.advisor import PATTERNS
-from fathomry.operators.maintain import FIXES
 from fathomry.sources.documents import HIDDEN
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -144,7 +143,6 @@ def _count(*names: str) -> str:
 
 
 _SIGNALS = ["md_headings", "numbered_headings", "clause_words", "cross_refs", "timestamps", "email_headers", "quoted", "qa_pairs", "code_lines", "table_lines", "section_lines", "figures", "greetings"]
-_BITS = ", ".join(f"(id >> {k}) & 1 = 1 AS {f}" for k, f in enumerate(FIXES))
 
 ORACLE_SQL = {
     "tokenize_stats": f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_words, CAST({_RAW_COUNT} AS BIGINT) AS n_raw, CAST(len({_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_stems('text')})) AS BIGINT) AS n_stems FROM documents",
@@ -174,6 +172,14 @@ SELECT query_id, length(c) AS n_chars, md5(c) AS digest FROM texts""",
     "doc_delete_cascade": f"""WITH p AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents WHERE source IS DISTINCT FROM 'src0') GROUP BY ALL)
 SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, (SELECT count(*) FROM documents WHERE source IS DISTINCT FROM 'src0') AS n_chunks FROM p""",
     "store_stats": f"SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM ({_windows('documents', 500, 450)})",
+    "store_upsert": f"""WITH held AS (
+  SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'revised' ELSE source END AS name, CASE WHEN doc_id % 10 = 0 THEN 'A revised edition. ' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL),
+chunks AS ({_windows('held', 500, 450)}),
+counts AS (SELECT doc_id, count(*) AS n_chunks FROM chunks GROUP BY doc_id),
+terms AS (SELECT doc_id, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_terms FROM (
+  SELECT doc_id, chunk_no, term, count(*) AS tf FROM (SELECT doc_id, chunk_no, unnest({_tokens('text')}) AS term FROM chunks) GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, name, md5(text) AS digest, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_postings, 0) AS n_postings, coalesce(n_terms, 0) AS n_terms
+FROM held LEFT JOIN counts USING (doc_id) LEFT JOIN terms USING (doc_id)""",
     "ir_metrics": f"""{_JUDGED} SELECT query_id, round(count(*) FILTER (rel AND rank <= 5) / 5, 6) AS precision,
   round(CASE WHEN max(n) > 0 THEN count(*) FILTER (rel AND rank <= 5) / max(n) ELSE 0 END, 6) AS recall, round(coalesce(1 / min(rank) FILTER (rel), 0), 6) AS mrr,
   round(CASE WHEN max(n) > 0 THEN coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 5), 0) / list_sum(list_transform(range(1, CAST(least(max(n), 5) AS BIGINT) + 1), lambda r: 1 / log2(r + 1))) ELSE 0 END, 6) AS ndcg,
@@ -222,7 +228,4 @@ SELECT doc_id, n, md5(d.text) AS deleted, md5(i.text) AS inserted FROM d FULL JO
     "stream_index": f"{_UPDATES} SELECT doc_id, version, hash FROM known",
     "update_rates": f"{_UPDATES} SELECT date_trunc('hour', ts) AS start, count(*) AS events FROM updates GROUP BY ALL",
     "cache_valid": "SELECT concat_ws('|', source, lang) AS key, min(doc_id) % 7 <> 0 AND max(doc_id) % 7 <> 0 AS valid FROM documents GROUP BY source, lang",
-    "chaos_grades": f"""WITH f AS (SELECT id, {_BITS} FROM range(512) r(id)),
-p AS (SELECT *, CAST(doc_ids AND hashing AND stable AS INT) + CAST(versioning AS INT) + CAST(versioning AND atomic AS INT) + CAST(NOT versioning OR gc AS INT) + CAST(models AS INT) + CAST(reconcile AS INT) + CAST(cache AS INT) AS passed FROM f)
-SELECT id, {', '.join(FIXES)}, CAST(passed AS BIGINT) AS passed, substr('FFEDCCBA', passed + 1, 1) AS grade FROM p""",
 }

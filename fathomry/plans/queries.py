@@ -12,6 +12,7 @@ from fathomry.functions.vectors import hashed_sparse
 from fathomry.operators import advisor, chunking, graph, index, maintain, metrics, search
 from fathomry.session import shared_folder, written
 from fathomry.sources import documents as sources
+from fathomry.sources.store import Store
 from fathomry.streaming import outbox
 
 
@@ -170,6 +171,20 @@ def store_stats(spark, sf_dir):
     return docs.agg(F.count(F.lit(1)).alias("n_documents")).join(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("words").cast("long").alias("n_words"))))
 
 
+def store_upsert(spark, sf_dir):
+    """A store of all documents, after every tenth was replaced by a revised one: what it holds of each document."""
+    docs = _docs(spark, sf_dir).where("text is not null").select("doc_id", F.col("source").alias("name"), "text")
+    revised = docs.where("doc_id % 10 = 0").select("doc_id", F.lit("revised").alias("name"), F.concat(F.lit("A revised edition. "), "text").alias("text"))
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    for rows in (docs, revised):
+        chunks = chunking.fixed_chunks(rows)
+        store.upsert(rows, chunks.select(F.concat_ws("-", "doc_id", "chunk_no").alias("chunk_id"), "doc_id", "text"))
+    n_chunks = store.table("chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    terms = store.table("postings").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_terms"))
+    out = store.table("documents").select("doc_id", "name", F.md5("text").alias("digest")).join(n_chunks, "doc_id", "left").join(terms, "doc_id", "left")
+    return out.fillna(0, ["n_chunks", "n_postings", "n_terms"])
+
+
 # --- metrics ---------------------------------------------------------------------------------------------------------
 
 
@@ -426,15 +441,10 @@ def model_mix(spark, sf_dir):
     return rounded(out.select("index", "recall"), "recall")
 
 
-def chaos_grades(spark, sf_dir):
-    out = maintain.chaos_grades(maintain.fix_combinations(spark), {"all": 540, "doc": 60, "hash": 45, "stable": 1})
-    return out.select("id", *maintain.FIXES, F.col("passed").cast("long").alias("passed"), "grade")
-
-
 _ALL = (
     tokenize_stats, normalize_text, sentence_split, fnv_hash, page_text, postings, corpus_stats, bm25_topk, mini_bm25_topk, vector_topk, hashed_embedding_sparse, hashed_search,
-    hybrid_fusion, retrieval_modes, rerank_proximity, context_assembly, answers, doc_delete_cascade, store_stats, ir_metrics, pr_curve, groundedness, fixed_chunks, section_windows,
+    hybrid_fusion, retrieval_modes, rerank_proximity, context_assembly, answers, doc_delete_cascade, store_stats, store_upsert, ir_metrics, pr_curve, groundedness, fixed_chunks, section_windows,
     stable_chunks, sentence_chunks, record_chunks, evidence_location, lab_chunks, headed_chunks, chunk_preview, chunk_graph_edges, budget_curve, lab_metrics, doc_signals, doc_category,
-    recommend, hash_diff, replaced_chunks, version_active, collected_rows, gc_series, drift, reconcile, sequence_gaps, stream_index, update_rates, cache_valid, model_mix, chaos_grades,
+    recommend, hash_diff, replaced_chunks, version_active, collected_rows, gc_series, drift, reconcile, sequence_gaps, stream_index, update_rates, cache_valid, model_mix,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomry.functions.text import fnv1a, raw_tokens
+from fathomry.functions.arrow_text import fnv1a, raw_tokens, slices
 
 DIMENSIONS = 1024
 SIGN_BIT = 1 << 16
@@ -32,18 +36,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b)
 
 
-def hashed_sparse(rows: DataFrame, key: str, text: str, seed: str = "v1|", dims: int = DIMENSIONS) -> DataFrame:
-    """The non-zero components of hashed embeddings: key, bucket, weight (unit length for each key).
+def hashed_rows(rows: DataFrame, key: str, text: str, seed: str = "v1|", dims: int = DIMENSIONS) -> DataFrame:
+    """Hashed embeddings, one row for each row: key, buckets, weights (the non-zero components of a unit vector).
 
-    Each token adds a sign to the bucket of its hash. Tokens are hashed once each, not once for each occurrence.
+    Each token adds a sign to the bucket of its hash. Texts without tokens have empty lists. Nothing is shuffled.
     """
-    words = F.filter(raw_tokens(F.col(text)), lambda t: t != "")
-    counts = rows.select(key, F.explode(words).alias("token")).groupBy(key, "token").count()
-    h = fnv1a(F.concat(F.lit(seed), F.col("token")))
-    signed = F.when(h.bitwiseAND(F.lit(SIGN_BIT)) != 0, F.col("count")).otherwise(-F.col("count"))
-    sums = counts.select(key, (h % dims).cast("int").alias("bucket"), signed.alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
-    return sums.join(norms, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for texts in slices(batch.column(1)):
+                tokens, row, _ = raw_tokens(texts)
+                coded = tokens.dictionary_encode()
+                h = fnv1a(coded.dictionary, seed)[coded.indices.to_numpy()]
+                sign = np.where(h & np.uint64(SIGN_BIT), 1, -1)
+                keys, at = np.unique(row * dims + (h % np.uint64(dims)).astype(np.int64), return_inverse=True)
+                v = np.bincount(at, weights=sign, minlength=len(keys))
+                keys, v = keys[v != 0], v[v != 0]
+                norm = np.sqrt(np.bincount(keys // dims, weights=v * v, minlength=len(texts)))
+                ends = pa.array(np.searchsorted(keys, np.arange(len(texts) + 1) * dims), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(keys % dims, pa.int32()), pa.array(v / norm[keys // dims], pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(texts)), *lists], names=[key, "buckets", "weights"])
+                done += len(texts)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, buckets array<int>, weights array<double>")
+
+
+def hashed_sparse(rows: DataFrame, key: str, text: str, seed: str = "v1|", dims: int = DIMENSIONS) -> DataFrame:
+    """The same, a row for each component: key, bucket, weight. Each row of ``rows`` is one vector."""
+    each = hashed_rows(rows, key, text, seed, dims).select(key, F.explode(F.arrays_zip("buckets", "weights")).alias("c"))
+    return each.select(key, F.col("c.buckets").alias("bucket"), F.col("c.weights").alias("weight"))
 
 
 def dense(sparse: DataFrame, key: str, dims: int = DIMENSIONS) -> DataFrame:

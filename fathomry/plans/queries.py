@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import text as T
-from fathomry.functions.vectors import hashed_sparse
+from fathomry.functions.vectors import hashed_rows, hashed_sparse
 from fathomry.operators import advisor, chunking, graph, index, maintain, metrics, search
 from fathomry.session import shared_folder, written
 from fathomry.sources import documents as sources
@@ -111,17 +111,21 @@ def hashed_embedding_sparse(spark, sf_dir):
     return rounded(hashed_sparse(_docs(spark, sf_dir), "doc_id", "text"), "weight")
 
 
-def _hashed_similarities(spark, sf_dir) -> DataFrame:
-    docs = hashed_sparse(_docs(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "chunk_id")
-    return search.sparse_similarities(docs, hashed_sparse(_asked(spark, sf_dir), "query_id", "text"))
+def _hashed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The hashed vectors of documents and of questions."""
+    docs = hashed_rows(_docs(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "chunk_id", "text")
+    return docs, written(hashed_rows(_asked(spark, sf_dir), "query_id", "text"), "asked")
 
 
 def hashed_search(spark, sf_dir):
-    return rounded(index.top(_hashed_similarities(spark, sf_dir), 5), "score")
+    return rounded(search.sparse_topk(*_hashed(spark, sf_dir), 5), "score")
 
 
 def _candidates(spark, sf_dir) -> DataFrame:
-    return search.candidates(_hashed_similarities(spark, sf_dir), index.scores(_index(spark, sf_dir), _asked(spark, sf_dir)))
+    docs, asked = _hashed(spark, sf_dir)
+    docs = written(docs, "vectors")
+    keyword = index.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), search.CANDIDATES)
+    return search.candidates(search.sparse_topk(docs, asked, search.CANDIDATES), keyword, cosines=lambda pairs: search.sparse_cosines(docs, asked, pairs))
 
 
 def hybrid_fusion(spark, sf_dir):
@@ -430,13 +434,13 @@ def cache_valid(spark, sf_dir):
 def model_mix(spark, sf_dir):
     """Recall of the passages' documents when a quarter of the documents has vectors of a newer model."""
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    vectors = {m: hashed_sparse(docs, "doc_id", "text", seed=f"{m}|").withColumn("model", F.lit(m)) for m in ("v1", "v2")}
+    vectors = {m: hashed_rows(docs, "doc_id", "text", seed=f"{m}|").withColumn("model", F.lit(m)) for m in ("v1", "v2")}
     mixed = vectors["v1"].where("doc_id % 4 <> 0").unionByName(vectors["v2"].where("doc_id % 4 = 0"))
     expected = _located(spark, sf_dir).groupBy("query_id").agg(F.min("doc_id").alias("expected"))
     out = None
     for name, rows, model in (("before", vectors["v1"], "v1"), ("mixed, new queries", mixed, "v2"), ("mixed, old queries", mixed, "v1"), ("after", vectors["v2"], "v2")):
-        sims = search.sparse_similarities(rows.withColumnRenamed("doc_id", "chunk_id"), hashed_sparse(asked, "query_id", "text", seed=f"{model}|"))
-        own = metrics.recall_of_expected(index.top(sims, 5).withColumnRenamed("chunk_id", "doc_id"), expected).withColumn("index", F.lit(name))
+        found = search.sparse_topk(rows.withColumnRenamed("doc_id", "chunk_id"), hashed_rows(asked, "query_id", "text", seed=f"{model}|"), 5)
+        own = metrics.recall_of_expected(found.withColumnRenamed("chunk_id", "doc_id"), expected).withColumn("index", F.lit(name))
         out = own if out is None else out.unionByName(own)
     return rounded(out.select("index", "recall"), "recall")
 

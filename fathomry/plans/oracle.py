@@ -172,6 +172,9 @@ SELECT query_id, length(c) AS n_chars, md5(c) AS digest FROM texts""",
     "doc_delete_cascade": f"""WITH p AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents WHERE source IS DISTINCT FROM 'src0') GROUP BY ALL)
 SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, (SELECT count(*) FROM documents WHERE source IS DISTINCT FROM 'src0') AS n_chunks FROM p""",
     "store_stats": f"SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM ({_windows('documents', 500, 450)})",
+    "evidence_location": f"""WITH {_MARKDOWN}
+SELECT doc_id, item_id AS query_id, CAST(instr(m.text, b.text) - 1 AS BIGINT) AS start, CAST(instr(m.text, b.text) - 1 + length(b.text) AS BIGINT) AS "end"
+FROM markdown m JOIN benchmark b ON b.text <> '' AND contains(m.text, b.text)""",
     "store_upsert": f"""WITH held AS (
   SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'revised' ELSE source END AS name, CASE WHEN doc_id % 10 = 0 THEN 'A revised edition. ' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL),
 chunks AS ({_windows('held', 500, 450)}),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import text as T
 from fathomry.functions.vectors import hashed_rows, hashed_sparse
-from fathomry.operators import advisor, chunking, graph, index, maintain, metrics, search
+from fathomry.operators import advisor, chunking, graph, index, locate, maintain, metrics, search
 from fathomry.session import shared_folder, written
 from fathomry.sources import documents as sources
 from fathomry.sources.store import Store
@@ -247,10 +247,10 @@ def record_chunks(spark, sf_dir):
 
 def _located(spark, sf_dir) -> DataFrame:
     """doc_id, query_id, q, evidence, start, end: the benchmark passages that documents hold verbatim."""
-    asked = F.broadcast(_asked(spark, sf_dir).select("query_id", F.col("text").alias("q")).where("q <> ''"))  # the stated questions
-    docs = markdown(_docs(spark, sf_dir))
-    at = F.instr("text", F.col("q"))
-    return docs.join(asked, F.contains("text", F.col("q"))).select("doc_id", "query_id", "q", F.split("q", r"(?<=[.!?])\s+").alias("evidence"), (at - 1).alias("start"), (at - 1 + F.length("q")).alias("end"))
+    asked = _asked(spark, sf_dir)
+    found = locate.located(markdown(_docs(spark, sf_dir)), asked)
+    evidence = asked.select("query_id", F.col("text").alias("q"), F.split("text", r"(?<=[.!?])\s+").alias("evidence"))
+    return found.join(evidence, "query_id").select("doc_id", "query_id", "q", "evidence", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
 def evidence_location(spark, sf_dir):

@@ -91,3 +91,90 @@ def test_graph_and_assembly(spark):
     picked = graph.assemble(rows, (5, 200))
     assert {r.budget for r in picked.collect()} == {200}
     assert graph.evidence_recall(picked, chunks, asked, ["strategy", "budget"]).first().complete == 1.0
+
+
+ODD = ["Don't STOP-me_now twice", "", None, " \t\n ", "ÉCOLE İx Kelvin K", "a b c,d", "café--x " * 40, "x" * 3_000, "😀 emoji 5.5", "﻿start end　"]
+
+
+def test_tokens_of_batches_are_those_of_columns(spark):
+    import pyarrow as pa
+
+    from fathomry.functions import arrow_text, text
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "k int, t string").coalesce(1)
+    found = rows.select(text.tokenize(F.col("t")), text.stems(F.col("t")), text.token_count(F.col("t")), F.filter(text.raw_tokens(F.col("t")), lambda x: x != "")).orderBy("k").collect()
+    for shift in (0, 3):  # also of a slice
+        texts = pa.array([None] * shift + ODD).slice(shift)
+        plain, counts = arrow_text.terms(texts)
+        tokens, row, _ = arrow_text.raw_tokens(texts)
+        assert plain.to_pylist() == [r[0] for r in found] and arrow_text.terms(texts, True)[0].to_pylist() == [r[1] for r in found] and counts.tolist() == [r[2] for r in found]
+        assert list(zip(row.tolist(), tokens.cast(pa.string()).to_pylist(), strict=True)) == [(k, t) for k, r in enumerate(found) for t in r[3]]
+    hashes = spark.createDataFrame([("ab",), ("a-b_9",)], "t string").select(text.fnv1a(F.concat(F.lit("v1|"), "t"))).collect()
+    assert arrow_text.fnv1a(pa.array([b"ab", b"a-b_9"]), "v1|").tolist() == [r[0] for r in hashes]
+
+
+def test_bm25_by_blocks_equals_all_scores(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(30)]
+    docs = [(k, " ".join(rng.choices(words, weights=[1 / (1 + i) for i in range(30)], k=rng.randint(0, 40)))) for k in range(300)]
+    docs += [(300 + k, docs[7][1]) for k in range(50)] + [(400, None), (401, "")]  # ties
+    rows = spark.createDataFrame(docs, "chunk_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(k, " ".join(rng.choices(words, k=5))) for k in range(20)] + [(20, ""), (21, None), (22, "absent")], "query_id long, text string")
+    for tokenizer, measure in (("plain", "words"), ("stem", "tokens")):
+        for size, at_once in ((512, 500_000), (16, 30)):
+            monkeypatch.setattr(index, "BLOCK_CHUNKS", size)
+            monkeypatch.setattr(index, "ASKED_TERMS", at_once)
+            built = index.build_index(rows, tokenizer=tokenizer, measure=measure)
+            assert {tuple(r) for r in built.postings.collect()} == {tuple(r) for r in index.postings(rows, tokenizer=tokenizer).collect()}
+            key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 8)) for r in df.collect())
+            assert key(index.bm25(built, asked, 10)) == key(index.top(index.scores(built, asked), 10))
+    assert index.bm25(built, asked.limit(0)).count() == 0 and index.bm25(index.build_index(rows.limit(0)), asked).count() == 0
+
+
+def test_most_blocks_of_a_rare_and_common_query_are_skipped():
+    import pyarrow as pa
+
+    # Each chunk has the common word, few have the rare one too.
+    terms = [["common", *["rare"] * (k in (3, 5, 8))] for k in range(4_000)]
+    scorer = index.Scorer(["common", "rare"], np.log(1 + (4_000 - np.array([4_000, 3]) + 0.5) / (np.array([4_000, 3]) + 0.5)), np.array([0, 1]), np.array([0, 0]), 1, 2.0, 3)
+    for first in range(0, 4_000, 100):
+        block = index._block(pa.array(range(first, first + 100)), pa.array([2] * 100, pa.int64()), pa.array(terms[first : first + 100]))
+        scorer.block({c: block.column(c)[0].values for c in index._BLOCK})
+    assert (scorer.read, scorer.skipped) == (1, 39) and [x[1] for x in scorer.best.found[0]] == [3, 5, 8]
+
+
+def test_sparse_search_filters_before_it_ranks(spark, monkeypatch):
+    from fathomry.functions.vectors import hashed_rows, hashed_sparse
+
+    texts = [(k, f"word{k % 7} word{k % 3} term{k}") for k in range(60)] + [(60, ""), (61, None)]
+    rows = spark.createDataFrame(texts, "chunk_id long, text string").repartition(3)
+    asked = rows.where("chunk_id < 5").withColumnRenamed("chunk_id", "query_id")
+    vectors, queries = hashed_rows(rows, "chunk_id", "text").withColumn("part", F.col("chunk_id") % 2), hashed_rows(asked, "query_id", "text")
+    monkeypatch.setattr(search, "MATRIX_ROWS", 2)
+    monkeypatch.setattr(search, "MATRIX_CHUNKS", 7)
+    every = search.sparse_similarities(hashed_sparse(rows, "chunk_id", "text"), hashed_sparse(asked, "query_id", "text"))
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 8)) for r in df.collect())
+    assert key(search.sparse_topk(vectors, queries, 4)) == key(index.top(every, 4))
+    seen = rows.where("chunk_id > 20").select("chunk_id")
+    found = search.sparse_topk(vectors, queries, 4, visible=seen, where="part = 1")
+    assert key(found) == key(index.top(every.where("chunk_id > 20 and chunk_id % 2 = 1"), 4))
+    pairs = every.where("chunk_id > 50").select("query_id", "chunk_id")
+    exact = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 8)) for r in df.collect())
+    assert exact(search.sparse_cosines(vectors, queries, pairs)) == exact(every.where("chunk_id > 50"))
+
+
+def test_passages_are_found_wherever_they_begin(spark):
+    import random
+
+    from fathomry.operators import locate
+
+    rng = random.Random(2)
+    words = ["ab", "abc", "é😀", "x.", "yy", " "]
+    docs = [(k, rng.choice(["", "pre"]) + " ".join(rng.choices(words, k=rng.randint(0, 30))) + rng.choice(["", "post\n"])) for k in range(80)] + [(80, None), (81, ""), (82, "the whole passage stands here twice: the whole passage stands here")]
+    asked = [(k, t[a : a + rng.randint(1, 25)]) for k, (_, t) in enumerate(docs[:60]) for a in [rng.randint(0, max(0, len(t) - 1))]] + [(90, None), (91, ""), (92, "whole passage stands"), (93, "nowhere to be found at all")]
+    found = locate.located(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"))
+    expected = {(d, q, t.find(p), t.find(p) + len(p)) for d, t in docs if t for q, p in asked if p and p in t}
+    assert {tuple(r) for r in found.collect()} == expected and (82, 92, 4, 24) in expected
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()

@@ -33,7 +33,7 @@ MOST_WORDS, LEAST_COUNT, FIRST, COVERED = 5, 100, 2_000, 100
 SKETCHED, LOAD, LEAST_COUNTERS, MOST_COUNTERS = 3, 0.3, 1 << 20, 1 << 26
 _BLOCK = 1 << 16
 #: Words of a shard, and rows of its run after which a task writes what it has merged.
-SHARD_WORDS, RUN_ROWS = 1 << 21, 1 << 21
+SHARD_WORDS, RUN_ROWS = 1 << 20, 1 << 21
 #: Text of a task, where there is enough of it for all cores: each task writes a frequent phrase once.
 TASK_BYTES = 1 << 28
 UNKNOWN = "und"

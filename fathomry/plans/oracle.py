@@ -175,6 +175,29 @@ SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, (SELECT count(*)
     "evidence_location": f"""WITH {_MARKDOWN}
 SELECT doc_id, item_id AS query_id, CAST(instr(m.text, b.text) - 1 AS BIGINT) AS start, CAST(instr(m.text, b.text) - 1 + length(b.text) AS BIGINT) AS "end"
 FROM markdown m JOIN benchmark b ON b.text <> '' AND contains(m.text, b.text)""",
+    "retrieval_stages": f"""{_CANDIDATES}, fused AS ({_top('hybrid', 15)}), best AS (SELECT * FROM fused WHERE rank <= 5),
+stages AS (
+  SELECT 'vectors' AS stage, count(*) AS n_rows FROM documents UNION ALL SELECT 'vector', count(*) FROM vt UNION ALL SELECT 'keyword', count(*) FROM kt
+  UNION ALL SELECT 'fused', count(*) FROM fused UNION ALL SELECT 'best', count(*) FROM best)
+SELECT stage, n_rows, TRUE AS timed, (SELECT round(avg(c), 6) FROM (SELECT avg(score) AS c FROM best GROUP BY query_id)) AS confidence FROM stages""",
+    "link_rank": f"""WITH RECURSIVE {_KEYWORD},
+held AS (SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)),
+links AS (
+  SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b, 1.0::DOUBLE AS weight FROM documents
+  UNION ALL SELECT a, doc_id, 2.0 FROM (SELECT *, min(doc_id) OVER (PARTITION BY query_id) AS a FROM held) WHERE doc_id <> a),
+both_ways AS (SELECT source, target, sum(weight) AS weight FROM (SELECT a AS source, b AS target, weight FROM links UNION ALL SELECT b, a, weight FROM links) WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY ALL),
+shares AS (SELECT source, target, weight / sum(weight) OVER (PARTITION BY source) AS share FROM both_ways),
+best AS ({_top('keyword', 3)}),
+seeds AS (SELECT query_id, chunk_id AS node, score / sum(score) OVER (PARTITION BY query_id) AS mass FROM best),
+p AS (
+  SELECT 0 AS step, query_id, node, mass FROM seeds
+  UNION ALL
+  SELECT step, query_id, node, sum(mass) FROM (
+    SELECT step + 1 AS step, query_id, target AS node, 0.5 * mass * share AS mass FROM p JOIN shares ON node = source WHERE step < 25
+    UNION ALL SELECT step + 1, s.query_id, s.node, 0.5 * s.mass FROM (SELECT DISTINCT step FROM p WHERE step < 25), seeds s)
+  GROUP BY ALL),
+reached AS (SELECT query_id, node AS chunk_id, mass AS score FROM p WHERE step = 25)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_top('reached', 10)})""",
     "store_upsert": f"""WITH held AS (
   SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'revised' ELSE source END AS name, CASE WHEN doc_id % 10 = 0 THEN 'A revised edition. ' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL),
 chunks AS ({_windows('held', 500, 450)}),

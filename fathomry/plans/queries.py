@@ -142,6 +142,35 @@ def _enriched(spark, sf_dir, found: DataFrame) -> DataFrame:
     return search.enrich(found, chunks, docs.select("doc_id", F.col("source").alias("name")))
 
 
+def retrieval_stages(spark, sf_dir):
+    """Rows of each stage of a hybrid retrieval, whether it was timed, and the average confidence of what it returns."""
+    stages = search.Stages(spark)
+    docs, asked = _hashed(spark, sf_dir)
+    docs = stages.run("vectors", docs)
+    by_vector = stages.run("vector", search.sparse_topk(docs, asked, search.CANDIDATES))
+    by_keyword = stages.run("keyword", index.bm25(_index(spark, sf_dir), _asked(spark, sf_dir), search.CANDIDATES))
+    fused = stages.run("fused", search.fuse(search.candidates(by_vector, by_keyword, cosines=lambda pairs: search.sparse_cosines(docs, asked, pairs))))
+    best = stages.run("best", search.rerank(fused, "none"))
+    confidence = search.mean_confidence(best).agg(F.round(F.avg("mean_confidence"), 6).alias("confidence"))
+    return stages.table().select("stage", "n_rows", (F.col("seconds") > 0).alias("timed")).join(F.broadcast(confidence))
+
+
+def link_rank(spark, sf_dir):
+    """Documents that PageRank mass reaches from each question's best ones, over links across documents.
+
+    Links: neighbours by doc_id within a source, and a passage's first document with the others that hold it.
+    """
+    docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
+    beside = docs.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("b"), F.lit(1.0).alias("weight"))
+    held = written(locate.located(docs, asked), "held")
+    firsts = held.groupBy("query_id").agg(F.min("doc_id").alias("a"))
+    shared = held.join(firsts, "query_id").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(2.0).alias("weight"))
+    best = index.bm25(_index(spark, sf_dir), asked, graph.SEEDS)
+    seeds = best.select("query_id", F.col("chunk_id").alias("node"), (F.col("score") / F.sum("score").over(Window.partitionBy("query_id"))).alias("mass"))
+    mass = graph.spread(beside.where("b is not null").unionAll(shared), seeds)
+    return rounded(index.top(mass.withColumnRenamed("node", "chunk_id").withColumnRenamed("mass", "score"), 10), "score")
+
+
 def rerank_proximity(spark, sf_dir):
     found = _enriched(spark, sf_dir, search.fuse(_candidates(spark, sf_dir)))
     asked = _asked(spark, sf_dir).withColumnRenamed("text", "query")
@@ -447,7 +476,7 @@ def model_mix(spark, sf_dir):
 
 _ALL = (
     tokenize_stats, normalize_text, sentence_split, fnv_hash, page_text, postings, corpus_stats, bm25_topk, mini_bm25_topk, vector_topk, hashed_embedding_sparse, hashed_search,
-    hybrid_fusion, retrieval_modes, rerank_proximity, context_assembly, answers, doc_delete_cascade, store_stats, store_upsert, ir_metrics, pr_curve, groundedness, fixed_chunks, section_windows,
+    hybrid_fusion, retrieval_modes, retrieval_stages, link_rank, rerank_proximity, context_assembly, answers, doc_delete_cascade, store_stats, store_upsert, ir_metrics, pr_curve, groundedness, fixed_chunks, section_windows,
     stable_chunks, sentence_chunks, record_chunks, evidence_location, lab_chunks, headed_chunks, chunk_preview, chunk_graph_edges, budget_curve, lab_metrics, doc_signals, doc_category,
     recommend, hash_diff, replaced_chunks, version_active, collected_rows, gc_series, drift, reconcile, sequence_gaps, stream_index, update_rates, cache_valid, model_mix,
 )

@@ -178,3 +178,31 @@ def test_passages_are_found_wherever_they_begin(spark):
     expected = {(d, q, t.find(p), t.find(p) + len(p)) for d, t in docs if t for q, p in asked if p and p in t}
     assert {tuple(r) for r in found.collect()} == expected and (82, 92, 4, 24) in expected
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_spread_is_rank_mass_in_a_table(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randint(0, 19), rng.randint(0, 19), rng.choice([0.5, 1.0, 2.0])) for _ in range(40)] + [(25, 26, 1.0), (25, 26, 1.0)]
+    starts = {1: {0: 0.75, 3: 0.25}, 2: {25: 1.0}, 3: {30: 1.0}}  # the last has no links
+    links = spark.createDataFrame([*pairs, (None, 3, 1.0), (1, 2, None)], "a long, b long, weight double")
+    seeds = spark.createDataFrame([(q, n, m) for q, own in starts.items() for n, m in own.items()], "query_id long, node long, mass double")
+    found = {(r.query_id, r.node): r.mass for r in graph.spread(links, seeds).collect()}
+    a, b, w = (np.array(x) for x in zip(*pairs))
+    for q, own in starts.items():
+        start = np.zeros(31)
+        start[list(own)] = list(own.values())
+        expected = graph.rank_mass(31, a, b, w, start)
+        assert all(close(found.get((q, n), 0.0), m) for n, m in enumerate(expected.tolist()))
+    assert {(r.query_id, r.node): r.mass for r in graph.spread(links.limit(0), seeds, 3).collect()} == {(q, n): m / 2 for q, own in starts.items() for n, m in own.items()}
+    few = graph.spread(links, seeds, least=0.05).count()
+    assert 0 < few < len(found)
+
+
+def test_stages_are_counted_as_they_run(spark):
+    stages = search.Stages(spark)
+    rows = stages.run("all", spark.range(10))
+    stages.run("some", rows.where("id < 3"))
+    stages.run("none", rows.limit(0))
+    assert [(r.stage, r.n_rows) for r in stages.table().collect()] == [("all", 10), ("some", 3), ("none", 0)] and all(r.seconds > 0 for r in stages.table().collect())

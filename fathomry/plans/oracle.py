@@ -198,6 +198,19 @@ p AS (
   GROUP BY ALL),
 reached AS (SELECT query_id, node AS chunk_id, mass AS score FROM p WHERE step = 25)
 SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_top('reached', 10)})""",
+    "model_mix": f"""WITH {_MARKDOWN}, {_sparse('d1', 'documents', 'doc_id', 'chunk_id', 'v1|')}, {_sparse('d2', 'documents', 'doc_id', 'chunk_id', 'v2|')},
+{_sparse('q1', 'benchmark', 'item_id', 'query_id', 'v1|')}, {_sparse('q2', 'benchmark', 'item_id', 'query_id', 'v2|')},
+mixed AS (SELECT * FROM d1 WHERE chunk_id % 4 <> 0 UNION ALL SELECT * FROM d2 WHERE chunk_id % 4 = 0),
+expected AS (SELECT item_id AS query_id, min(doc_id) AS expected FROM markdown m JOIN benchmark b ON b.text <> '' AND contains(m.text, b.text) GROUP BY ALL),
+runs AS (
+  SELECT 'before' AS "index", query_id, chunk_id, sum(d.weight * q.weight) AS score FROM d1 d JOIN q1 q USING (bucket) GROUP BY ALL
+  UNION ALL SELECT 'mixed, new queries', query_id, chunk_id, sum(d.weight * q.weight) FROM mixed d JOIN q2 q USING (bucket) GROUP BY ALL
+  UNION ALL SELECT 'mixed, old queries', query_id, chunk_id, sum(d.weight * q.weight) FROM mixed d JOIN q1 q USING (bucket) GROUP BY ALL
+  UNION ALL SELECT 'after', query_id, chunk_id, sum(d.weight * q.weight) FROM d2 d JOIN q2 q USING (bucket) GROUP BY ALL),
+best AS ({_top('runs', 5, '"index", query_id')})
+SELECT "index", round(avg(CAST(hit AS INT)), 6) AS recall FROM (
+  SELECT n."index", query_id, coalesce(bool_or(chunk_id = expected), FALSE) AS hit
+  FROM (SELECT DISTINCT "index" FROM runs) n CROSS JOIN expected LEFT JOIN best USING ("index", query_id) GROUP BY ALL) GROUP BY "index" """,
     "store_upsert": f"""WITH held AS (
   SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'revised' ELSE source END AS name, CASE WHEN doc_id % 10 = 0 THEN 'A revised edition. ' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL),
 chunks AS ({_windows('held', 500, 450)}),

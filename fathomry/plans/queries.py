@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -275,11 +276,14 @@ def record_chunks(spark, sf_dir):
 
 
 def _located(spark, sf_dir) -> DataFrame:
-    """doc_id, query_id, q, evidence, start, end: the benchmark passages that documents hold verbatim."""
+    """doc_id, query_id, q, evidence, start, end, split: the benchmark passages that documents hold verbatim.
+
+    Half of the questions, by a hash, are for training: supervised chunkers see no others.
+    """
     asked = _asked(spark, sf_dir)
     found = locate.located(markdown(_docs(spark, sf_dir)), asked)
     evidence = asked.select("query_id", F.col("text").alias("q"), F.split("text", r"(?<=[.!?])\s+").alias("evidence"))
-    return found.join(evidence, "query_id").select("doc_id", "query_id", "q", "evidence", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    return found.join(evidence, "query_id").select("doc_id", "query_id", "q", "evidence", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.when(F.crc32(F.col("query_id").cast("string")) % 2 == 0, "train").otherwise("test").alias("split"))
 
 
 def evidence_location(spark, sf_dir):
@@ -289,7 +293,7 @@ def evidence_location(spark, sf_dir):
 def _lab(spark, sf_dir) -> DataFrame:
     """The chunks of every strategy, those by structure and records aside under their heading path."""
     docs = markdown(_docs(spark, sf_dir))
-    wanted = _located(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_set("evidence")).alias("questions"))
+    wanted = _located(spark, sf_dir).where("split = 'train'").groupBy("doc_id").agg(F.sort_array(F.collect_set("evidence")).alias("questions"))
     with_pairs = docs.join(wanted, "doc_id", "left")
     parts = [chunking.lab_chunks(with_pairs if s in chunking.SUPERVISED else docs, s) for s in ("fixed", "sentence", "struct", "qesdp", "qesov")]
     out = parts[0]
@@ -323,7 +327,7 @@ def chunk_graph_edges(spark, sf_dir):
 
 
 def budget_curve(spark, sf_dir):
-    """Evidence recall of each strategy, flat and by graph, at every word budget."""
+    """Evidence recall of each strategy, flat and by graph, at every word budget: on questions that chunkers were fitted on, and on others."""
     chunks, asked = _questioned(spark, sf_dir)
     docs = markdown(_docs(spark, sf_dir)).join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     links = written(graph.edges(chunks, chunking.provisions(docs)), "links")
@@ -333,8 +337,12 @@ def budget_curve(spark, sf_dir):
     for mode, scored in (("flat", flat), ("graph", graph.graph_scores(flat, links))):
         scored = scored.withColumn("chunk_no", F.col("chunk_no").cast("long")).join(terms, ["doc_id", "strategy", "chunk_no"])
         picked = graph.assemble(scored, graph.BUDGETS)
-        out.append(graph.evidence_recall(picked, chunks, asked, ["strategy", "budget"]).withColumn("mode", F.lit(mode)))
-    return rounded(out[0].unionByName(out[1]), "complete", "partial")
+        picked = written(picked, "picked")
+        for split in ("train", "test"):
+            own = asked.where(F.col("split") == split)
+            found = picked.join(own.select("doc_id", "query_id").distinct(), ["doc_id", "query_id"], "left_semi")
+            out.append(graph.evidence_recall(found, chunks, own, ["strategy", "budget"]).withColumn("mode", F.lit(mode)).withColumn("split", F.lit(split)))
+    return rounded(reduce(DataFrame.unionByName, out), "complete", "partial")
 
 
 def lab_metrics(spark, sf_dir):

@@ -206,3 +206,47 @@ def test_stages_are_counted_as_they_run(spark):
     stages.run("some", rows.where("id < 3"))
     stages.run("none", rows.limit(0))
     assert [(r.stage, r.n_rows) for r in stages.table().collect()] == [("all", 10), ("some", 3), ("none", 0)] and all(r.seconds > 0 for r in stages.table().collect())
+
+
+def test_a_worker_loads_a_model_once_and_gets_rows_by_length(spark, tmp_path):
+    import os
+    import uuid
+
+    from fathomry.operators import maintain, models
+
+    folder, name = str(tmp_path), uuid.uuid4().hex
+
+    def load():
+        with open(f"{folder}/loaded-{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+        def embed(texts):
+            assert len(texts) <= 4 and None not in texts
+            with open(f"{folder}/batch-{uuid.uuid4().hex}", "w") as f:
+                f.write(" ".join(str(len(t)) for t in texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    embed = models.hook(name, load, "array<double>", 4)
+    rows = spark.range(40).select(F.col("id").alias("chunk_id"), F.when(F.col("id") != 7, F.repeat(F.lit("x"), (F.col("id") * 7 % 20).cast("int"))).alias("text")).repartition(5)
+    for _ in range(2):
+        found = {r.chunk_id: r.v for r in rows.withColumn("v", embed(F.col("text"))).collect()}
+        assert found == {k: None if k == 7 else [float(k * 7 % 20), 1.0] for k in range(40)}
+    pids = [f.name.split("-")[1] for f in tmp_path.glob("loaded-*")]
+    assert len(pids) == len(set(pids)) > 0
+    batches = [list(map(int, f.read_text().split())) for f in tmp_path.glob("batch-*")]
+    assert all(b == sorted(b) for b in batches) and sum(map(len, batches)) == 78
+
+    # In a dense search, in a new version of an index, and as a reranker.
+    vectors = rows.where("text is not null").select("chunk_id", embed(F.col("text")).alias("vector"))
+    best = search.vector_topk(vectors, vectors.where("chunk_id = 3").withColumnRenamed("chunk_id", "query_id"), 1)
+    assert best.first().chunk_id in {k for k in range(40) if k * 7 % 20 == 19}
+    chunks = spark.createDataFrame([(1, 0, "aa"), (1, 1, "bbb")], "doc_id long, pos int, text string")
+    empty = spark.createDataFrame([], "doc_id long, hash string, vector array<double>")
+    known = maintain.write_version(empty, chunks.where("pos = 0"), 1, embed)
+    again = maintain.write_version(known, chunks, 2, embed).orderBy("pos").collect()
+    assert [r.vector for r in again] == [[2.0, 1.0], [3.0, 1.0]]
+    scorer = models.hook(f"{name}-cross", lambda: lambda queries, texts: [float(q in t) for q, t in zip(queries, texts)], "double")
+    found = spark.createDataFrame([(1, "b", 1, "abc", 0.1), (1, "b", 2, "xyz", 0.9)], "query_id long, query string, chunk_id long, text string, score double")
+    assert search.rerank(found, "neural", scorer).orderBy("rank").first().chunk_id == 1

@@ -7,6 +7,7 @@ and are small Python helpers under an Arrow UDF; Spark deals the documents out.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from bisect import bisect_right
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
@@ -15,11 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomry.functions.text import normalize_text, sentences, token_count, word_count
+from fathomry.functions.text import marked_headings, normalize_text, sentences, token_count, word_count
 
 SIZE, OVERLAP = 500, 50
 LAB_SIZE, REFERENCE_CHARS = 450, 320
-PREVIEW_OVERLAP = 0.15
+#: Overlap of a preview's sentence windows as a share of their size; words that an answer may use.
+PREVIEW_OVERLAP, PREVIEW_BUDGET = 0.15, 120
 _REFERENCE = re.compile(r"Section (\d+(?:\.\d+)+)")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
 _CHUNK = "array<struct<start:int,end:int,text:string,words:int,prov:int,refs:array<int>,first_unit:int,end_unit:int,gap:boolean,home:int,mentions:array<string>>>"
@@ -428,3 +430,38 @@ def preview(chunks: DataFrame) -> DataFrame:
     at_heading = F.col("text").rlike(r"^\s*(?:#{1,6}\s|\[)")
     refs = F.coalesce(F.size("refs"), F.lit(0))
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg(F.length("text"))).cast("long").alias("mean_chars"), F.max("words").alias("most_words"), F.avg(at_heading.cast("int")).alias("heading_share"), F.sum(refs).alias("references"))
+
+
+def previewed(docs: DataFrame, strategy: str, size: int = LAB_SIZE, overlap: int | None = None, budget_words: int = PREVIEW_BUDGET) -> DataFrame:
+    """What documents (doc_id, text) look like once chunked by a recommended strategy.
+
+    doc_id, used, n_chunks, mean_chars, most_words, heading_share, references, too_big. Plain numbered headings count
+    as headings. Chunks by structure need two provisions; other documents fall back to sentence windows, as does a supervised
+    strategy, which keeps its name in ``used``. heading_share: chunks that start at a heading; null for records and documents
+    without headings. ``too_big``: the largest chunk has more than half the budget, so that one at most fits. Null and
+    empty texts have no chunks.
+    """
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = plain.withColumn("text", marked_headings(F.col("text")))
+    window = {"overlap": round(size * PREVIEW_OVERLAP) if overlap is None else overlap}
+    if strategy == "struct":
+        several = provisions(marked).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id")
+        parts = [(marked.join(several, "doc_id", "left_semi"), "struct", "struct", {}), (marked.join(several, "doc_id", "left_anti"), "sentence", "sentence", window)]
+    elif strategy in ("record", "fixed"):
+        parts = [(plain if strategy == "record" else marked, strategy, strategy, {})]
+    else:
+        parts = [(marked, "sentence", strategy, window)]
+    heads = units(marked).where("type = 'heading'").select("doc_id", "start").distinct()
+    headed = heads.select("doc_id").distinct().withColumn("headed", F.lit(True))
+    out = []
+    for own, work, used, options in parts:
+        chunks = lab_chunks(own, work, size, **options).join(heads.withColumn("head", F.lit(1)), ["doc_id", "start"], "left")
+        sums = chunks.groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("n_chunks"), F.round(F.avg(F.length("text"))).cast("long").alias("mean_chars"), F.max("words").alias("most_words"),
+            F.avg(F.coalesce("head", F.lit(0))).alias("share"), F.sum(F.coalesce(F.greatest(F.size("refs"), F.lit(0)), F.lit(0))).alias("references"),
+        )
+        rows = own.select("doc_id", F.lit(used).alias("used")).join(sums, "doc_id", "left").join(headed, "doc_id", "left")
+        share = F.when(F.col("headed") & F.lit(used != "record"), F.col("share"))
+        out.append(rows.fillna(0, ["n_chunks", "mean_chars", "most_words", "references"]).withColumn("heading_share", share).drop("share", "headed"))
+    found = reduce(DataFrame.unionByName, out)
+    return found.withColumn("too_big", F.col("most_words") * 2 > budget_words)

@@ -320,6 +320,11 @@ def _questioned(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return written(_lab(spark, sf_dir).join(asked.select("doc_id").distinct(), "doc_id", "left_semi"), "lab"), asked
 
 
+def recommended_preview(spark, sf_dir):
+    """Documents chunked by structure as a recommendation would, with what falls back and what is too big for its budget."""
+    return rounded(chunking.previewed(markdown(_docs(spark, sf_dir)), "struct"), "heading_share")
+
+
 def chunk_graph_edges(spark, sf_dir):
     docs = markdown(_docs(spark, sf_dir))
     out = graph.edges(chunking.lab_chunks(docs, "struct"), chunking.provisions(docs))
@@ -485,7 +490,7 @@ def model_mix(spark, sf_dir):
 _ALL = (
     tokenize_stats, normalize_text, sentence_split, fnv_hash, page_text, postings, corpus_stats, bm25_topk, mini_bm25_topk, vector_topk, hashed_embedding_sparse, hashed_search,
     hybrid_fusion, retrieval_modes, retrieval_stages, link_rank, rerank_proximity, context_assembly, answers, doc_delete_cascade, store_stats, store_upsert, ir_metrics, pr_curve, groundedness, fixed_chunks, section_windows,
-    stable_chunks, sentence_chunks, record_chunks, evidence_location, lab_chunks, headed_chunks, chunk_preview, chunk_graph_edges, budget_curve, lab_metrics, doc_signals, doc_category,
+    stable_chunks, sentence_chunks, record_chunks, evidence_location, lab_chunks, headed_chunks, chunk_preview, recommended_preview, chunk_graph_edges, budget_curve, lab_metrics, doc_signals, doc_category,
     recommend, hash_diff, replaced_chunks, version_active, collected_rows, gc_series, drift, reconcile, sequence_gaps, stream_index, update_rates, cache_valid, model_mix,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -101,3 +101,17 @@ def test_sections(spark):
 def test_sentence_chunks_number_over_pages(spark):
     pages = spark.createDataFrame([(1, 1, "One. Two."), (1, 2, "Three."), (2, 1, None)], "doc_id long, page int, text string")
     assert [(r.doc_id, r.chunk_no, r.text) for r in C.sentence_chunks(pages).orderBy("doc_id", "chunk_no").collect()] == [(1, 0, "One. Two."), (1, 1, "Three.")]
+
+
+def test_preview_falls_back_and_warns(spark):
+    numbered = "1.1 First Rule\nAll must pay the fee on time.\n2.1 Second Rule\nSee Section 1.1 for the fee."
+    docs = [(1, numbered), (2, "No headings at all. Just two sentences."), (3, "2.1 Only Rule\nOne rule."), (4, None), (5, ""), (6, "word " * 200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").withColumn("used", F.lit("clash"))
+    found = {r.doc_id: r for r in C.previewed(rows, "struct").collect()}
+    assert {k: r.used for k, r in found.items()} == {1: "struct", **dict.fromkeys((2, 3, 4, 5, 6), "sentence")}
+    assert found[1].heading_share > 0 and found[1].references == 1 and found[2].heading_share is None and found[3].heading_share is not None
+    assert [(found[k].n_chunks, found[k].mean_chars, found[k].most_words, found[k].too_big) for k in (4, 5)] == [(0, 0, 0, False)] * 2
+    assert {k for k, r in found.items() if r.too_big} == {6} and not C.previewed(rows, "struct", budget_words=1_000).where("too_big").count()
+    supervised = {r.doc_id: (r.used, r.n_chunks) for r in C.previewed(rows, "qesov").collect()}
+    assert supervised[2] == ("qesov", found[2].n_chunks) and {r.heading_share for r in C.previewed(rows, "record").collect()} == {None}
+    assert C.previewed(rows.limit(0), "struct").count() == 0

@@ -196,3 +196,24 @@ def test_stream_of_files_that_overlap_in_time(spark, tmp_path):
     assert len(list((tmp_path / "events").glob("*.parquet"))) == 8
     outbox.start(outbox.event_stream(spark, str(tmp_path / "events")), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
     assert {tuple(r) for r in outbox.indexed(spark, str(tmp_path / "index")).collect()} == {tuple(r) for r in outbox.latest(events).collect()}
+
+
+def test_one_document_is_reindexed_and_models_are_told_apart(spark):
+    rows = spark.createDataFrame([(1, "a", "m1"), (2, "b", "m1"), (2, "c", "m2")], "doc_id long, text string, model string")
+    fresh = spark.createDataFrame([(2, "z", "m2")], rows.schema)
+    assert {tuple(r) for r in maintain.reindexed(rows, fresh).collect()} == {(1, "a", "m1"), (2, "z", "m2")}
+    assert {tuple(r) for r in maintain.model_mix(rows).collect()} == {("m1", 2), ("m2", 1)} and maintain.of_model(rows, "m2").count() == 1
+    assert spark.range(1).select(maintain.projection_seconds(F.lit(20_000_000))).first()[0] == 10_000
+
+
+def test_flagged_answers_are_not_cached(spark, tmp_path):
+    from fathomry.functions import text
+
+    s = store.Store(spark, str(tmp_path), 4)
+    answers = spark.createDataFrame([("q1", "a", False), ("q2", "b", True), ("q3", "c", None), ("q1", "a", False)], "question string, answer string, flagged boolean")
+    keyed = maintain.cacheable(answers).select(text.cache_key(F.lower("question"), F.lit(5)).alias("key"), "answer", F.create_map(F.lit("1"), F.lit(1)).alias("sources"))
+    s.cached(keyed)
+    s.cached(keyed.limit(1).withColumn("answer", F.lit("new")))
+    assert s.table("cache").count() == 2 and s.table("cache").where("answer = 'new'").count() == 1
+    keys = {tuple(r) for r in answers.select("question", text.cache_key(F.lower("question"), F.lit(5)), text.cache_key(F.lower("question"), F.lit(6))).collect()}
+    assert len({k for _, a, b in keys for k in (a, b)}) == 6

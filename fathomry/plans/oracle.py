@@ -264,6 +264,7 @@ SELECT doc_id, n, md5(d.text) AS deleted, md5(i.text) AS inserted FROM d FULL JO
     "drift": f"{_UPDATES} SELECT n.doc_id FROM newest n LEFT JOIN known k ON n.doc_id = k.doc_id AND n.hash = k.hash WHERE k.doc_id IS NULL",
     "reconcile": f"{_UPDATES} SELECT k.doc_id, k.hash FROM known k JOIN newest n ON n.doc_id = k.doc_id AND n.hash = k.hash UNION ALL SELECT n.doc_id, n.hash FROM newest n LEFT JOIN known k ON n.doc_id = k.doc_id AND n.hash = k.hash WHERE k.doc_id IS NULL",
     "sequence_gaps": f"{_UPDATES}, s AS (SELECT doc_id, version, lag(version) OVER (PARTITION BY doc_id ORDER BY version) AS after FROM updates WHERE NOT lost) SELECT doc_id, after, version AS before FROM s WHERE version > after + 1",
+    "stream_gaps": f"{_UPDATES}, s AS (SELECT doc_id, version, lag(version) OVER (PARTITION BY doc_id ORDER BY version) AS after FROM updates WHERE NOT lost) SELECT doc_id, after, version AS before FROM s WHERE version > after + 1",
     "stream_index": f"{_UPDATES} SELECT doc_id, version, hash FROM known",
     "update_rates": f"{_UPDATES} SELECT date_trunc('hour', ts) AS start, count(*) AS events FROM updates GROUP BY ALL",
     "cache_valid": "SELECT concat_ws('|', source, lang) AS key, min(doc_id) % 7 <> 0 AND max(doc_id) % 7 <> 0 AS valid FROM documents GROUP BY source, lang",

@@ -14,7 +14,7 @@ from fathomry.operators import advisor, chunking, graph, index, locate, maintain
 from fathomry.session import shared_folder, written
 from fathomry.sources import documents as sources
 from fathomry.sources.store import Store
-from fathomry.streaming import outbox
+from fathomry.streaming import outbox, tracking
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -459,6 +459,14 @@ def stream_index(spark, sf_dir):
     return outbox.indexed(spark, f"{folder}/index")
 
 
+def stream_gaps(spark, sf_dir):
+    """Lost events as the stateful stream finds them, from files that are in no order of time."""
+    folder = f"{shared_folder(spark)}/tracked-{uuid.uuid4().hex}"
+    _updates(spark, sf_dir).where("not lost").drop("lost").repartition(3, "version").write.parquet(f"{folder}/events")
+    tracking.start(outbox.event_stream(spark, f"{folder}/events"), f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    return tracking.gaps(tracking.tracked(spark, f"{folder}/states"))
+
+
 def update_rates(spark, sf_dir):
     out = outbox.rates(_updates(spark, sf_dir))
     return out.select(F.col("window.start").alias("start"), "events")
@@ -491,6 +499,6 @@ _ALL = (
     tokenize_stats, normalize_text, sentence_split, fnv_hash, page_text, postings, corpus_stats, bm25_topk, mini_bm25_topk, vector_topk, hashed_embedding_sparse, hashed_search,
     hybrid_fusion, retrieval_modes, retrieval_stages, link_rank, rerank_proximity, context_assembly, answers, doc_delete_cascade, store_stats, store_upsert, ir_metrics, pr_curve, groundedness, fixed_chunks, section_windows,
     stable_chunks, sentence_chunks, record_chunks, evidence_location, lab_chunks, headed_chunks, chunk_preview, recommended_preview, chunk_graph_edges, budget_curve, lab_metrics, doc_signals, doc_category,
-    recommend, hash_diff, replaced_chunks, version_active, collected_rows, gc_series, drift, reconcile, sequence_gaps, stream_index, update_rates, cache_valid, model_mix,
+    recommend, hash_diff, replaced_chunks, version_active, collected_rows, gc_series, drift, reconcile, sequence_gaps, stream_index, stream_gaps, update_rates, cache_valid, model_mix,
 )
 QUERIES = {f.__name__: f for f in _ALL}

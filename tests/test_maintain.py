@@ -217,3 +217,24 @@ def test_flagged_answers_are_not_cached(spark, tmp_path):
     assert s.table("cache").count() == 2 and s.table("cache").where("answer = 'new'").count() == 1
     keys = {tuple(r) for r in answers.select("question", text.cache_key(F.lower("question"), F.lit(5)), text.cache_key(F.lower("question"), F.lit(6))).collect()}
     assert len({k for _, a, b in keys for k in (a, b)}) == 6
+
+
+def test_gaps_come_out_of_the_stream_over_files_in_any_order_and_a_restart(spark, tmp_path):
+    import random
+
+    from fathomry.streaming import tracking
+
+    rng = random.Random(1)
+    rows = [(d, v, f"{d}-{v}") for d in range(6) for v in range(1, 15) if rng.random() < 0.7] + [(None, 1, "x"), (1, None, "x"), (7, 3, None)]
+    rows += rows[:5]  # repeated
+    rng.shuffle(rows)
+    files = [rows[k::4] for k in range(4)]
+    for some in (files[:2], files[2:]):  # the second time from the checkpoint
+        for own in some:
+            spark.createDataFrame(own, "doc_id long, version long, hash string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        tracking.start(outbox.event_stream(spark, str(tmp_path / "events")), str(tmp_path / "states"), str(tmp_path / "check")).awaitTermination()
+    states = tracking.tracked(spark, str(tmp_path / "states"))
+    events = spark.createDataFrame([r for r in rows if r[0] is not None and r[1] is not None], "doc_id long, version long, hash string")
+    assert {tuple(r) for r in tracking.gaps(states).collect()} == {tuple(r) for r in outbox.sequence_gaps(events).collect()}
+    assert {(r.doc_id, r.version, r.hash) for r in states.collect()} == {tuple(r) for r in outbox.latest(events).collect()}
+    assert tracking.merged([1, 2, 5, 5], [3, 9, 4, 4]) == [1, 5, 9, 9]

@@ -142,18 +142,18 @@ class _Late(store.Store):
 
     other, writes = None, 0
 
-    def _write(self, name, df):
+    def _write(self, name, df, parts):
         self.writes += 1
         if self.other:
             self.other, other = None, self.other
             other()
-        return super()._write(name, df)
+        return super()._write(name, df, parts)
 
 
 def test_of_two_writers_both_changes_stay(spark, tmp_path):
     s, docs = _store(spark, tmp_path)
     revise = lambda w, k, name: w.upsert(docs.where(f"doc_id = {k}").withColumn("name", F.lit(name)), spark.createDataFrame([], "chunk_id long, doc_id long, text string"))
-    part = {r.doc_id: r.p for r in docs.select("doc_id", s._part(F.col("doc_id")).alias("p")).collect()}
+    part = {r.doc_id: r.p for r in docs.select("doc_id", s._part(F.col("doc_id"), 8).alias("p")).collect()}
     same = next(k for k in range(1, 40) if part[k] == part[0])
     far = next(k for k in range(1, 40) if part[k] != part[0])
     for k, tries in ((same, 2), (far, 1)):  # the same partition: done again; another one: entered as it is
@@ -166,6 +166,15 @@ def test_of_two_writers_both_changes_stay(spark, tmp_path):
     assert not [x for x in s._names("_manifests") if x.startswith(".") and not x.endswith(".crc")]
 
 
+def test_a_store_has_the_partitions_of_its_first_writer(spark, tmp_path):
+    docs, none = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("a").alias("name")), spark.createDataFrame([], "chunk_id long, doc_id long, text string")
+    late = _Late(spark, str(tmp_path), 16)
+    late.other = lambda: store.Store(spark, str(tmp_path), 4).upsert(docs, none)
+    assert late.upsert(docs.where("doc_id < 10").withColumn("name", F.lit("b")), none) == 2 and late.manifest()["parts"] == 4
+    assert {(r.doc_id, r.name) for r in late.table("documents").collect()} == {(k, "b" if k < 10 else "a") for k in range(30)}
+    assert late.table("documents").count() == 30
+
+
 def test_store_with_odd_rows(spark, tmp_path):
     s = store.Store(spark, str(tmp_path), 4)
     docs = spark.createDataFrame([(1, "a"), (None, "b"), (2, None)], "doc_id long, name string")

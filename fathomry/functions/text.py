@@ -22,8 +22,10 @@ whys with wont would wouldnt you youd youll youre youve your yours yourself your
 """.split()
 #: White space, Unicode's included, for the inside of a character class (the same in Java and RE2).
 SPACE = r"\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-#: The last sentence of a stretch that ends with a terminator, and what may end a stem.
-LAST_SENTENCE = r"(?s)^(?:.*[.!?])?([^.!?]+[.!?]+)\z"
+#: A sentence: what stands before terminators that end it at white space or the text's end. It begins where the one
+#: before ended or after a terminator, so that a stretch without an end is read once only.
+SENTENCE = rf"(?:\G|(?<=[.!?]))[^.!?]++[.!?]++(?:[{SPACE}]|\z)"
+#: What may end a stem.
 STEM_END = "(ings|ing|edly|ed|es|s)$"
 #: Only texts with such characters change their ASCII part under NFC.
 _COMPOSED = r"[\p{M}\x{37E}\x{1FEF}\x{212A}]"
@@ -77,11 +79,10 @@ def sentences(text: Column) -> Column:
     """Sentences of the plain splitter, trimmed; what follows the last terminator is lost, a text without any is one.
 
     A sentence ends at terminators before white space and begins after the terminators before these, so that a decimal
-    number loses what stands before its point. Two steps, each linear in the text.
+    number loses what stands before its point. The white space belongs to it: a lone terminator right after it is none.
     """
     text = F.coalesce(text, F.lit(""))
-    ended = F.filter(F.split(text, rf"(?<=[.!?])(?=[{SPACE}])"), lambda s: F.substring(s, -1, 1).isin(".", "!", "?"))
-    found = F.filter(F.transform(ended, lambda s: F.regexp_extract(s, LAST_SENTENCE, 1)), lambda s: s != "")
+    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
     return F.filter(F.transform(F.when(F.size(found) > 0, found).otherwise(F.array(text)), squash_ends), lambda s: s != "")
 
 

@@ -7,7 +7,7 @@ and are small Python helpers under an Arrow UDF; Spark deals the documents out.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 from bisect import bisect_right
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
@@ -129,8 +129,12 @@ def sentence_spans(line: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=1)
 def parse(text: str) -> tuple[str, list[dict], list[dict]]:
-    """A markdown document's text, units (headings and sentences, with offsets) and provisions (numbered or deep headings)."""
+    """A markdown document's text, units (headings and sentences, with offsets) and provisions (numbered or deep headings).
+
+    The last document's are kept, for all strategies that look at it; callers don't change them.
+    """
     text = text.replace("\r\n", "\n")
     units: list[dict] = []
     provisions: list[dict] = []
@@ -366,30 +370,41 @@ def _placed(text: str, chunks: list[dict]) -> list[dict]:
     return chunks
 
 
-def lab_chunks(docs: DataFrame, strategy: str, size: int = LAB_SIZE, **options) -> DataFrame:
+def chunked(text: str | None, strategy: str, size: int = LAB_SIZE, questions=None, **options) -> list[dict]:
+    """One document's chunks by a strategy, placed among its provisions."""
+    own = ([list(q) for q in (questions if questions is not None else [])],) if strategy in SUPERVISED else ()
+    return _placed(text or "", STRATEGIES[strategy](text or "", *own, size, **options))
+
+
+def lab_chunks(docs: DataFrame, strategy: str | tuple[str, ...], size: int = LAB_SIZE, **options) -> DataFrame:
     """Chunks of documents (doc_id, text; supervised strategies: questions array<array<string>> of evidence texts too).
 
     doc_id, strategy, chunk_no, start, end, text, words, prov, refs, first_unit, end_unit, gap, home (the provision of the
-    first unit touched), mentions (section numbers in its span).
+    first unit touched), mentions (section numbers in its span). Several strategies run in one pass over ``docs``, which parses
+    each document once.
     """
-    work = STRATEGIES[strategy]
+    strategies = (strategy,) if isinstance(strategy, str) else strategy
+    named = f"array<struct<strategy:string,chunks:{_CHUNK}>>"
+
+    def every(text, questions=None) -> list[dict]:
+        return [{"strategy": s, "chunks": chunked(text, s, size, questions, **options)} for s in strategies]
 
-    if strategy in SUPERVISED:
+    if any(s in SUPERVISED for s in strategies):
 
-        @F.pandas_udf(_CHUNK)
+        @F.pandas_udf(named)
         def run(text: pd.Series, questions: pd.Series) -> pd.Series:
-            return pd.Series([_placed(t or "", work(t or "", [list(q) for q in (own if own is not None else [])], size, **options)) for t, own in zip(text, questions, strict=True)])
+            return pd.Series([every(t, own) for t, own in zip(text, questions, strict=True)])
 
         found = run(F.col("text"), F.col("questions"))
     else:
 
-        @F.pandas_udf(_CHUNK)
+        @F.pandas_udf(named)
         def run(text: pd.Series) -> pd.Series:
-            return pd.Series([_placed(t or "", work(t or "", size, **options)) for t in text])
+            return pd.Series([every(t) for t in text])
 
         found = run(F.col("text"))
-    out = docs.select("doc_id", F.posexplode(found).alias("chunk_no", "c"))
-    return out.select("doc_id", F.lit(strategy).alias("strategy"), "chunk_no", "c.*")
+    each = docs.select("doc_id", F.explode(found).alias("s"))
+    return each.select("doc_id", "s.strategy", F.posexplode("s.chunks").alias("chunk_no", "c")).select("doc_id", "strategy", "chunk_no", "c.*")
 
 
 def units(docs: DataFrame) -> DataFrame:

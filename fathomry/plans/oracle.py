@@ -109,6 +109,26 @@ markdown AS (
          || CASE WHEN k > 0 THEN chr(10) || 'See Section ' || k || '.1.' ELSE '' END, chr(10) ORDER BY k) AS text
   FROM sections GROUP BY doc_id)"""
 
+# White space as Python's strings have it.
+_BLANK = r"\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SENTENCES = f"""list_filter(list_transform(CASE WHEN len(f) > 0 THEN f ELSE [text] END, lambda x: regexp_replace(x, '^[{SPACE}]+|[{SPACE}]+\\z', '', 'g')), lambda x: x <> '')"""
+_SENTENCE = f"'([^.!?]+[.!?]+(?:[{SPACE}]|\\z))', 1"
+# Headings and sentences of documents: lists of starts (s) and ends (e) in order.
+_UNITS = f"""
+plain AS (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS text FROM documents WHERE text <> ''),
+textlines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM plain),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_matches(line, '^#{{1,6}}[{_BLANK}]') AS heading FROM textlines),
+pieces AS (SELECT *, unnest(range(1, len(parts) + 1)) AS p FROM (SELECT *, CASE WHEN heading THEN [line] ELSE regexp_extract_all(line, '(?s).*?[.!?](?:[{_BLANK}]|$)|.+') END AS parts FROM placed)),
+units AS (SELECT doc_id, k, p, heading, parts[p] AS x, base + coalesce(list_sum(list_transform(parts[:p - 1], lambda y: length(y))), 0) AS start FROM pieces),
+spans AS (SELECT doc_id, k, p, CASE WHEN heading THEN start ELSE start + length(x) - length(regexp_replace(x, '^[{_BLANK}]+', '')) END AS start,
+  CASE WHEN heading THEN start + length(x) ELSE start + length(regexp_replace(x, '[{_BLANK}]+$', '')) END AS stop FROM units WHERE heading OR regexp_matches(x, '[^{_BLANK}]')),
+listed AS (SELECT doc_id, list(start ORDER BY k, p) AS s, list(stop ORDER BY k, p) AS e FROM spans GROUP BY doc_id)"""
+
+
+def _first(ids: str, condition: str, otherwise: str) -> str:
+    return f"coalesce(list_filter({ids}, lambda u: {condition})[1], {otherwise})"
+
+
 _EDITED = "edited AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A new first sentence. ' || text ELSE text END AS text FROM documents WHERE text IS NOT NULL)"
 
 
@@ -241,6 +261,33 @@ e AS (SELECT conv_id, turn, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q
   CASE WHEN answer = '' OR checks = 0 THEN 1.0 ELSE 1 - len(missing) / checks END AS faithfulness FROM d)
 SELECT conv_id, turn, round(context_relevance, 6) AS context_relevance, round(answer_relevance, 6) AS answer_relevance, round(faithfulness, 6) AS faithfulness, CAST(len(missing) AS BIGINT) AS n_mismatches, CAST(len(missing) > 0 AND faithfulness < 0.8 AS BOOLEAN) AS flagged FROM e""",
     "fixed_chunks": f"SELECT doc_id, chunk_no, start, \"end\", CAST({_WORDS} AS BIGINT) AS words, md5(text) AS digest FROM ({_windows('documents', 500, 450)})",
+    "sentence_chunks": f"""WITH RECURSIVE
+split AS (SELECT doc_id, {_SENTENCES} AS x FROM (SELECT doc_id, text, regexp_extract_all(text, {_SENTENCE}) AS f FROM (SELECT doc_id, {_NORMAL} AS text FROM documents))),
+summed AS (SELECT doc_id, x, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(list_transform(x[:i], lambda y: length(y) + 1)), 0)) AS p FROM split WHERE len(x) > 0),
+cut AS (
+  SELECT doc_id, x, p, 0 AS no, 1 AS first, 1 AS fresh, {_first("range(2, len(x) + 1)", "p[u + 1] - 1 > 500", "len(x) + 1")} AS stop FROM summed
+  UNION ALL
+  SELECT doc_id, x, p, no, first, fresh, {_first("range(fresh + 1, len(x) + 1)", "p[u + 1] - p[first] - 1 + CAST(first < fresh AS INT) > 500", "len(x) + 1")}
+  FROM (SELECT doc_id, x, p, no + 1 AS no, {_first("range(first, stop)", "p[stop] - p[u] <= 50", "stop")} AS first, stop AS fresh FROM cut WHERE stop <= len(x)))
+SELECT doc_id, CAST(no AS INT) AS chunk_no, CAST({_RAW_COUNT} AS INT) AS n_tokens, md5(text) AS digest
+FROM (SELECT doc_id, no, trim(array_to_string(x[first:fresh - 1], ' ') || CASE WHEN first < fresh THEN '  ' ELSE '' END || array_to_string(x[fresh:stop - 1], ' ')) AS text FROM cut)""",
+    "record_chunks": f"""WITH RECURSIVE
+listed AS (SELECT o_custkey AS doc_id, list(concat_ws(',', o_orderkey, o_orderstatus, o_totalprice, o_orderpriority) ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey),
+summed AS (SELECT doc_id, x, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(list_transform(x[:i], lambda y: length(y) + 1)), 0)) AS p FROM listed),
+cut AS (
+  SELECT doc_id, x, p, 0 AS no, 1 AS first, {_first("range(2, len(x) + 1)", "27 + p[u + 1] > 450", "len(x) + 1")} AS stop FROM summed
+  UNION ALL
+  SELECT doc_id, x, p, no + 1, stop, {_first("range(stop + 1, len(x) + 1)", "27 + p[u + 1] - p[stop] > 450", "len(x) + 1")} FROM cut WHERE stop <= len(x))
+SELECT doc_id, CAST(no AS INT) AS chunk_no, CAST({_WORDS} AS INT) AS words, md5(text) AS digest
+FROM (SELECT doc_id, no, 'order,status,price,priority' || chr(10) || array_to_string(x[first:stop - 1], chr(10)) AS text FROM cut)""",
+    "sql_chunks": f"""WITH RECURSIVE {_UNITS},
+cut AS (
+  SELECT doc_id, s, e, 0 AS no, 1 AS first, {_first("range(2, len(s) + 1)", "e[u] - s[1] > 450", "len(s) + 1")} AS stop FROM listed
+  UNION ALL
+  SELECT doc_id, s, e, no, first, {_first("range(fresh + 1, len(s) + 1)", "e[u] - s[first] > 450", "len(s) + 1")}
+  FROM (SELECT doc_id, s, e, no + 1 AS no, {_first("range(first, stop)", "e[stop - 1] - s[u] <= 50", "stop")} AS first, stop AS fresh FROM cut WHERE stop <= len(s)))
+SELECT doc_id, CAST(no AS INT) AS chunk_no, CAST(since AS INT) AS start, CAST(upto AS INT) AS "end", CAST(len(regexp_extract_all(text, '[^{_BLANK}]+')) AS INT) AS words, md5(text) AS digest
+FROM (SELECT doc_id, no, s[first] AS since, e[stop - 1] AS upto, substr(plain.text, CAST(s[first] + 1 AS BIGINT), CAST(e[stop - 1] - s[first] AS BIGINT)) AS text FROM cut JOIN plain USING (doc_id))""",
     "section_windows": f"""WITH {_SECTIONS.format('documents')},
 parts AS (SELECT doc_id, k, '## Part ' || k || chr(10) || chr(10) || array_to_string(lines[k * 4 + 1:k * 4 + 4], chr(10) || chr(10)) AS part FROM sections),
 heads AS (SELECT doc_id, k, part, coalesce(sum(length(part) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM parts),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import text as T
 from fathomry.functions.vectors import hashed_rows, hashed_sparse
-from fathomry.operators import advisor, chunking, graph, index, locate, maintain, metrics, search
+from fathomry.operators import advisor, chunking, graph, index, locate, maintain, metrics, search, table_functions
 from fathomry.session import shared_folder, written
 from fathomry.sources import documents as sources
 from fathomry.sources.store import Store
@@ -294,18 +294,20 @@ def _lab(spark, sf_dir) -> DataFrame:
     """The chunks of every strategy, those by structure and records aside under their heading path."""
     docs = markdown(_docs(spark, sf_dir))
     wanted = _located(spark, sf_dir).where("split = 'train'").groupBy("doc_id").agg(F.sort_array(F.collect_set("evidence")).alias("questions"))
-    with_pairs = docs.join(wanted, "doc_id", "left")
-    parts = [chunking.lab_chunks(with_pairs if s in chunking.SUPERVISED else docs, s) for s in ("fixed", "sentence", "struct", "qesdp", "qesov")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return chunking.lab_chunks(docs.join(wanted, "doc_id", "left"), ("fixed", "sentence", "struct", "qesdp", "qesov"))
 
 
 def lab_chunks(spark, sf_dir):
     return _digest(_lab(spark, sf_dir), "strategy", "chunk_no", "start", "end", "words")
 
 
+def sql_chunks(spark, sf_dir):
+    """Documents' units packed by a table function of SQL."""
+    table_functions.register(spark)
+    found = spark.sql("SELECT d.doc_id, c.* FROM {docs} d, LATERAL chunks(d.text, 'sentence', 450) c", docs=_docs(spark, sf_dir))
+    return _digest(found, "chunk_no", "start", "end", "words")
+
+
 def headed_chunks(spark, sf_dir):
     docs = markdown(_docs(spark, sf_dir))
     return _digest(chunking.with_heading_path(chunking.lab_chunks(docs, "fixed"), chunking.provisions(docs)), "chunk_no", "words")
@@ -498,7 +500,7 @@ def model_mix(spark, sf_dir):
 _ALL = (
     tokenize_stats, normalize_text, sentence_split, fnv_hash, page_text, postings, corpus_stats, bm25_topk, mini_bm25_topk, vector_topk, hashed_embedding_sparse, hashed_search,
     hybrid_fusion, retrieval_modes, retrieval_stages, link_rank, rerank_proximity, context_assembly, answers, doc_delete_cascade, store_stats, store_upsert, ir_metrics, pr_curve, groundedness, fixed_chunks, section_windows,
-    stable_chunks, sentence_chunks, record_chunks, evidence_location, lab_chunks, headed_chunks, chunk_preview, recommended_preview, chunk_graph_edges, budget_curve, lab_metrics, doc_signals, doc_category,
+    stable_chunks, sentence_chunks, record_chunks, evidence_location, lab_chunks, sql_chunks, headed_chunks, chunk_preview, recommended_preview, chunk_graph_edges, budget_curve, lab_metrics, doc_signals, doc_category,
     recommend, hash_diff, replaced_chunks, version_active, collected_rows, gc_series, drift, reconcile, sequence_gaps, stream_index, stream_gaps, update_rates, cache_valid, model_mix,
 )
 QUERIES = {f.__name__: f for f in _ALL}

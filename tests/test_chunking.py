@@ -115,3 +115,29 @@ def test_preview_falls_back_and_warns(spark):
     supervised = {r.doc_id: (r.used, r.n_chunks) for r in C.previewed(rows, "qesov").collect()}
     assert supervised[2] == ("qesov", found[2].n_chunks) and {r.heading_share for r in C.previewed(rows, "record").collect()} == {None}
     assert C.previewed(rows.limit(0), "struct").count() == 0
+
+
+def test_table_functions_give_the_chunks_of_the_operators(spark):
+    from fathomry.operators import table_functions
+
+    table_functions.register(spark)
+    docs = spark.createDataFrame([(1, DOC, QUESTIONS), (2, None, None), (3, "", []), (4, "One line. Another one.", None)], "doc_id long, text string, questions array<array<string>>")
+    docs.createOrReplaceTempView("guides")
+    several = C.lab_chunks(docs, tuple(C.STRATEGIES), 120)
+    for strategy in C.STRATEGIES:
+        call = f"supervised_chunks(text, questions, '{strategy}', 120)" if strategy in C.SUPERVISED else f"chunks(text, '{strategy}', 120)"
+        by_sql = spark.sql(f"SELECT doc_id, '{strategy}' AS strategy, c.* FROM guides, LATERAL {call} c")
+        own = C.lab_chunks(docs, strategy, 120)
+        assert own.count() and own.columns == by_sql.columns
+        assert sorted(map(str, by_sql.collect())) == sorted(map(str, own.collect())) == sorted(map(str, several.where(F.col("strategy") == strategy).collect()))
+    assert sorted(map(str, spark.sql("SELECT doc_id, u.* FROM guides, LATERAL document_units(text) u").collect())) == sorted(map(str, C.units(docs).collect()))
+    assert sorted(map(str, spark.sql("SELECT doc_id, p.* FROM guides, LATERAL document_provisions(text) p").collect())) == sorted(map(str, C.provisions(docs).collect()))
+    assert [tuple(r) for r in spark.sql("SELECT * FROM packed_sentences(array('Aaaa.', null, 'Bb.', 'Cccc.'), 10, 4)").collect()] == [(0, "Aaaa. Bb."), (1, "Bb.  Cccc.")]
+    with pytest.raises(Exception, match="no strategy"):
+        spark.sql("SELECT * FROM chunks('text', 'unheard of')").collect()
+
+
+def test_strategies_share_one_pass(spark):
+    docs = spark.createDataFrame([(1, DOC)], "doc_id long, text string")
+    plan = C.lab_chunks(docs, ("fixed", "sentence", "struct"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -65,3 +65,16 @@ def test_hashed_embedding_is_a_unit_vector(spark):
     assert [(r.id, round(r.n, 9)) for r in sparse.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()] == [(1, 1.0)]
     dense = V.dense(sparse, "id").first()
     assert len(dense.vector) == 1024 and math.isclose(sum(x * x for x in dense.vector), 1.0)
+
+
+def test_sentences_as_the_pattern_has_them(spark):
+    import random
+    import re
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "b ", " ", ".", ". ", "! ", "?", "\n", "3.5"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    texts += ["X a. . Y b.", "X a. . . Y b.", "", "no end", ". .", "word " * 300, "a." * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", T.sentences(F.col("text")).alias("s")).collect()
+    for r in rows:
+        found = re.findall(r"[^.!?]+[.!?]+(?:\s|\Z)", texts[r.id]) or [texts[r.id]]
+        assert list(r.s) == [x.strip() for x in found if x.strip()]

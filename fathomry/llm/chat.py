@@ -13,12 +13,13 @@ A scan over the blocks fixes the roles at their ends, a second pass the roles of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.llm.common import small_side, stored
@@ -33,7 +34,7 @@ _MARKER = re.compile(r"^\s*(?:[#*>\[(_|<-]+\s*)*(" + "|".join(sorted(ALIASES, ke
 _LISTED = re.compile(r"^\s*(?:[-*+•]\s|\d{1,9}[.)]\s|```|\|)")
 #: Rows of a block of the Viterbi scan.
 BLOCK_ROWS = 2_048
-#: Labelled rows that the model is fitted on, about (a hash of the conversation picks them), and their first turns used.
+#: Labelled rows that the model is fitted on, about (a hash of the conversation picks them), and the first rows used of each.
 SAMPLE_ROWS, SAMPLE_TURNS = 50_000, 64
 #: Chances: a turn begins inside a row; a beginning has a marker, or another role's; a line that goes on looks like one.
 BEGIN_INSIDE, MARKED, MISMARKED, SEEMING = 0.02, 0.45, 0.0001, 0.0001
@@ -118,19 +119,25 @@ class TurnModel:
 
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TurnModel:
-    """Fit on about ``sample_rows`` rows (conv_id, turn, role, text) of conversations that a hash picks, their first turns.
+    """Fit on about ``sample_rows`` rows (conv_id, turn, role, text) of conversations that a hash picks, the first SAMPLE_TURNS rows of each.
 
-    Rows with a null in conv_id, turn or role are left out. What comes to the driver are counts by role and code.
+    Rows with a null in conv_id, turn or role are left out; null and empty texts count for the order of roles only. Turns are
+    taken in order, wherever their numbers begin and whatever is missing between them; of several rows of one turn
+    the smallest role counts as its own. What comes to the driver are counts by role and code of that sample.
     """
     rows = rows.where("conv_id is not null and turn is not null and role is not null").select(F.col("conv_id").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rate = min(1.0, sample_rows / max(1, rows.count()))
     share = F.pmod(F.xxhash64("conv", F.lit("chat")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = stored(rows.where((share < rate) & (F.col("turn") < SAMPLE_TURNS)), "sample")
+    in_order = F.row_number().over(Window.partitionBy("conv").orderBy("turn", "role", F.xxhash64("text")))
+    sample = stored(rows.where(share < rate).withColumn("n", in_order).where(F.col("n") <= SAMPLE_TURNS), "sample")
+    by_turn = Window.partitionBy("conv").orderBy("turn")
     roles = sample.groupBy("conv", "turn").agg(F.min("role").alias("role"))
-    after = roles.select("conv", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    counts = roles.join(after, ["conv", "turn"], "full").groupBy("role", "next", (F.col("turn") == -1).alias("first")).count().collect()
-    starts = {r["next"]: r["count"] for r in counts if r["first"] and r["next"]}
-    moves = {(r["role"], r["next"]): r["count"] for r in counts if r["role"] and r["next"]}
+    steps = roles.select("role", F.lead("role").over(by_turn).alias("next"), (F.row_number().over(by_turn) == 1).alias("first"))
+    starts, moves = Counter(), Counter()
+    for r in steps.groupBy("role", "next", "first").count().collect():
+        starts[r["role"]] += r["count"] if r["first"] else 0
+        moves[r["role"], r["next"]] += r["count"] if r["next"] is not None else 0
+    moves = {pair: n for pair, n in moves.items() if n}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

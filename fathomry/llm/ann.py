@@ -229,8 +229,8 @@ def nearest(vectors: DataFrame, queries, k: int = 10, parameters: tuple[int, int
 
     ``vectors`` has vec_id and embedding; ``queries`` is a condition on vec_id. Rows whose vector is null, empty,
     zero or holds null or non-finite components take no part, nor do rows without an id. Every other row is a candidate,
-    also where rows of one id have different vectors (the smallest of them asks; equal rows count once). A query is compared with vectors of its own length only and never with itself; ties go to the
-    smaller vec_id. Fewer than k rows come only for fewer candidates. Other columns are not read. ``parameters``:
+    repeated rows as often as they stand there, but for the rows of the query's own id. An id asks once: of several vectors
+    the smallest. A query is compared with vectors of its own length only; ties go to the smaller vec_id. Fewer than k rows come only for fewer candidates. Other columns are not read. ``parameters``:
     hashes a bucket is made of and probes a table; by default they are fitted. An empty table gives an empty result.
     """
     own_kind = vectors.schema["embedding"].dataType.simpleString()
@@ -238,7 +238,7 @@ def nearest(vectors: DataFrame, queries, k: int = 10, parameters: tuple[int, int
     if own_kind == "array<float>":  # half the bytes to shuffle, the same values
         rows = rows.withColumn("vector", F.col("vector").cast(own_kind))
     rows = stored(rows, "vectors")
-    groups = stored(distinct_vectors(rows, k).withColumn("single", F.size("members") == 1), "groups")
+    groups = stored(distinct_vectors(rows, k), "groups")
     asked = stored(query_vectors(rows, queries), "asked")
     dim = F.size("vector").alias("dim")
     if parameters:

@@ -85,15 +85,15 @@ def top_products(vectors: DataFrame, queries, k: int = 10, scale: int = SCALE, c
     """The k highest inner products of floor(scale * x) vectors for each query: query_id, rank, vec_id, score (long).
 
     ``vectors`` has vec_id and embedding; ``queries`` is a condition on vec_id. Rows whose vector is null, empty or
-    holds null or non-finite components take no part, nor do rows without an id. Every other row is a candidate, also
-    where rows of one id have different vectors (the smallest of them asks; equal rows count once). A component or a
-    candidate's score beyond a long raises an error. A query is scored against vectors of its own length, never against itself; ties go to the smaller vec_id. Other columns are not read. An
-    empty table gives an empty result.
+    holds null or non-finite components take no part, nor do rows without an id. Every other row is a candidate, repeated
+    rows as often as they stand there, but for the rows of the query's own id. An id asks once: of several vectors the
+    smallest. A component or a candidate's score beyond a long raises an error. A query is scored against vectors of its
+    own length; ties go to the smaller vec_id. Other columns are not read. An empty table gives an empty result.
     """
     large = F.raise_error(F.lit("a scaled component leaves the range of a long")).cast("long")
     scaled = F.transform("vector", lambda x: F.when(F.abs(x) < 2.0**63 / scale, F.floor(x * float(scale)).cast("long")).otherwise(large))
-    rows = stored(usable(vectors).select("vec_id", scaled.alias("vector")).distinct(), "vectors")
-    groups = stored(distinct_vectors(rows, k).withColumn("single", F.size("members") == 1), "groups")
+    rows = stored(usable(vectors).select("vec_id", scaled.alias("vector")), "vectors")
+    groups = stored(distinct_vectors(rows, k), "groups")
     bounds = rows.sparkSession.sparkContext.broadcast(cell_bounds(groups, cells))
     file = stored(approximations(groups, bounds), "cells")
     asked = query_vectors(rows, queries).withColumn("dim", F.size("vector"))
@@ -119,7 +119,7 @@ def top_products(vectors: DataFrame, queries, k: int = 10, scale: int = SCALE, c
     return ranked(first.unionAll(more), groups, k, F.col("score").desc())
 
 
-#: top_products() over ``embeddings``, by brute force.
+#: top_products() over ``embeddings``, by brute force; an id asks once.
 SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
@@ -128,8 +128,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
-  WHERE q.vec_id % 100 = 0)
+  FROM (SELECT vec_id, min(x) AS x FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
 SELECT query_id, CAST(r AS INT) AS rank, vec_id, score
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
 WHERE r <= 10

@@ -16,29 +16,30 @@ BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id long, vector array<double>): rows with an id and a vector of finite components.
 
-    Rows of one id and different vectors are different rows; equal rows count once.
+    Every row counts, also where rows have one id, equal or not.
     """
     vector = F.col(embedding).cast("array<double>")
     fine = F.coalesce(F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False)) & (F.size(vector) > 0)
-    out = rows.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), vector.alias("vector"))
-    return out.distinct()
+    return rows.where(F.col(vec_id).isNotNull() & fine).select(F.col(vec_id).cast("long").alias("vec_id"), vector.alias("vector"))
 
 
 def query_vectors(rows: DataFrame, condition) -> DataFrame:
-    """(query_id, vector) of the rows that meet the condition; of several vectors of one id, the smallest asks."""
+    """(query_id, vector) of the rows that meet the condition; an id asks once, with the smallest of its vectors."""
     return rows.where(condition).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector"))
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
-    """One row for each different vector: rep (its smallest vec_id), salt (which of that id's vectors), members (its k + 1 smallest vec_ids, in order), vector.
+    """One row for each different vector: rep (its smallest vec_id), salt (which of that id's vectors), members, single (whether these are of one id), vector.
 
-    More copies can't be among any query's k nearest, since ties go to the smaller vec_id and a query leaves out
-    only itself. The rank limit is applied before the shuffle, so copies of one vector don't meet in one task.
+    members: its k + 1 smallest vec_ids, each as often as it has the vector, k times at most. More can't be among any query's
+    k nearest, since ties go to the smaller vec_id and a query leaves out the rows of its own id only. Rows are counted and the
+    rank limit is applied before the shuffles, so copies of one vector don't meet in one task.
     """
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    few = vectors.withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
-    out = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    return out.select(F.col("members")[0].alias("rep"), F.xxhash64("vector").alias("salt"), "members", "vector")
+    few = vectors.groupBy("vector", "vec_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
+    own = F.expr(f"array_repeat(vec_id, cast(least(_n, {k}) as int))")
+    out = few.groupBy("vector").agg(F.flatten(F.sort_array(F.collect_list(own))).alias("members"), (F.count(F.lit(1)) == 1).alias("single"))
+    return out.select(F.col("members")[0].alias("rep"), F.xxhash64("vector").alias("salt"), "members", "single", "vector")
 
 
 def matrix(column: pa.ChunkedArray, kind=np.float64) -> np.ndarray:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,26 +122,59 @@ def test_top_products(spark):
     x, df = vectors(spark)
     y = np.floor(x * 1024).astype(np.int64)
     y = {k: v for k, v in enumerate(y)} | {1100: np.zeros(24, np.int64)}
+    candidates = [*y.items(), (7, y[7])]  # the repeated row stands there twice
     found = defaultdict(list)
     for r in vafile.top_products(df, F.expr("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
     for q in (*range(0, 600, 100), 1100):
-        assert found[q] == sorted(((k, int(v @ y[q])) for k, v in y.items() if k != q), key=lambda t: (-t[1], t[0]))[:10]
+        assert found[q] == sorted(((k, int(v @ y[q])) for k, v in candidates if k != q), key=lambda t: (-t[1], t[0]))[:10]
     assert vafile.top_products(df.limit(0), F.expr("vec_id % 100 = 0")).count() == 0
 
 
+def test_searches_count_repeated_rows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9, 4)).round(2)
+    rows = [(i, base[i % 9].tolist()) for i in (100, 100, 200, 3, 3, 3, 5, 6, 7, 8, 12)]
+    rows += [(100, base[2].tolist()), (200, base[2].tolist()), (4, base[1].tolist())] + [(300, base[0].tolist())] * 14 + [(301, base[0].tolist())] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("frame", pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))}))
+    con.sql("create view embeddings as select * from frame")
+    wanted = con.execute(vafile.SQL).fetchall()
+    found = vafile.top_products(df, F.expr("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect()
+    assert len(wanted) == 30 and sorted(map(tuple, found)) == sorted(wanted)
+    near = ann.nearest(df, F.expr("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
+    for query in (100, 200, 300):
+        own = min(v for i, v in rows if i == query)
+        best = sorted((float(np.sqrt(((np.array(v) - own) ** 2).sum())), i) for i, v in rows if i != query)[:10]
+        assert [(r.vec_id, round(r.score, 9)) for r in near if r.query_id == query] == [(i, round(d, 9)) for d, i in best]
+
+
+def test_starts_and_moves_whatever_the_turns_numbers(spark):
+    roles = [["user", "assistant", "user"], ["system", "user", "assistant"], ["user", "assistant"], ["assistant"]]
+    fitted = []
+    for number in (lambda t: t, lambda t: t + 1, lambda t: 5 * t - 7, lambda t: 10 * t + 1000):
+        rows = [(c, number(t), role, f"Line {t}.") for c, own in enumerate(roles) for t, role in enumerate(own)]
+        fitted.append(chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    for model in fitted[1:]:
+        assert np.allclose(model.start, fitted[0].start) and np.allclose(model.move, fitted[0].move)
+    chances = dict(zip(fitted[0].roles, np.exp(fitted[0].start), strict=True))
+    assert chances["user"] == pytest.approx(2.5 / 5.5) and chances["system"] == pytest.approx(1.5 / 5.5)
+
+
 def test_searches_keep_large_vectors_and_repeated_ids(spark):
     rows = [(0, [1.0, 2.0]), (1, [300_000.0, 1.0]), (2, [3.0, -2e6]), (3, [1e200, -1e200]), (4, [1e-200, 2e-200]), (5, [2.0, 2.0]), (5, [7.0, 9.0]), (0, [1.5, 2.0]), (5, [2.0, 2.0]), (6, [-2e6, 4e6])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = [(r.vec_id, r.score) for r in ann.nearest(df, F.expr("vec_id = 0")).orderBy("rank").collect()]
-    best = sorted((math.dist((1.0, 2.0), v), k) for k, v in {(k, tuple(v)) for k, v in rows if k})
+    best = sorted((math.dist((1.0, 2.0), v), k) for k, v in rows if k)
     assert [k for k, _ in found] == [k for _, k in best] and all(math.isclose(s, d) for (_, s), (d, _) in zip(found, best, strict=True))
     assert [r.vec_id for r in ann.nearest(df, F.expr("vec_id = 3")).orderBy("rank").collect()][:2] != [] and ann.nearest(df, F.expr("vec_id = 4")).orderBy("rank").first().score > 0
     fits = df.where("vec_id <> 3")
     exact = lambda v: [math.floor(1024 * x) for x in v]
     for q, own in ((0, [1.0, 2.0]), (6, [-2e6, 4e6])):
         got = [(r.vec_id, r.score) for r in vafile.top_products(fits, F.expr(f"vec_id = {q}")).orderBy("rank").collect()]
-        want = sorted(((k, sum(a * b for a, b in zip(exact(v), exact(own)))) for k, v in {(k, tuple(v)) for k, v in rows if k not in (q, 3)}), key=lambda t: (-t[1], t[0]))
+        want = sorted(((k, sum(a * b for a, b in zip(exact(v), exact(own)))) for k, v in rows if k not in (q, 3)), key=lambda t: (-t[1], t[0]))
         assert got == want[:10]
     with pytest.raises(Exception, match="range of a long"):
         vafile.top_products(df, F.expr("vec_id = 0")).collect()

@@ -63,30 +63,62 @@ def profile(docs: DataFrame) -> DataFrame:
     return out.withColumns({"code_fences": F.col("code_fences") / 2, "ocr_noise": noise, "mean_sentence_words": each("sentences"), "mean_paragraph_words": paragraph}).drop("t", "ocr_breaks", "exotic_chars", "sentences", "paragraphs")
 
 
-def _scores() -> dict[str, Column]:
-    n = F.greatest("lines", F.lit(1))
-    full = lambda x, y: F.least(F.lit(1.0), F.col(x) / y)
-    rate = lambda x, times: F.least(F.lit(1.0), F.col(x) / n * times)
-    headings = (F.col("md_headings") + F.col("numbered_headings")) / n
-    head = lambda times: F.least(F.lit(1.0), headings * times)
-    return {
-        "legal": 3 * full("numbered_headings", 4) + 2 * full("cross_refs", 2) + 2 * full("clause_words", 6) + head(4),
-        "techdocs": 2 * full("md_headings", 4) + 2 * full("code_fences", 1) + rate("code_lines", 4) - full("clause_words", 8),
-        "research": F.when(F.col("section_words") > 0, 2 * full("section_lines", 3)).otherwise(F.lit(0.0)) + full("paper_citations", 4) + full("figures", 2),
-        "faq": 3 * full("qa_pairs", 4) + rate("qa_pairs", 3) - 4 * rate("speaker_turns", 2),
-        "transcript": 3 * rate("speaker_turns", 2) + full("timestamps", 6),
-        "email": 3 * full("email_headers", 3) + full("quoted", 4) + full("greetings", 2),
-        "narrative": 2 * full("mean_paragraph_words", 80) + full("words", 600) - 2 * head(6) - rate("speaker_turns", 3),
-        "scanned": 2 * full("ocr_noise", 6) + F.when((headings == 0) & (F.col("mean_sentence_words") > 35), 1.0).otherwise(0.0),
-        "tabular": 3 * rate("table_lines", 1.5),
-        "code": 3 * rate("code_lines", 2) - full("clause_words", 4),
+# Category, weight, signal, whether a share of the lines counts, scale. A count is divided by the scale, a share
+# of the lines is multiplied by it; neither counts for more than 1. A category's score is the sum of its rows in this order.
+WEIGHTS = [
+    ("legal", 3, "numbered_headings", False, 4),
+    ("legal", 2, "cross_refs", False, 2),
+    ("legal", 2, "clause_words", False, 6),
+    ("legal", 1, "headings", True, 4),
+    ("techdocs", 2, "md_headings", False, 4),
+    ("techdocs", 2, "code_fences", False, 1),
+    ("techdocs", 1, "code_lines", True, 4),
+    ("techdocs", -1, "clause_words", False, 8),
+    ("research", 2, "named_sections", False, 3),
+    ("research", 1, "paper_citations", False, 4),
+    ("research", 1, "figures", False, 2),
+    ("faq", 3, "qa_pairs", False, 4),
+    ("faq", 1, "qa_pairs", True, 3),
+    ("faq", -4, "speaker_turns", True, 2),
+    ("transcript", 3, "speaker_turns", True, 2),
+    ("transcript", 1, "timestamps", False, 6),
+    ("email", 3, "email_headers", False, 3),
+    ("email", 1, "quoted", False, 4),
+    ("email", 1, "greetings", False, 2),
+    ("narrative", 2, "mean_paragraph_words", False, 80),
+    ("narrative", 1, "words", False, 600),
+    ("narrative", -2, "headings", True, 6),
+    ("narrative", -1, "speaker_turns", True, 3),
+    ("scanned", 2, "ocr_noise", False, 6),
+    ("scanned", 1, "unbroken", False, 1),
+    ("tabular", 3, "table_lines", True, 1.5),
+    ("code", 3, "code_lines", True, 2),
+    ("code", -1, "clause_words", False, 4),
+]
+#: Words of a mean sentence from which a text without headings counts as unbroken.
+UNBROKEN = 35
+
+
+def _score(category: str) -> Column:
+    """The category's rows of ``WEIGHTS`` over a profile, not below 0."""
+    headings = F.col("md_headings") + F.col("numbered_headings")
+    derived = {
+        "headings": headings,
+        "named_sections": F.when(F.col("section_words") > 0, F.col("section_lines")).otherwise(0),
+        "unbroken": ((headings == 0) & (F.col("mean_sentence_words") > UNBROKEN)).cast("int"),
     }
+    total = F.lit(0.0)
+    for own, weight, signal, by_line, scale in WEIGHTS:
+        if own == category:
+            x = derived.get(signal, F.col(signal))
+            x = x / F.greatest("lines", F.lit(1)) * scale if by_line else x / scale
+            total = total + weight * F.least(F.lit(1.0), x)
+    return F.greatest(total, F.lit(0.0))
 
 
 def classify(profiles: DataFrame) -> DataFrame:
     """Profiles with ``ranked`` (category, score, share; best first, ties in catalogue order) and ``category``."""
-    own = _scores()
-    entries = F.array(*[F.struct(F.greatest(own[c], F.lit(0.0)).alias("score"), F.lit(k).alias("place"), F.lit(c).alias("category")) for k, c in enumerate(CATEGORIES)])
+    entries = F.array(*[F.struct(_score(c).alias("score"), F.lit(k).alias("place"), F.lit(c).alias("category")) for k, c in enumerate(CATEGORIES)])
     order = lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).otherwise(x["place"] - y["place"])
     rows = profiles.withColumn("entries", F.array_sort(entries, order))
     total = F.aggregate("entries", F.lit(0.0), lambda s, x: s + x["score"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fathomry.functions.text import SPACE, STEM_END, STOP_WORDS
-from fathomry.operators.advisor import PATTERNS
+from fathomry.operators.advisor import CATALOGUE, PATTERNS, WEIGHTS
 from fathomry.sources.documents import HIDDEN
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -162,7 +162,27 @@ def _count(*names: str) -> str:
     return " + ".join(f"len(regexp_extract_all(t, '{p.replace(chr(39), chr(39) * 2)}'))" for n in names for p in PATTERNS[n])
 
 
-_SIGNALS = ["md_headings", "numbered_headings", "clause_words", "cross_refs", "timestamps", "email_headers", "quoted", "qa_pairs", "code_lines", "table_lines", "section_lines", "figures", "greetings"]
+_COUNTED = [n for n in PATTERNS if n not in ("speaker_turns", "code_fences", "ocr_breaks", "exotic_chars")]
+_SPACED = '[^ \\t\\n\\x0b\\f\\r]'
+# No look-ahead and no look-behind here: turns are all marked lines less those marked by a header, sentences end at a mark put there.
+_CLOCK = r"^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?"
+_TURNS = f"""len(list_filter(regexp_extract_all(t, '(?m){_CLOCK}[A-Z][\\w .''-]{{1,30}}:\\s+\\S'),
+    lambda x: NOT regexp_matches(x, '{_CLOCK}(?:From|To|Cc|Bcc|Subject|Sent|Date|Re|Q|A|Question|Answer)\\s*:')))"""
+_PROFILE = f"""d AS (SELECT doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM documents),
+sized AS (SELECT doc_id, t, len(regexp_extract_all(t, '{_SPACED}+')) AS words, len(list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: length(trim(x)) > 2)) AS sentences,
+  len(list_filter(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: regexp_matches(x, '{_SPACED}'))) AS paragraphs FROM d),
+profile AS (SELECT doc_id, length(t) AS chars, CAST(words AS BIGINT) AS words, CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_SPACED}'))) AS BIGINT) AS lines,
+  {', '.join(f'CAST({_count(n)} AS BIGINT) AS {n}' for n in _COUNTED)}, CAST({_TURNS} AS BIGINT) AS speaker_turns, ({_count('code_fences')}) / 2 AS code_fences, {_count('ocr_breaks')} + ({_count('exotic_chars')}) / 5 AS ocr_noise,
+  CASE WHEN sentences > 0 THEN words / sentences ELSE 0.0 END AS mean_sentence_words, words / greatest(paragraphs, 1) AS mean_paragraph_words FROM sized)"""
+_VALUES = lambda rows: "(VALUES " + ", ".join(f"({', '.join(map(repr, row))})" for row in rows) + ")"
+# Every signal of a document as a row, met with the rows of weights.
+_CATEGORIES = f"""{_PROFILE}, wide AS (SELECT *, md_headings + numbered_headings AS headings, CASE WHEN section_words > 0 THEN section_lines ELSE 0 END AS named_sections,
+  CAST(md_headings + numbered_headings = 0 AND mean_sentence_words > 35 AS INT) AS unbroken FROM profile),
+signals AS (UNPIVOT (SELECT doc_id, greatest(lines, 1) AS n, CAST(COLUMNS(* EXCLUDE (doc_id)) AS DOUBLE) FROM wide) ON COLUMNS(* EXCLUDE (doc_id, n)) INTO NAME signal VALUE x),
+summed AS (SELECT doc_id, category, min(place) AS place, greatest(sum(weight * least(1.0, CASE WHEN by_line THEN x / n * scale ELSE x / scale END) ORDER BY place), 0) AS score
+  FROM signals JOIN (SELECT CAST(place AS INT) AS place, category, CAST(weight AS DOUBLE) AS weight, signal, by_line, CAST(scale AS DOUBLE) AS scale FROM {_VALUES([(k, *row) for k, row in enumerate(WEIGHTS)])} v(place, category, weight, signal, by_line, scale)) USING (signal) GROUP BY doc_id, category),
+shared AS (SELECT *, score / coalesce(nullif(sum(score ORDER BY score DESC, place) OVER (PARTITION BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0), 1) AS share FROM summed),
+classified AS (SELECT doc_id, CASE WHEN score > 0.4 THEN category ELSE 'narrative' END AS category, score, share FROM shared QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) = 1)"""
 
 ORACLE_SQL = {
     "tokenize_stats": f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_words, CAST({_RAW_COUNT} AS BIGINT) AS n_raw, CAST(len({_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_stems('text')})) AS BIGINT) AS n_stems FROM documents",
@@ -296,9 +316,13 @@ cut AS ({_windows('whole', 400, 400)})
 SELECT c.doc_id, c.chunk_no AS pos, arg_max('s' || h.k, h.at) AS section, md5(any_value(c.text)) AS digest FROM cut c JOIN heads h ON c.doc_id = h.doc_id AND h.at <= c.start GROUP BY c.doc_id, c.chunk_no""",
     "stable_chunks": f"WITH {_stable('stable', 'documents')} SELECT doc_id, CAST(pos AS INT) AS pos, section, md5(text) AS digest FROM stable",
     "evidence_location": f"WITH {_MARKDOWN} SELECT doc_id, item_id AS query_id, instr(m.text, b.text) - 1 AS start, instr(m.text, b.text) - 1 + length(b.text) AS \"end\" FROM markdown m JOIN benchmark b ON b.text <> '' AND contains(m.text, b.text)",
-    "doc_signals": f"""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS t FROM documents)
-SELECT doc_id, length(t) AS chars, CAST(len(regexp_extract_all(t, '[^ \\t\\n\\x0b\\f\\r]+')) AS BIGINT) AS words, CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]'))) AS BIGINT) AS lines,
-  {', '.join(f'CAST({_count(n)} AS BIGINT) AS {n}' for n in _SIGNALS)} FROM d""",
+    "doc_signals": f"WITH {_PROFILE} SELECT * REPLACE (round(code_fences, 6) AS code_fences, round(ocr_noise, 6) AS ocr_noise, round(mean_sentence_words, 6) AS mean_sentence_words, round(mean_paragraph_words, 6) AS mean_paragraph_words) FROM profile",
+    "doc_category": f"WITH {_CATEGORIES} SELECT doc_id, category, round(score, 6) AS score, round(share, 6) AS share FROM classified JOIN profile USING (doc_id) WHERE chars >= 80",
+    "recommend": f"""WITH {_CATEGORIES}, recipes AS (SELECT category, strategy = 'qesov' AS unsupervised, CASE WHEN strategy = 'qesov' THEN 'sentence' ELSE strategy END AS strategy, CASE WHEN high > 360 THEN least(low, 216) ELSE low END AS low, least(high, 360) AS high,
+  high > 360 AS capped, overlap, resolve_refs, retrieval FROM {_VALUES(CATALOGUE)} v(category, strategy, low, high, overlap, heading_path, resolve_refs, retrieval))
+SELECT doc_id, category, strategy, CAST(low AS INT) AS low, CAST(high AS INT) AS high, CAST(least(overlap, round(high * 0.25)) AS INT) AS overlap, CAST(round((low + high) / 2) AS INT) AS lab_size, CAST(150 AS INT) AS budget_words, retrieval,
+  CAST(1 + CAST(capped AS INT) + CAST(unsupervised AS INT) + CAST(cross_refs >= 2 AND NOT resolve_refs AS INT) + CAST(md_headings + numbered_headings >= 3 AND strategy = 'sentence' AS INT) + CAST(quoted >= 3 AS INT) AS INT) AS n_notes
+FROM classified JOIN profile USING (doc_id) JOIN recipes USING (category)""",
     "hash_diff": f"""WITH base AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {_EDITED}, {_stable('sa', 'base')}, {_stable('sb', 'edited')},
 wa AS (SELECT doc_id, chunk_no AS pos, text FROM ({_windows('base', 400, 400)})), wb AS (SELECT doc_id, chunk_no AS pos, text FROM ({_windows('edited', 400, 400)})),
 {_diffed('ds', 'sa', 'sb')}, {_diffed('dw', 'wa', 'wb')} {_summary('dw', 'windows')} UNION ALL {_summary('ds', 'stable')}""",

@@ -366,8 +366,10 @@ def lab_metrics(spark, sf_dir):
 
 
 def doc_signals(spark, sf_dir):
-    names = ["chars", "words", "lines", "md_headings", "numbered_headings", "clause_words", "cross_refs", "timestamps", "email_headers", "quoted", "qa_pairs", "code_lines", "table_lines", "section_lines", "figures", "greetings"]
-    return advisor.profile(_docs(spark, sf_dir)).select("doc_id", *[F.col(n).cast("long").alias(n) for n in names])
+    means = ["code_fences", "ocr_noise", "mean_sentence_words", "mean_paragraph_words"]
+    out = advisor.profile(_docs(spark, sf_dir))
+    counts = [F.col(c).cast("long").alias(c) for c in out.columns if c not in ("doc_id", *means)]
+    return out.select("doc_id", *counts, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in means])
 
 
 def doc_category(spark, sf_dir):

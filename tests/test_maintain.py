@@ -77,6 +77,23 @@ def test_categories(spark, category):
     assert row.category == category and row.high <= 360 and sum(r.share for r in row.ranked) == pytest.approx(1.0)
 
 
+def test_signals_and_categories_by_sql(spark, tmp_path):
+    import duckdb
+
+    from fathomry.plans import oracle, queries
+    from tests.test_queries import canonical
+
+    odd = [None, "", "From: a\nSubject: b\n[10:15] Ann Lee: hello\nDate: x", "End. Of page\nPage 3\nbro-\nken \u4e2d\u6587 words", "Abstract\n\nMethods\nSee Table 3 et al. [1, 2]\nConclusion", "```\nx = 1;\n```\n# One\n## Two\n1.2 Three"]
+    texts = [*SAMPLES.values(), *odd, "a lone paragraph without any end " * 30]
+    rows = [(k, text, "en", "a") for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("doc_signals", "doc_category", "recommend"):
+        df, found = getattr(queries, name)(spark, str(tmp_path)), con.execute(oracle.ORACLE_SQL[name])
+        assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical([c[0] for c in found.description], found.fetchall())
+
+
 def test_profile_of_nothing(spark):
     row = advisor.classify(advisor.profile(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"))).first()
     assert row.category == "narrative" and row.words == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fathomry.functions.text import SPACE, STEM_END, STOP_WORDS
 from fathomry.operators.advisor import CATALOGUE, PATTERNS, WEIGHTS
+from fathomry.operators.search import PROMPT
 from fathomry.sources.documents import HIDDEN
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
@@ -184,6 +185,40 @@ summed AS (SELECT doc_id, category, min(place) AS place, greatest(sum(weight * l
 shared AS (SELECT *, score / coalesce(nullif(sum(score ORDER BY score DESC, place) OVER (PARTITION BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0), 1) AS share FROM summed),
 classified AS (SELECT doc_id, CASE WHEN score > 0.4 THEN category ELSE 'narrative' END AS category, score, share FROM shared QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) = 1)"""
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _grounded(rows: str, keys: str) -> str:
+    """CTEs a to e: of ``rows`` (keys, query, answer, context) both relevances, what is missing and the faithfulness."""
+    return f"""a AS (SELECT *, {_tokens('query')} AS q, list_distinct({_tokens('answer')}) AS terms, list_distinct({_numbers('answer')}) AS nums, {_numbers('context')} AS held,
+  list_transform(string_split_regex(answer, '[.!?]+'), lambda s: string_split(trim(regexp_replace(s, '\\s+', ' ', 'g')), ' ')) AS parts FROM {rows}),
+b AS (SELECT *, list_distinct(list_transform(list_filter(list_transform(flatten(list_transform(parts, lambda p: p[2:])), lambda x: regexp_replace(x, '[^a-zA-Z0-9_]', '', 'g')), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: lower(x))) AS named FROM a),
+c AS (SELECT *, list_filter((SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i) GROUP BY x ORDER BY i LIMIT 15)), lambda x: NOT list_contains(named, x)) AS keys
+  FROM (SELECT *, list_filter({_tokens('answer')}, lambda t: length(t) > 4) AS l FROM b)),
+d AS (SELECT *, list_transform(list_filter(nums, lambda n: len(list_filter(held, lambda h: contains('.' || h || '.', '.' || n || '.'))) = 0), lambda n: 'Number "' || n || '" not found in sources')
+    || list_transform(list_filter(named, lambda x: NOT contains(lower(context), x)), lambda x: 'Entity "' || x || '" not found in sources')
+    || list_transform(list_filter(coalesce(keys, []), lambda x: NOT contains(lower(context), x)), lambda x: 'Key term "' || x || '" not found in sources') AS missing, len(nums) + len(named) + len(coalesce(keys, [])) AS checks FROM c),
+e AS (SELECT {keys}, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambda t: contains(lower(context), t))) / len(q) END AS context_relevance,
+  CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambda t: contains(lower(answer), t))) / len(q) END AS answer_relevance, missing,
+  CASE WHEN answer = '' OR checks = 0 THEN 1.0 ELSE 1 - len(missing) / checks END AS faithfulness FROM d)"""
+
+
+_TURN_PAIRS = "w WHERE role = 'assistant' AND asker = 'user'"
+_CONTEXTS = f"""few AS ({_top('hybrid', 5)}), texts AS (
+  SELECT query_id, string_agg('[Source ' || rank || ': ' || coalesce(source, 'Document') || ' (Page 1)]' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS c FROM few JOIN documents ON chunk_id = doc_id GROUP BY query_id)"""
+# The window from each hit on that holds every counted token: tokens count while the product of their places is at most 100.
+_RERANKED = f"""pool AS (SELECT query_id, chunk_id, score, {_tokens('b.text')} AS tokens, regexp_split_to_array(regexp_replace(lower(coalesce(d.text, '')), '[^a-z0-9_{SPACE}]', '', 'g'), '[{SPACE}]+') AS words
+  FROM ({_top('hybrid', 15)}) JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
+wanted AS (SELECT query_id, chunk_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM pool), placed AS (SELECT query_id, chunk_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM pool),
+hits AS (SELECT query_id, chunk_id, i, pos FROM wanted JOIN placed USING (query_id, chunk_id, token)),
+present AS (SELECT *, product(n) OVER (PARTITION BY query_id, chunk_id ORDER BY i) AS combinations, count(*) OVER (PARTITION BY query_id, chunk_id) AS n_present FROM (SELECT query_id, chunk_id, i, count(*) AS n FROM hits GROUP BY ALL)),
+counted AS (SELECT query_id, chunk_id, i, pos, n_present FROM hits JOIN present USING (query_id, chunk_id, i) WHERE combinations <= 100),
+reach AS (SELECT a.query_id, a.chunk_id, a.pos, b.i, min(b.pos) AS next, any_value(b.n_present) AS n_present FROM (SELECT DISTINCT query_id, chunk_id, pos FROM counted) a JOIN counted b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos >= a.pos GROUP BY ALL),
+windows AS (SELECT query_id, chunk_id, count(*) AS size, max(next) - pos AS span, any_value(n_present) AS n_present FROM reach GROUP BY query_id, chunk_id, pos),
+nearest AS (SELECT query_id, chunk_id, any_value(n_present) AS n_present, min(span) AS span FROM (SELECT *, max(size) OVER (PARTITION BY query_id, chunk_id) AS most FROM windows) WHERE size = most AND most >= 2 GROUP BY ALL),
+closeness AS (SELECT query_id, chunk_id, 0.4 * score + 0.6 * CASE WHEN span IS NULL THEN 0 ELSE 0.6 * n_present / len(tokens) + 0.4 / (1 + span / 5) END AS score FROM pool LEFT JOIN nearest USING (query_id, chunk_id))"""
+
 ORACLE_SQL = {
     "tokenize_stats": f"SELECT doc_id, CAST({_WORDS} AS BIGINT) AS n_words, CAST({_RAW_COUNT} AS BIGINT) AS n_raw, CAST(len({_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({_stems('text')})) AS BIGINT) AS n_stems FROM documents",
     "normalize_text": f"SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, {_NORMAL} AS t FROM documents)",
@@ -206,9 +241,13 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_top('s', 30)})
     "hybrid_fusion": f"{_CANDIDATES} SELECT query_id, chunk_id, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score, round(keyword_part, 6) AS keyword_part, round(score, 6) AS score, rank FROM ({_top('hybrid', 15)})",
     "retrieval_modes": f"""{_CANDIDATES}, each AS (SELECT query_id, mode, chunk_id, w * vector_score + (1 - w) * keyword_part AS score FROM candidates, (VALUES ('hybrid', 0.5), ('keyword', 0.0), ('vector', 1.0)) m(mode, w))
 SELECT query_id, mode, rank, chunk_id, round(score, 6) AS score FROM ({_top('each', 15, 'query_id, mode')})""",
-    "context_assembly": f"""{_CANDIDATES}, few AS ({_top('hybrid', 5)}), texts AS (
-  SELECT query_id, string_agg('[Source ' || rank || ': ' || coalesce(source, 'Document') || ' (Page 1)]' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS c FROM few JOIN documents ON chunk_id = doc_id GROUP BY query_id)
-SELECT query_id, length(c) AS n_chars, md5(c) AS digest FROM texts""",
+    "rerank_proximity": f"{_CANDIDATES}, {_RERANKED} SELECT query_id, rank, chunk_id, round(score, 6) AS confidence FROM ({_top('closeness', 5)})",
+    "context_assembly": f"{_CANDIDATES}, {_CONTEXTS} SELECT query_id, length(c) AS n_chars, md5(c) AS digest FROM texts",
+    "answers": f"""{_CANDIDATES}, {_CONTEXTS}, pieces AS (SELECT query_id, b.text AS query, c AS context, {_tokens('b.text')} AS tokens, string_split(regexp_replace(c, '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1)) AS pieces FROM texts JOIN benchmark b ON item_id = query_id),
+replies AS (SELECT query_id, query, context, coalesce(list_filter(pieces, lambda s: len(list_filter(tokens, lambda t: contains(lower(s), t))) > 0)[1], pieces[1]) AS answer FROM pieces),
+{_grounded('replies', 'query_id, query, context, answer')}
+SELECT query_id, length({_quoted(PROMPT)} || 'Sources:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query) AS prompt_chars, answer, array_to_string(regexp_extract_all(context, '\\[(?:Source\\s*)?(\\d{{1,9}})\\]', 1), ',') AS cited,
+  round(faithfulness, 6) AS faithfulness, CAST(len(missing) > 0 AND faithfulness < 0.8 AS BOOLEAN) AS flagged FROM e""",
     "doc_delete_cascade": f"""WITH p AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents WHERE source IS DISTINCT FROM 'src0') GROUP BY ALL)
 SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, (SELECT count(*) FROM documents WHERE source IS DISTINCT FROM 'src0') AS n_chunks FROM p""",
     "store_stats": f"SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM ({_windows('documents', 500, 450)})",
@@ -268,17 +307,7 @@ UNION ALL SELECT DISTINCT query_id, 0, 1.0, 0.0 FROM judged""",
     "groundedness": f"""WITH w AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS answer, lag(role) OVER o AS asker, lag(text) OVER o AS query, concat_ws(chr(10), lag(text, 2) OVER o, lag(text) OVER o) AS context
   FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
-a AS (SELECT *, {_tokens('query')} AS q, list_distinct({_tokens('answer')}) AS terms, list_distinct({_numbers('answer')}) AS nums, {_numbers('context')} AS held,
-  list_transform(string_split_regex(answer, '[.!?]+'), lambda s: string_split(trim(regexp_replace(s, '\\s+', ' ', 'g')), ' ')) AS parts FROM w WHERE role = 'assistant' AND asker = 'user'),
-b AS (SELECT *, list_distinct(list_transform(list_filter(list_transform(flatten(list_transform(parts, lambda p: p[2:])), lambda x: regexp_replace(x, '[^a-zA-Z0-9_]', '', 'g')), lambda x: regexp_matches(x, '^[A-Z]')), lambda x: lower(x))) AS named FROM a),
-c AS (SELECT *, list_filter((SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i) GROUP BY x ORDER BY i LIMIT 15)), lambda x: NOT list_contains(named, x)) AS keys
-  FROM (SELECT *, list_filter({_tokens('answer')}, lambda t: length(t) > 4) AS l FROM b)),
-d AS (SELECT *, list_transform(list_filter(nums, lambda n: len(list_filter(held, lambda h: contains('.' || h || '.', '.' || n || '.'))) = 0), lambda n: 'Number "' || n || '" not found in sources')
-    || list_transform(list_filter(named, lambda x: NOT contains(lower(context), x)), lambda x: 'Entity "' || x || '" not found in sources')
-    || list_transform(list_filter(coalesce(keys, []), lambda x: NOT contains(lower(context), x)), lambda x: 'Key term "' || x || '" not found in sources') AS missing, len(nums) + len(named) + len(coalesce(keys, [])) AS checks FROM c),
-e AS (SELECT conv_id, turn, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambda t: contains(lower(context), t))) / len(q) END AS context_relevance,
-  CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambda t: contains(lower(answer), t))) / len(q) END AS answer_relevance, missing,
-  CASE WHEN answer = '' OR checks = 0 THEN 1.0 ELSE 1 - len(missing) / checks END AS faithfulness FROM d)
+{_grounded(_TURN_PAIRS, 'conv_id, turn')}
 SELECT conv_id, turn, round(context_relevance, 6) AS context_relevance, round(answer_relevance, 6) AS answer_relevance, round(faithfulness, 6) AS faithfulness, CAST(len(missing) AS BIGINT) AS n_mismatches, CAST(len(missing) > 0 AND faithfulness < 0.8 AS BOOLEAN) AS flagged FROM e""",
     "fixed_chunks": f"SELECT doc_id, chunk_no, start, \"end\", CAST({_WORDS} AS BIGINT) AS words, md5(text) AS digest FROM ({_windows('documents', 500, 450)})",
     "sentence_chunks": f"""WITH RECURSIVE

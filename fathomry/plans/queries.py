@@ -188,7 +188,8 @@ def answers(spark, sf_dir):
     found = search.context(_enriched(spark, sf_dir, search.fuse(_candidates(spark, sf_dir), k=search.TOP)))
     asked = found.join(_asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
     scored = metrics.groundedness(search.generate(asked))
-    return scored.select("query_id", F.length(search.prompt(F.col("query"), F.col("context"))).alias("prompt_chars"), "answer", T.citations(F.col("context")).alias("cited"), "faithfulness", "flagged")
+    cited = F.array_join(T.citations(F.col("context")).cast("array<string>"), ",").alias("cited")
+    return rounded(scored.select("query_id", F.length(search.prompt(F.col("query"), F.col("context"))).cast("long").alias("prompt_chars"), "answer", cited, "faithfulness", "flagged"), "faithfulness")
 
 
 def doc_delete_cascade(spark, sf_dir):

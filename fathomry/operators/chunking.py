@@ -437,7 +437,7 @@ def with_heading_path(chunks: DataFrame, parts: DataFrame) -> DataFrame:
     label = F.concat(F.lit("["), F.array_join(F.col("h")[0]["path"], " › "), F.when(F.size("h") > 1, F.concat(F.lit(" | "), F.array_join(others, " | "))).otherwise(F.lit("")), F.lit("]\n"))
     out = chunks.join(heads.select("doc_id", "strategy", "chunk_no", label.alias("label")), ["doc_id", "strategy", "chunk_no"], "left")
     text = F.concat(F.coalesce("label", F.lit("")), "text")
-    return out.withColumn("text", text).withColumn("words", word_count(text)).drop("label")
+    return out.withColumn("text", text).withColumn("words", word_count(F.col("text"))).drop("label")
 
 
 def preview(chunks: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fathomry.functions.text import SPACE, STEM_END, STOP_WORDS
 from fathomry.operators.advisor import CATALOGUE, PATTERNS, WEIGHTS
+from fathomry.operators.chunking import OVERLAP
 from fathomry.operators.search import PROMPT
 from fathomry.sources.documents import HIDDEN
 
@@ -207,6 +208,14 @@ e AS (SELECT {keys}, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_filter(q, lambd
 _TURN_PAIRS = "w WHERE role = 'assistant' AND asker = 'user'"
 _CONTEXTS = f"""few AS ({_top('hybrid', 5)}), texts AS (
   SELECT query_id, string_agg('[Source ' || rank || ': ' || coalesce(source, 'Document') || ' (Page 1)]' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS c FROM few JOIN documents ON chunk_id = doc_id GROUP BY query_id)"""
+# Provisions of markdown documents: an ancestor stands until a heading of its level or a higher one.
+_PROVISIONS = _UNITS.replace("FROM documents WHERE", "FROM markdown WHERE") + f""",
+named AS (SELECT doc_id, k, base, length(line) AS n, length(regexp_extract(line, '^#+')) AS level, regexp_replace(regexp_replace(line, '^#+[{_BLANK}]+', ''), '[{_BLANK}]+$', '') AS title FROM placed WHERE heading),
+heads AS (SELECT *, regexp_extract(title, '^\\d+(?:\\.\\d+)*') AS name, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM named),
+standing AS (SELECT a.doc_id, a.k, a.level, a.title, min(b.k) AS until FROM heads a LEFT JOIN heads b ON a.doc_id = b.doc_id AND b.k > a.k AND b.level <= a.level GROUP BY ALL),
+ancestors AS (SELECT h.doc_id, h.k, list(a.title ORDER BY a.k) AS path FROM heads h JOIN standing a ON a.doc_id = h.doc_id AND a.k < h.k AND a.level < h.level AND coalesce(a.until, h.k) >= h.k WHERE a.level > 1 GROUP BY ALL),
+provisions AS (SELECT doc_id, h.k, list_append(coalesce(any_value(path), []), any_value(title)) AS path, any_value(CASE WHEN name = '' THEN title ELSE trim(ltrim(substr(title, length(name) + 1), '. ')) END) AS title, any_value(base) AS start, greatest(any_value(base + n), coalesce(max(stop), 0)) AS stop
+  FROM heads h LEFT JOIN ancestors USING (doc_id, k) LEFT JOIN (SELECT doc_id, k AS line, stop FROM spans) s USING (doc_id) WHERE (level >= 3 OR contains(name, '.')) AND (line IS NULL OR line >= h.k AND line < coalesce(next, line + 1)) GROUP BY doc_id, h.k)"""
 # The window from each hit on that holds every counted token: tokens count while the product of their places is at most 100.
 _RERANKED = f"""pool AS (SELECT query_id, chunk_id, score, {_tokens('b.text')} AS tokens, regexp_split_to_array(regexp_replace(lower(coalesce(d.text, '')), '[^a-z0-9_{SPACE}]', '', 'g'), '[{SPACE}]+') AS words
   FROM ({_top('hybrid', 15)}) JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
@@ -251,6 +260,10 @@ SELECT query_id, length({_quoted(PROMPT)} || 'Sources:' || chr(10) || context ||
     "doc_delete_cascade": f"""WITH p AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents WHERE source IS DISTINCT FROM 'src0') GROUP BY ALL)
 SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, (SELECT count(*) FROM documents WHERE source IS DISTINCT FROM 'src0') AS n_chunks FROM p""",
     "store_stats": f"SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM ({_windows('documents', 500, 450)})",
+    "headed_chunks": f"""WITH {_MARKDOWN}, {_PROVISIONS}, windows AS ({_windows('markdown', 450, 450 - OVERLAP)}),
+labels AS (SELECT w.doc_id, chunk_no, '[' || array_to_string(first(path ORDER BY k), ' › ') || CASE WHEN count(*) > 1 THEN ' | ' || array_to_string(list(title ORDER BY k)[2:], ' | ') ELSE '' END || ']' || chr(10) AS label
+  FROM windows w JOIN provisions p ON p.doc_id = w.doc_id AND p.start < w."end" AND p.stop > w.start GROUP BY w.doc_id, chunk_no)
+SELECT doc_id, chunk_no, CAST({_WORDS} AS INT) AS words, md5(text) AS digest FROM (SELECT doc_id, chunk_no, coalesce(label, '') || text AS text FROM windows LEFT JOIN labels USING (doc_id, chunk_no))""",
     "evidence_location": f"""WITH {_MARKDOWN}
 SELECT doc_id, item_id AS query_id, CAST(instr(m.text, b.text) - 1 AS BIGINT) AS start, CAST(instr(m.text, b.text) - 1 + length(b.text) AS BIGINT) AS "end"
 FROM markdown m JOIN benchmark b ON b.text <> '' AND contains(m.text, b.text)""",
@@ -344,7 +357,6 @@ whole AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY k) AS text
 cut AS ({_windows('whole', 400, 400)})
 SELECT c.doc_id, c.chunk_no AS pos, arg_max('s' || h.k, h.at) AS section, md5(any_value(c.text)) AS digest FROM cut c JOIN heads h ON c.doc_id = h.doc_id AND h.at <= c.start GROUP BY c.doc_id, c.chunk_no""",
     "stable_chunks": f"WITH {_stable('stable', 'documents')} SELECT doc_id, CAST(pos AS INT) AS pos, section, md5(text) AS digest FROM stable",
-    "evidence_location": f"WITH {_MARKDOWN} SELECT doc_id, item_id AS query_id, instr(m.text, b.text) - 1 AS start, instr(m.text, b.text) - 1 + length(b.text) AS \"end\" FROM markdown m JOIN benchmark b ON b.text <> '' AND contains(m.text, b.text)",
     "doc_signals": f"WITH {_PROFILE} SELECT * REPLACE (round(code_fences, 6) AS code_fences, round(ocr_noise, 6) AS ocr_noise, round(mean_sentence_words, 6) AS mean_sentence_words, round(mean_paragraph_words, 6) AS mean_paragraph_words) FROM profile",
     "doc_category": f"WITH {_CATEGORIES} SELECT doc_id, category, round(score, 6) AS score, round(share, 6) AS share FROM classified JOIN profile USING (doc_id) WHERE chars >= 80",
     "recommend": f"""WITH {_CATEGORIES}, recipes AS (SELECT category, strategy = 'qesov' AS unsupervised, CASE WHEN strategy = 'qesov' THEN 'sentence' ELSE strategy END AS strategy, CASE WHEN high > 360 THEN least(low, 216) ELSE low END AS low, least(high, 360) AS high,

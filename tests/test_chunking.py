@@ -85,7 +85,7 @@ def test_frames(spark):
         d = docs.withColumn("questions", F.lit(None).cast("array<array<string>>"))
         assert {r.doc_id for r in C.lab_chunks(d, strategy).collect()} == {1}
     headed = C.with_heading_path(C.lab_chunks(docs, "fixed", 80), C.provisions(docs)).orderBy("chunk_no").collect()
-    assert any(r.text.startswith("[1 Stay › 1.1 Arrival") for r in headed)
+    assert any(r.text.startswith("[1 Stay › 1.1 Arrival") for r in headed) and all(r.words == len(r.text.split()) for r in headed)
     assert C.preview(C.lab_chunks(docs, "struct")).first().references == 2
 
 

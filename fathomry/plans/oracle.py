@@ -214,8 +214,22 @@ named AS (SELECT doc_id, k, base, length(line) AS n, length(regexp_extract(line,
 heads AS (SELECT *, regexp_extract(title, '^\\d+(?:\\.\\d+)*') AS name, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM named),
 standing AS (SELECT a.doc_id, a.k, a.level, a.title, min(b.k) AS until FROM heads a LEFT JOIN heads b ON a.doc_id = b.doc_id AND b.k > a.k AND b.level <= a.level GROUP BY ALL),
 ancestors AS (SELECT h.doc_id, h.k, list(a.title ORDER BY a.k) AS path FROM heads h JOIN standing a ON a.doc_id = h.doc_id AND a.k < h.k AND a.level < h.level AND coalesce(a.until, h.k) >= h.k WHERE a.level > 1 GROUP BY ALL),
-provisions AS (SELECT doc_id, h.k, list_append(coalesce(any_value(path), []), any_value(title)) AS path, any_value(CASE WHEN name = '' THEN title ELSE trim(ltrim(substr(title, length(name) + 1), '. ')) END) AS title, any_value(base) AS start, greatest(any_value(base + n), coalesce(max(stop), 0)) AS stop
+provisions AS (SELECT doc_id, h.k, any_value(name) AS name, any_value(next) AS next, list_append(coalesce(any_value(path), []), any_value(title)) AS path, any_value(CASE WHEN name = '' THEN title ELSE trim(ltrim(substr(title, length(name) + 1), '. ')) END) AS title, any_value(base) AS start, greatest(any_value(base + n), coalesce(max(stop), 0)) AS stop
   FROM heads h LEFT JOIN ancestors USING (doc_id, k) LEFT JOIN (SELECT doc_id, k AS line, stop FROM spans) s USING (doc_id) WHERE (level >= 3 OR contains(name, '.')) AND (line IS NULL OR line >= h.k AND line < coalesce(next, line + 1)) GROUP BY doc_id, h.k)"""
+# Chunks of one provision each, their sentences packed by span, followed by the provisions that they name.
+_STRUCTURE = f"""sentences AS (SELECT p.doc_id, p.k, row_number() OVER (PARTITION BY p.doc_id, p.k ORDER BY s.k, s.p) AS i, s.start, s.stop, substr(text, CAST(s.start AS BIGINT) + 1, CAST(s.stop - s.start AS BIGINT)) AS x
+  FROM provisions p JOIN spans s ON s.doc_id = p.doc_id AND s.k > p.k AND s.k < coalesce(p.next, s.k + 1) JOIN plain d ON d.doc_id = p.doc_id),
+beyond AS (SELECT a.doc_id, a.k, a.i, min(b.i) AS next FROM sentences a JOIN sentences b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i > a.i AND b.stop - a.start > 450 GROUP BY ALL),
+firsts AS (SELECT doc_id, k, CAST(1 AS BIGINT) AS i FROM provisions UNION ALL SELECT doc_id, k, b.next FROM firsts JOIN beyond b USING (doc_id, k, i)),
+parts AS (SELECT f.doc_id, f.k, f.i, string_agg(x, ' ' ORDER BY s.i) AS own, min(s.start) AS start, max(s.stop) AS stop FROM firsts f LEFT JOIN beyond b USING (doc_id, k, i)
+  LEFT JOIN sentences s ON s.doc_id = f.doc_id AND s.k = f.k AND s.i >= f.i AND s.i < coalesce(b.next, s.i + 1) GROUP BY ALL),
+bodies AS (SELECT doc_id, k, string_agg(x, ' ' ORDER BY i) AS body FROM (SELECT *, sum(length(x) + 1) OVER (PARTITION BY doc_id, k ORDER BY i) - 1 AS upto FROM sentences) WHERE i = 1 OR upto <= 320 GROUP BY ALL),
+cites AS (SELECT doc_id, k, i, unnest(found) AS name, generate_subscripts(found, 1) AS n FROM (SELECT p.doc_id, p.k, p.i,
+  regexp_extract_all(substr(text, CAST(CASE WHEN i = 1 THEN v.start ELSE p.start END AS BIGINT) + 1, CAST(coalesce(p.stop, v.stop) - CASE WHEN i = 1 THEN v.start ELSE p.start END AS BIGINT)), 'Section (\\d+(?:\\.\\d+)+)', 1) AS found FROM parts p JOIN provisions v USING (doc_id, k) JOIN plain USING (doc_id))),
+cited AS (SELECT c.doc_id, c.k, c.i, t.k AS target, min(n) AS n FROM cites c JOIN (SELECT doc_id, name, max(k) AS k FROM provisions GROUP BY ALL) t USING (doc_id, name) WHERE t.k <> c.k GROUP BY ALL),
+shown AS (SELECT c.doc_id, c.k, c.i, count(*) AS n_refs, string_agg(chr(10) || '↳ Section ' || name || ' ' || title || ': ' || coalesce(body, ''), '' ORDER BY n) AS shown
+  FROM cited c JOIN provisions v ON v.doc_id = c.doc_id AND v.k = target LEFT JOIN bodies b ON b.doc_id = c.doc_id AND b.k = target GROUP BY ALL),
+structure AS (SELECT doc_id, k, i, coalesce(n_refs, 0) AS n_refs, '[' || array_to_string(path, ' › ') || ']' || chr(10) || coalesce(own, '') || coalesce(shown, '') AS text FROM parts JOIN provisions USING (doc_id, k) LEFT JOIN shown USING (doc_id, k, i))"""
 # The window from each hit on that holds every counted token: tokens count while the product of their places is at most 100.
 _RERANKED = f"""pool AS (SELECT query_id, chunk_id, score, {_tokens('b.text')} AS tokens, regexp_split_to_array(regexp_replace(lower(coalesce(d.text, '')), '[^a-z0-9_{SPACE}]', '', 'g'), '[{SPACE}]+') AS words
   FROM ({_top('hybrid', 15)}) JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
@@ -260,6 +274,8 @@ SELECT query_id, length({_quoted(PROMPT)} || 'Sources:' || chr(10) || context ||
     "doc_delete_cascade": f"""WITH p AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents WHERE source IS DISTINCT FROM 'src0') GROUP BY ALL)
 SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, (SELECT count(*) FROM documents WHERE source IS DISTINCT FROM 'src0') AS n_chunks FROM p""",
     "store_stats": f"SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM ({_windows('documents', 500, 450)})",
+    "chunk_preview": f"""WITH RECURSIVE {_MARKDOWN}, {_PROVISIONS}, {_STRUCTURE} SELECT doc_id, count(*) AS n_chunks, CAST(round(avg(length(text))) AS BIGINT) AS mean_chars, CAST(max({_WORDS}) AS INT) AS most_words,
+  round(avg(CAST(regexp_matches(text, '^\\s*(?:#{{1,6}}\\s|\\[)') AS INT)), 6) AS heading_share, CAST(sum(n_refs) AS BIGINT) AS "references" FROM structure GROUP BY doc_id""",
     "headed_chunks": f"""WITH {_MARKDOWN}, {_PROVISIONS}, windows AS ({_windows('markdown', 450, 450 - OVERLAP)}),
 labels AS (SELECT w.doc_id, chunk_no, '[' || array_to_string(first(path ORDER BY k), ' › ') || CASE WHEN count(*) > 1 THEN ' | ' || array_to_string(list(title ORDER BY k)[2:], ' | ') ELSE '' END || ']' || chr(10) AS label
   FROM windows w JOIN provisions p ON p.doc_id = w.doc_id AND p.start < w."end" AND p.stop > w.start GROUP BY w.doc_id, chunk_no)

@@ -229,7 +229,7 @@ cites AS (SELECT doc_id, k, i, unnest(found) AS name, generate_subscripts(found,
 cited AS (SELECT c.doc_id, c.k, c.i, t.k AS target, min(n) AS n FROM cites c JOIN (SELECT doc_id, name, max(k) AS k FROM provisions GROUP BY ALL) t USING (doc_id, name) WHERE t.k <> c.k GROUP BY ALL),
 shown AS (SELECT c.doc_id, c.k, c.i, count(*) AS n_refs, string_agg(chr(10) || '↳ Section ' || name || ' ' || title || ': ' || coalesce(body, ''), '' ORDER BY n) AS shown
   FROM cited c JOIN provisions v ON v.doc_id = c.doc_id AND v.k = target LEFT JOIN bodies b ON b.doc_id = c.doc_id AND b.k = target GROUP BY ALL),
-structure AS (SELECT doc_id, k, i, coalesce(n_refs, 0) AS n_refs, '[' || array_to_string(path, ' › ') || ']' || chr(10) || coalesce(own, '') || coalesce(shown, '') AS text FROM parts JOIN provisions USING (doc_id, k) LEFT JOIN shown USING (doc_id, k, i))"""
+structure AS (SELECT doc_id, k, i, CASE WHEN i = 1 THEN v.start ELSE p.start END AS start, coalesce(p.stop, v.stop) AS stop, coalesce(n_refs, 0) AS n_refs, '[' || array_to_string(path, ' › ') || ']' || chr(10) || coalesce(own, '') || coalesce(shown, '') AS text FROM parts p JOIN provisions v USING (doc_id, k) LEFT JOIN shown USING (doc_id, k, i))"""
 # The window from each hit on that holds every counted token: tokens count while the product of their places is at most 100.
 _RERANKED = f"""pool AS (SELECT query_id, chunk_id, score, {_tokens('b.text')} AS tokens, regexp_split_to_array(regexp_replace(lower(coalesce(d.text, '')), '[^a-z0-9_{SPACE}]', '', 'g'), '[{SPACE}]+') AS words
   FROM ({_top('hybrid', 15)}) JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
@@ -276,6 +276,15 @@ SELECT count(*) AS n_postings, count(DISTINCT term) AS n_terms, (SELECT count(*)
     "store_stats": f"SELECT (SELECT count(*) FROM documents) AS n_documents, count(*) AS n_chunks, CAST(sum({_WORDS}) AS BIGINT) AS n_words FROM ({_windows('documents', 500, 450)})",
     "chunk_preview": f"""WITH RECURSIVE {_MARKDOWN}, {_PROVISIONS}, {_STRUCTURE} SELECT doc_id, count(*) AS n_chunks, CAST(round(avg(length(text))) AS BIGINT) AS mean_chars, CAST(max({_WORDS}) AS INT) AS most_words,
   round(avg(CAST(regexp_matches(text, '^\\s*(?:#{{1,6}}\\s|\\[)') AS INT)), 6) AS heading_share, CAST(sum(n_refs) AS BIGINT) AS "references" FROM structure GROUP BY doc_id""",
+    "chunk_graph_edges": f"""WITH RECURSIVE {_MARKDOWN}, {_PROVISIONS}, {_STRUCTURE}, chunks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) AS c FROM structure),
+targets AS (SELECT doc_id, name, arg_min(start, k) AS start, arg_min(stop, k) AS stop FROM provisions GROUP BY ALL),
+terms AS (SELECT doc_id, c, len(terms) AS n, unnest(terms) AS term FROM (SELECT doc_id, c, list_distinct({_stems('text')}) AS terms FROM chunks)),
+alike AS (SELECT x.doc_id, count(*) / (x.n + y.n - count(*)) AS j FROM terms x JOIN terms y ON x.doc_id = y.doc_id AND x.term = y.term AND x.c < y.c GROUP BY x.doc_id, x.c, y.c, x.n, y.n),
+edges AS (SELECT doc_id, 'adjacent' AS kind, 1.0::DOUBLE AS weight FROM chunks WHERE c > 1
+  UNION ALL SELECT a.doc_id, 'xref', 1.0 FROM cites JOIN chunks a USING (doc_id, k, i) JOIN targets t ON t.doc_id = a.doc_id AND t.name = cites.name JOIN chunks b ON b.doc_id = a.doc_id AND b.start < t.stop AND b.stop > t.start AND b.c <> a.c WHERE a.start >= t.stop OR a.stop <= t.start
+  UNION ALL SELECT x.doc_id, 'section', 0.5 FROM chunks x JOIN chunks y ON x.doc_id = y.doc_id AND x.k = y.k AND y.c > x.c + 1
+  UNION ALL SELECT doc_id, 'lexical', 2 * j FROM alike WHERE j >= 0.18)
+SELECT doc_id, kind, count(*) AS n_edges, round(sum(weight), 6) AS weight FROM edges GROUP BY ALL""",
     "headed_chunks": f"""WITH {_MARKDOWN}, {_PROVISIONS}, windows AS ({_windows('markdown', 450, 450 - OVERLAP)}),
 labels AS (SELECT w.doc_id, chunk_no, '[' || array_to_string(first(path ORDER BY k), ' › ') || CASE WHEN count(*) > 1 THEN ' | ' || array_to_string(list(title ORDER BY k)[2:], ' | ') ELSE '' END || ']' || chr(10) AS label
   FROM windows w JOIN provisions p ON p.doc_id = w.doc_id AND p.start < w."end" AND p.stop > w.start GROUP BY w.doc_id, chunk_no)

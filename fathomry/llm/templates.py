@@ -24,6 +24,8 @@ from fathomry.llm import jaccard
 from fathomry.llm.common import BROADCAST_ROWS, small_side, stored
 from fathomry.llm.components import components
 
+#: So many digests of recurring lines may be broadcast: 32 MB.
+BROADCAST_LINES = 4_000_000
 #: Leading tokens of a leaf.
 DEPTH = 3
 #: A task clusters so many distinct lines at once (twice as many when two chunks of a large leaf meet).
@@ -300,23 +302,37 @@ def _apart(texts: DataFrame, lines: DataFrame, hits: DataFrame, least_texts: int
     return often.unionAll(more).distinct()
 
 
-def _without():
+def _without(recurring=None):
+    """A function of texts (null: untouched) and of the lines found in each or, with ``recurring`` (a broadcast array of sorted digests), of texts alone.
+
+    Texts that lose no line come back as null, so that they don't cross to the JVM again.
+    """
+
+    def cut(text: str | None, gone: list[bool]) -> tuple[str | None, int]:
+        return ("\n".join(p for p, g in zip(text.split("\n"), gone, strict=True) if not g), sum(gone)) if any(gone) else (None, 0)
+
+    def keys_of(text: str | None) -> list[int]:
+        return [] if text is None else [key for key, _ in parsed_lines(text)]
+
     @F.pandas_udf("text string, lines_dropped long")
-    def run(text: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for x, own in zip(text, found, strict=True):
-            if x is None:
-                out.append((None, 0))
-                continue
-            own = set(own)
-            gone = [key in own for key, _ in parsed_lines(x)]
-            out.append(("\n".join(p for p, g in zip(x.split("\n"), gone, strict=True) if not g), sum(gone)))
+    def by_lists(text: pd.Series, found: pd.Series) -> pd.DataFrame:
+        out = [cut(x, [key in own for key in keys_of(x)]) for x, own in ((x, () if own is None else set(own)) for x, own in zip(text, found, strict=True))]
+        return pd.DataFrame(out, columns=["text", "lines_dropped"])
+
+    @F.pandas_udf("text string, lines_dropped long")
+    def by_digests(text: pd.Series) -> pd.DataFrame:
+        keys = [keys_of(x) for x in text]
+        ends = np.cumsum([0, *map(len, keys)])
+        own = np.fromiter((key for row in keys for key in row), np.int64, ends[-1])
+        known = recurring.value
+        gone = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+        out = [cut(x, gone[a:b].tolist()) for x, a, b in zip(text, ends, ends[1:], strict=False)]
         return pd.DataFrame(out, columns=["text", "lines_dropped"])
 
-    return run
+    return by_digests if recurring else by_lists
 
 
-def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, long_texts: int = LONG_TEXTS) -> DataFrame:
+def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, long_texts: int = LONG_TEXTS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` (text and any other columns) without the lines whose template recurs, and with ``lines_dropped`` (long).
 
     A template recurs if it occurs in at least ``least_texts`` different texts, one of LONG_TOKENS tokens or more in
@@ -326,6 +342,7 @@ def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, long_texts:
     Templates of fewer than LEAST_TOKENS tokens say too little and stay. Lines
     end at a newline; other lines, blank ones included, stay as they are, in order. Null and empty texts stay,
     repeated rows are treated alike, and a column lines_dropped is replaced. No row goes. An empty table gives an empty result.
+    The digests of up to ``broadcast_lines`` recurring lines are broadcast; more are joined by text, with the same results.
     """
     docs = docs.drop("lines_dropped")
     texts = docs.where("text <> ''").select(F.xxhash64("text").alias("text_key"), "text")
@@ -333,9 +350,15 @@ def drop_recurring(docs: DataFrame, least_texts: int = LEAST_TEXTS, long_texts:
     recurring = stored(recurring_lines(texts, lines, least_texts, long_texts), "recurring")
     hits = stored(lines.select("text_key", "line", "size").join(small_side(recurring), "line"), "hits")
     recurring = stored(_apart(texts, lines, hits, least_texts, long_texts), "recurring")
-    hit = lines.join(small_side(recurring), "line").groupBy("text_key").agg(F.collect_set("line").alias("_found"))
-    hit = stored(hit.withColumnRenamed("text_key", "_text_key"), "hit")
-    out = docs.join(small_side(hit, BROADCAST_ROWS // 10), F.xxhash64("text") == F.col("_text_key"), "left")
-    out = out.withColumn("_kept", _without()(F.when(F.col("_found").isNotNull(), F.col("text")), F.col("_found")))
-    text = F.when(F.col("_found").isNotNull(), F.col("_kept.text")).otherwise(F.col("text"))
+    if recurring.limit(broadcast_lines + 1).count() <= broadcast_lines:
+        # The digests go to the texts, so that no text moves.
+        digests = np.sort(recurring.toPandas()["line"].to_numpy(np.int64))
+        kept = _without(docs.sparkSession.sparkContext.broadcast(digests))(F.col("text"))
+        out = docs.withColumn("_kept", kept)
+    else:
+        hit = lines.join(recurring, "line").groupBy("text_key").agg(F.collect_set("line").alias("_found"))
+        hit = stored(hit.withColumnRenamed("text_key", "_text_key"), "hit")
+        out = docs.join(small_side(hit, BROADCAST_ROWS // 10), F.xxhash64("text") == F.col("_text_key"), "left")
+        out = out.withColumn("_kept", _without()(F.when(F.col("_found").isNotNull(), F.col("text")), F.col("_found")))
+    text = F.when(F.col("_kept.lines_dropped") > 0, F.col("_kept.text")).otherwise(F.col("text"))
     return out.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], F.coalesce("_kept.lines_dropped", F.lit(0)).cast("long").alias("lines_dropped"))

@@ -358,6 +358,20 @@ def test_line_dedup_of_large_leaves(spark, monkeypatch):
     assert dropped == set(range(len(rare + short)))
 
 
+def test_line_dedup_moves_no_text(spark, monkeypatch):
+    """Digests of recurring lines go to the texts, however many texts have one; more digests than may be broadcast give the same rows."""
+    rng = random.Random(9)
+    own = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(20))
+    texts = [f"{own()}\nAll rights are reserved here\n{own()}" for _ in range(40)] + [own(), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", 10)  # fewer than the texts that lose a line
+    out = templates.drop_recurring(docs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(k, t and t.replace("\nAll rights are reserved here", ""), int(k < 40)) for k, t in enumerate(texts)]
+    for found in (out, templates.drop_recurring(docs, broadcast_lines=0)):
+        assert sorted((r.doc_id, r.text, r.lines_dropped) for r in found.collect()) == want
+
+
 def test_parsed_lines_mark_tokens_with_digits():
     found = templates.parsed_lines("a0b \u0663x y\n0\n\nno digits here 7" + "x" * 1_000_000)
     assert [tokens for _, tokens in found] == [["<*>", "<*>", "y"], ["<*>"], [], ["no", "digits", "here", "<*>"]]

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomry.session import written
+from fathomry.session import row_count, written
 
 #: A word, as the contracts define it: a run of anything but these six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,11 +88,11 @@ def ranked(df: DataFrame, order: list[Column], group: str | None = None, rank: s
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows that it is small, else as it is, for a shuffled join.
+    """``df`` with a broadcast hint if it has few rows, else as it is, for a shuffled join.
 
-    ``df`` is counted, so it should be cheap to read (a stored table).
+    The rows of a stored table are known; anything else is counted, so it should be cheap to read.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if row_count(df, limit + 1) <= limit else df
 
 
 def word_count(text):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.llm.common import stored
+from fathomry.session import row_count
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("u is not null and v is not null and u <> v")
     e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    while not _stars(e):
+    while row_count(e, 1) and not _stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")

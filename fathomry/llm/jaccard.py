@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from fathomry.llm.common import small_side, stored, text_slices
 from fathomry.llm.components import components
+from fathomry.session import row_count
 
 WORDS = 5
 #: Similarity of 3 / 4.
@@ -187,9 +188,9 @@ def _enough(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> Da
     follows it is all that may be added. Where the ends can't be told apart, either bound may hold.
     """
     p, q = threshold
-    info = docs.select("doc_id", "n", "k", F.size("tokens").alias("probe_n"), "index_n", "probe_end", "index_end")
-    x = small_side(info.select(F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("k").alias("uk"), "probe_n", "probe_end"))
-    y = small_side(info.select(F.col("doc_id").alias("v"), F.col("n").alias("vn"), F.col("k").alias("vk"), "index_n", "index_end"))
+    info = small_side(docs).select("doc_id", "n", "k", F.size("tokens").alias("probe_n"), "index_n", "probe_end", "index_end")
+    x = info.select(F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("k").alias("uk"), "probe_n", "probe_end")
+    y = info.select(F.col("doc_id").alias("v"), F.col("n").alias("vn"), F.col("k").alias("vk"), "index_n", "index_end")
     after_u, after_v = f"{p + q} * (c + un - probe_n) >= {p} * (un + vn)", f"{p + q} * (c + vn - index_n) >= {p} * (un + vn)"
     fits = f"c >= least(uk, vk) and (probe_end <= index_end and {after_u} or index_end <= probe_end and {after_v})"
     return pairs.join(x, "u").join(y, "v").where(fits).select("u", "v")
@@ -202,6 +203,8 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int
     """
     p, q = threshold
     pairs = stored(pairs, "pairs")
+    if not rest and not row_count(pairs, 1):
+        return pairs
     ids = stored(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
     texts = docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text"))
@@ -264,26 +267,31 @@ def _gathered(stars: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFram
     set and what more than COMMON documents have besides; ``over`` is what the document shares with the core.
     Documents whose id has several texts (``several``) are left to the general join.
     """
-    rows = stars.where("3 * both >= un").join(small_side(several.select(F.col("doc_id").alias("u"))), "u", "left_anti").join(small_side(several.select(F.col("doc_id").alias("v"))), "v", "left_anti")
+    several = small_side(several)
+    rows = stars.where("3 * both >= un").join(several.select(F.col("doc_id").alias("u")), "u", "left_anti").join(several.select(F.col("doc_id").alias("v")), "v", "left_anti")
     company = stored(rows.groupBy("v").agg(F.count(F.lit(1)).alias("company")), "company")
     best = rows.join(small_side(company), "v").groupBy("u").agg(F.max_by(F.struct("v", "vn", "un", "both", "rest"), F.struct("company", "both", -F.col("v"))).alias("b")).select("u", "b.*")
     best = stored(best, "best")
     beside = best.select(F.col("v").alias("pivot"), F.explode("rest").alias("token"), F.col("u").alias("doc"))
     common = stored(beside.groupBy("pivot", "token").count().where(F.col("count") > COMMON).select("pivot", "token"), "common")
-    core = beside.join(small_side(common), ["pivot", "token"], "left_semi").groupBy(F.col("doc").alias("u")).agg(F.count(F.lit(1)).alias("more"))
+    common = small_side(common)
+    core = beside.join(common, ["pivot", "token"], "left_semi").groupBy(F.col("doc").alias("u")).agg(F.count(F.lit(1)).alias("more"))
     own = best.join(core, "u", "left").select(F.col("u").alias("doc_id"), F.col("v").alias("pivot"), F.col("un").alias("n"), F.expr("both + coalesce(more, 0)").alias("over"))
     alone = best.groupBy("v").agg(F.min("vn").alias("n")).join(best.select(F.col("u").alias("v")), "v", "left_anti")
     own = own.unionByName(alone.select(F.col("v").alias("doc_id"), F.col("v").alias("pivot"), "n", F.col("n").alias("over")))
-    return stored(own, "around"), stored(beside.join(small_side(common), ["pivot", "token"], "left_anti"), "beside")
+    return stored(own, "around"), stored(beside.join(common, ["pivot", "token"], "left_anti"), "beside")
 
 
 def _placed(around: DataFrame, first: DataFrame) -> DataFrame:
-    """``around`` with each document's component, and the component of its pivot (``main``), where a group holds several components."""
+    """``around`` with each document's component, and the component of its pivot (``main``), where a group holds several components.
+
+    It is stored, as its readers use it more than once.
+    """
     rows = around.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     main = rows.select(F.col("doc_id").alias("pivot"), F.col("component").alias("main"))
-    rows = rows.join(main, "pivot")
+    rows = stored(rows.join(main, "pivot"), "placed")
     split = rows.where("component <> main").select("pivot").distinct()
-    return rows.join(split, "pivot", "left_semi")
+    return stored(rows.join(split, "pivot", "left_semi"), "split")
 
 
 def _central(placed: DataFrame) -> DataFrame:
@@ -387,9 +395,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: tuple[int, i
 
     # What isn't in the component of its group's pivot, against the most central of the others.
     around, beside = _gathered(stars, several)
-    more = stored(_compared(_central(_placed(around, first)), docs, words, threshold), "links")
-    first = stored(components(first.toDF("u", "v").unionAll(more)), "components")
-    around = stored(_inner(_placed(around, first), threshold), "around")
+    placed = _placed(around, first)
+    if row_count(placed, 1):
+        more = stored(_compared(_central(placed), docs, words, threshold), "links")
+        first = stored(components(first.toDF("u", "v").unionAll(more)), "components")
+        placed = _placed(around, first)
+    around = stored(_inner(placed, threshold), "around")
 
     # Prefixes of one document of each node.
     reps = nodes.select(F.col("node").alias("doc_id")).distinct().join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))

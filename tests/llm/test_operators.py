@@ -13,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomry.llm import ann, bpe, chat, jaccard, langid, lengths, mixing, queries, templates, url_lists, vafile
+from fathomry.llm.common import small_side, stored
+from fathomry.session import row_count
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DIR = Path("/root/testdata/sf0.001")
@@ -372,6 +374,18 @@ def test_line_dedup_moves_no_text(spark, monkeypatch):
         assert sorted((r.doc_id, r.text, r.lines_dropped) for r in found.collect()) == want
 
 
+def test_stored_tables_know_their_rows(spark):
+    """The choice of a small side takes no job after the one that stores it; an empty or derived table is counted."""
+    table = stored(spark.range(7).withColumnRenamed("id", "k"), "seven")
+    calls = []
+    table.limit = lambda n: calls.append(n)
+    small_side(table)
+    assert row_count(table, 3) == 7 and not calls
+    assert row_count(stored(spark.range(7).where("id > 9"), "none"), 5) == 0 and row_count(spark.range(7), 5) == 5
+    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(small_side(table, 7)) and not hint(small_side(table, 6))
+
+
 def test_parsed_lines_mark_tokens_with_digits():
     found = templates.parsed_lines("a0b \u0663x y\n0\n\nno digits here 7" + "x" * 1_000_000)
     assert [tokens for _, tokens in found] == [["<*>", "<*>", "y"], ["<*>"], [], ["no", "digits", "here", "<*>"]]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from fathomry.llm import jaccard
+from fathomry.session import ARROW_ROWS
 
 DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DIR.exists(), reason="no tables here")
@@ -50,3 +51,15 @@ def test_language_id_drops_what_it_rejects(spark):
     docs = spark.createDataFrame([(k, t, x, None, 0) for k, (t, x) in enumerate([("aa bb aa cc", "x"), ("dd ee dd ff", "y"), ("aa cc bb", None), ("12 34", "x"), (None, "x")] * 20)], "doc_id long, text string, lang string, source string, n_chars long")
     out = P.language_id(spark, docs, "")
     assert {(r.text, r.lang) for r in out.collect()} == {("aa bb aa cc", "x"), ("dd ee dd ff", "y"), ("aa cc bb", "x")} and out.count() == 60
+
+
+def test_stages_bound_arrow_batches_when_called_by_themselves(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        for step, stage in P.STAGES:
+            spark.conf.set(name, "10000")  # Spark's default
+            stage(spark, docs, "")
+            assert spark.conf.get(name) == ARROW_ROWS, step
+    finally:
+        spark.conf.set(name, ARROW_ROWS)

@@ -196,6 +196,14 @@ def _enough(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> Da
     return pairs.join(x, "u").join(y, "v").where(fits).select("u", "v")
 
 
+def _sides(pairs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, u_text) and (v, v_text): the texts of each end of ``pairs`` alone, as few are pivots and texts are what a task holds most of."""
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(c).alias("doc_id"), F.lit(c == "u").alias("first")) for c in "uv"])).alias("end")).select("end.*")
+    ids = small_side(stored(ends.groupBy("doc_id").agg(F.max("first").alias("u"), F.max(~F.col("first")).alias("v")), "ids"))
+    left, right = (docs.select("doc_id", "text").join(ids.where(c).select("doc_id"), "doc_id", "left_semi").toDF(c, f"{c}_text") for c in "uv")
+    return left, right
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int, int], rest: bool = False) -> DataFrame:
     """The pairs (u, v) of doc_ids whose whole texts reach the threshold, by exact comparison of their sets.
 
@@ -205,10 +213,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, size: int, threshold: tuple[int
     pairs = stored(pairs, "pairs")
     if not rest and not row_count(pairs, 1):
         return pairs
-    ids = stored(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi")
-    left = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("u_text"))
-    right = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("v_text"))
+    left, right = _sides(pairs, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,18 +329,21 @@ def _candidates(tables: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     lists = stored(grouped.groupBy("token", "within", "pivot").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("docs")), "lists")
 
     # Single documents and lists: two documents in the one order of sizes, a document and a list, two lists.
-    heads = rows.where("pivot is null").select("token", "doc", "component", "n", "indexed", F.lit(False).alias("many"))
+    # Most of all rows are here, so they are narrow: size, whether indexed (2) and whether a list (1) are one number.
+    heads = rows.where("pivot is null").select("token", "doc", "component", F.expr("n * 4 + if(indexed, 2, 0)").alias("packed"))
     none = F.lit(None).cast("long")
-    both = heads.unionAll(lists.where("not within").select("token", "pivot", none, "docs", F.lit(True), F.lit(True)))
-    x, y = both.alias("x"), both.where("indexed").alias("y")
-    larger = "(x.n > y.n or x.n = y.n and x.doc > y.doc)"
-    pair = f"not x.many and not y.many and x.component <> y.component and {larger} and {q} * y.n >= {p} * x.n"
-    met = x.join(y, F.expr(f"x.token = y.token and if(y.many, not x.many or x.doc < y.doc, {pair})"))
-    met = met.select(F.col("x.token").alias("token"), *[F.col(f"x.{c}").alias(c) for c in ("doc", "component", "n", "indexed", "many")], F.col("y.doc").alias("other"), F.col("y.many").alias("list"), F.col("y.n").alias("docs"))
+    both = heads.unionAll(lists.where("not within").select("token", "pivot", none, F.expr("docs * 4 + 3")))
+    x, y = both.alias("x"), both.where("packed & 2 <> 0").alias("y")
+    n, m, many, listed = "shiftright(x.packed, 2)", "shiftright(y.packed, 2)", "x.packed & 1 <> 0", "y.packed & 1 <> 0"
+    pair = f"not ({many}) and not ({listed}) and x.component <> y.component and ({n} > {m} or {n} = {m} and x.doc > y.doc) and {q} * {m} >= {p} * {n}"
+    met = x.join(y, F.expr(f"x.token = y.token and if({listed}, not ({many}) or x.doc < y.doc, {pair})"))
+    own = [F.expr(f"x.{c}").alias(c) for c in ("token", "doc", "component")] + [F.expr(n).alias("n"), F.expr("x.packed & 2 <> 0").alias("indexed"), F.expr(many).alias("many")]
+    met = met.select(*own, F.col("y.doc").alias("other"), F.expr(listed).alias("list"), F.expr(m).alias("docs"))
     met = stored(met, "met")
     out = met.where("not list").select(F.col("doc").alias("u"), F.col("other").alias("v"))
 
     # A document, or each of the shorter of two lists, and each of a list.
+    larger = "(x.n > y.n or x.n = y.n and x.doc > y.doc)"
     lone = met.where("list and not many").select("token", "doc", "component", "n", "indexed", "other")
     lists_met = met.where("many").select("token", F.expr("if(n <= docs, doc, other)").alias("pivot"), F.expr("if(n <= docs, other, doc)").alias("other"))
     each = grouped.where("not within")

@@ -517,6 +517,16 @@ def test_jaccard(spark):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_jaccard_moves_texts_to_their_side_alone(spark):
+    """Many documents meet one pivot: its text isn't shuffled to the side of the many, nor theirs to its."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, "e f"), (3, None), (4, "g h"), (9, "i j"), (None, "k l")], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 9), (2, 9), (4, 9), (9, 4)], "u long, v long")
+    left, right = jaccard._sides(pairs, docs)
+    assert left.columns == ["u", "u_text"] and right.columns == ["v", "v_text"]
+    assert sorted(map(tuple, left.collect())) == [(1, "a b"), (2, "c d"), (2, "e f"), (4, "g h"), (9, "i j")]
+    assert sorted(map(tuple, right.collect())) == [(4, "g h"), (9, "i j")]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_of_edited_copies(spark, seed):
     """Groups in which copies reach the threshold with their original or with copies of equal edits, but seldom with each other; ids with several texts."""

@@ -47,6 +47,21 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark):
     assert found == sorted(f"Row(doc_id={k}, text={t!r})" for k, t in [(2, text), (None, other), (7, None), (7, None), (8, " "), (2, other + " x y z")])
 
 
+def test_near_duplicates_go_without_a_shuffle_of_texts(spark, monkeypatch):
+    """The few ids that go are sent to the documents."""
+    plans, keep = {}, P.stored
+    monkeypatch.setattr(P, "stored", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and keep(df, name))
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        docs = spark.createDataFrame([(k, "one two three four five six", None, None, 0) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert P.near_duplicates(spark, docs, "").count() == 1
+    finally:
+        spark.conf.set(name, before)
+    assert "LeftAnti" in plans["left"] and "rightHint=(strategy=broadcast)" in plans["left"]
+
+
 def test_language_id_drops_what_it_rejects(spark):
     docs = spark.createDataFrame([(k, t, x, None, 0) for k, (t, x) in enumerate([("aa bb aa cc", "x"), ("dd ee dd ff", "y"), ("aa cc bb", None), ("12 34", "x"), (None, "x")] * 20)], "doc_id long, text string, lang string, source string, n_chars long")
     out = P.language_id(spark, docs, "")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fathomry.functions import text as T
 from fathomry.functions.vectors import hashed_rows, hashed_sparse
 from fathomry.operators import advisor, chunking, graph, index, locate, maintain, metrics, search, table_functions
+from fathomry.operators.common import checked_broadcast
 from fathomry.session import shared_folder, written
 from fathomry.sources import documents as sources
 from fathomry.sources.store import Store
@@ -138,7 +139,8 @@ def retrieval_modes(spark, sf_dir):
 
 
 def _enriched(spark, sf_dir, found: DataFrame) -> DataFrame:
-    docs = _docs(spark, sf_dir)
+    found = written(found, "found")
+    docs = _docs(spark, sf_dir).join(checked_broadcast(found.select(F.col("chunk_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(1).alias("page"), "text")
     return search.enrich(found, chunks, docs.select("doc_id", F.col("source").alias("name")))
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,18 @@ def test_bm25_by_blocks_equals_all_scores(spark, monkeypatch):
     assert index.bm25(built, asked.limit(0)).count() == 0 and index.bm25(index.build_index(rows.limit(0)), asked).count() == 0
 
 
+def test_blocks_are_written_and_read_a_few_at_once(spark, monkeypatch):
+    """A row group of all a task's blocks would be one batch of the reader."""
+    monkeypatch.setattr(index, "BLOCK_CHUNKS", 1)
+    rows = spark.createDataFrame([(k, f"word{k} common") for k in range(20)], "chunk_id long, text string").coalesce(1)
+    built = index.build_index(rows)
+    (file,) = built.blocks.inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert groups.num_rows == 20 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= index.BLOCKS_AT_ONCE
+    found = index.bm25(built, spark.createDataFrame([(1, "common word7")], "query_id long, text string"), 20).orderBy("rank").collect()
+    assert len(found) == 20 and found[0].chunk_id == 7
+
+
 def test_most_blocks_of_a_rare_and_common_query_are_skipped():
     import pyarrow as pa
 

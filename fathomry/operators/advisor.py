@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +50,25 @@ CATALOGUE = [
 CATEGORIES = [c[0] for c in CATALOGUE]
 
 
+#: What RE2 means by escapes that Java reads otherwise: boundaries of ASCII words, white space without the vertical tab.
+_ESCAPES = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "s": r"[\t\n\f\r ]", "S": r"[^\t\n\f\r ]"}
+#: Letters that RE2 takes for ASCII ones when case doesn't count.
+_FOLDED = {"s": "[s\u017f]", "S": "[s\u017f]", "k": "[k\u212a]", "K": "[k\u212a]"}
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern of RE2 for Java: only ``\\n`` ends a line, words and white space are ASCII, case as in RE2. Classes must hold no ``\\s``."""
+    folded = _FOLDED if re.match(r"\(\?[a-z]*i", pattern) else {}
+    return "(?d)" + re.sub(r"\\(.)|\(\?[a-z]+\)|[a-zA-Z]", lambda m: _ESCAPES.get(m[1], m[0]) if m[1] else folded.get(m[0], m[0]), pattern)
+
+
 def profile(docs: DataFrame) -> DataFrame:
     """doc_id and the signals of each text: pattern counts, sizes and means."""
     rows = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n").alias("t"))
     t = F.col("t")
-    count = lambda patterns: sum((F.regexp_count(t, F.lit(p)) for p in patterns[1:]), F.regexp_count(t, F.lit(patterns[0])))
-    sentences = F.size(F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.length(F.trim(s)) > 2))
-    paragraphs = F.size(F.filter(F.split(t, r"\n\s*\n"), lambda p: p.rlike(r"\S")))
+    count = lambda patterns: reduce(Column.__add__, [F.regexp_count(t, F.lit(java_pattern(p))) for p in patterns])
+    sentences = F.size(F.filter(F.split(t, java_pattern(r"(?<=[.!?])\s+")), lambda s: F.length(F.trim(s)) > 2))
+    paragraphs = F.size(F.filter(F.split(t, java_pattern(r"\n\s*\n")), lambda p: p.rlike(r"\S")))
     words = F.regexp_count(t, F.lit(r"\S+"))
     lines = F.size(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"\S")))
     out = rows.select("doc_id", "t", F.length(t).alias("chars"), words.alias("words"), lines.alias("lines"), sentences.alias("sentences"), paragraphs.alias("paragraphs"), *[count(p).alias(name) for name, p in PATTERNS.items()])

@@ -94,6 +94,22 @@ def test_signals_and_categories_by_sql(spark, tmp_path):
         assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical([c[0] for c in found.description], found.fetchall())
 
 
+def test_signals_of_odd_characters_by_sql(spark, tmp_path):
+    """Word boundaries beside letters beyond ASCII, ends of lines and white space that only Java knows, letters that fold to ASCII."""
+    import duckdb
+
+    from fathomry.plans import oracle, queries
+    from tests.test_queries import canonical
+
+    texts = ["Best\u00e9 Thanks\u4e2d", "x\u2028Dear y\u0085Hi z\rHello", "under\x0bSection 3\n\x0b\nTo:\x0bx", "\u017fee Section 2 RE\u017fULTS Than\u212as", "one.\x0btwo. three\n \x0b \nfour"]
+    rows = [(k, text, "en", "a") for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df, found = queries.doc_signals(spark, str(tmp_path)), con.execute(oracle.ORACLE_SQL["doc_signals"])
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical([c[0] for c in found.description], found.fetchall())
+
+
 def test_profile_of_nothing(spark):
     row = advisor.classify(advisor.profile(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"))).first()
     assert row.category == "narrative" and row.words == 0

@@ -230,13 +230,12 @@ cited AS (SELECT c.doc_id, c.k, c.i, t.k AS target, min(n) AS n FROM cites c JOI
 shown AS (SELECT c.doc_id, c.k, c.i, count(*) AS n_refs, string_agg(chr(10) || '↳ Section ' || name || ' ' || title || ': ' || coalesce(body, ''), '' ORDER BY n) AS shown
   FROM cited c JOIN provisions v ON v.doc_id = c.doc_id AND v.k = target LEFT JOIN bodies b ON b.doc_id = c.doc_id AND b.k = target GROUP BY ALL),
 structure AS (SELECT doc_id, k, i, CASE WHEN i = 1 THEN v.start ELSE p.start END AS start, coalesce(p.stop, v.stop) AS stop, coalesce(n_refs, 0) AS n_refs, '[' || array_to_string(path, ' › ') || ']' || chr(10) || coalesce(own, '') || coalesce(shown, '') AS text FROM parts p JOIN provisions v USING (doc_id, k) LEFT JOIN shown USING (doc_id, k, i))"""
-# The window from each hit on that holds every counted token: tokens count while the product of their places is at most 100.
+# The window from each hit on that holds every token of the query that the text has.
 _RERANKED = f"""pool AS (SELECT query_id, chunk_id, score, {_tokens('b.text')} AS tokens, regexp_split_to_array(regexp_replace(lower(coalesce(d.text, '')), '[^a-z0-9_{SPACE}]', '', 'g'), '[{SPACE}]+') AS words
   FROM ({_top('hybrid', 15)}) JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = chunk_id),
 wanted AS (SELECT query_id, chunk_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM pool), placed AS (SELECT query_id, chunk_id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM pool),
 hits AS (SELECT query_id, chunk_id, i, pos FROM wanted JOIN placed USING (query_id, chunk_id, token)),
-present AS (SELECT *, product(n) OVER (PARTITION BY query_id, chunk_id ORDER BY i) AS combinations, count(*) OVER (PARTITION BY query_id, chunk_id) AS n_present FROM (SELECT query_id, chunk_id, i, count(*) AS n FROM hits GROUP BY ALL)),
-counted AS (SELECT query_id, chunk_id, i, pos, n_present FROM hits JOIN present USING (query_id, chunk_id, i) WHERE combinations <= 100),
+counted AS (SELECT query_id, chunk_id, i, pos, n_present FROM hits JOIN (SELECT query_id, chunk_id, count(DISTINCT i) AS n_present FROM hits GROUP BY ALL) USING (query_id, chunk_id)),
 reach AS (SELECT a.query_id, a.chunk_id, a.pos, b.i, min(b.pos) AS next, any_value(b.n_present) AS n_present FROM (SELECT DISTINCT query_id, chunk_id, pos FROM counted) a JOIN counted b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.pos >= a.pos GROUP BY ALL),
 windows AS (SELECT query_id, chunk_id, count(*) AS size, max(next) - pos AS span, any_value(n_present) AS n_present FROM reach GROUP BY query_id, chunk_id, pos),
 nearest AS (SELECT query_id, chunk_id, any_value(n_present) AS n_present, min(span) AS span FROM (SELECT *, max(size) OVER (PARTITION BY query_id, chunk_id) AS most FROM windows) WHERE size = most AND most >= 2 GROUP BY ALL),

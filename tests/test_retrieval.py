@@ -43,6 +43,19 @@ def test_proximity():
     assert search._closeness(["red", "green"], ["red"] * 101 + ["green"]) == 0
 
 
+def test_proximity_counts_every_place():
+    from itertools import product
+
+    assert close(search._closeness(["red", "green"], ["red"] * 101 + ["green"]), 0.6 + 0.4 / 1.2)
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        words = [f"w{k}" for k in rng.integers(0, 6, 30)]
+        tokens = [f"w{k}" for k in rng.integers(0, 8, 4)]
+        present = [t for t in tokens if t in words]
+        spans = [max(c) - min(c) for c in product(*[[k for k, w in enumerate(words) if w == t] for t in present])]
+        assert close(search._closeness(tokens, words), 0.6 * len(present) / 4 + 0.4 / (1 + min(spans) / 5) if len(present) > 1 else 0)
+
+
 def test_rerank_and_context(spark):
     rows = [(1, "red car", 1, 1, "red red wine car", 0.2), (1, "red car", 2, 2, "a red car", 0.2)]
     found = spark.createDataFrame(rows, "query_id long, query string, chunk_id long, page int, text string, score double").withColumn("name", F.lit("n"))

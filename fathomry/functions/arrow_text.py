@@ -49,8 +49,8 @@ def _begins(word: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-def raw_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The tokens that aren't empty (ASCII, binary), the row of each, and ``token_count`` of each row."""
+def _plain_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, where white space and lower cases that are ASCII in part are ASCII, and the texts' ends."""
     texts = texts.fill_null("")
     data, ends = _bytes(texts)
     if len(data) and data.max() >= 128:
@@ -58,6 +58,26 @@ def raw_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         for letter, ascii_ in _LETTERS:
             texts = pc.replace_substring(texts, letter, ascii_)
         data, ends = _bytes(texts)
+    return data, ends
+
+
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """``word_count`` of each text."""
+    data, ends = _plain_bytes(texts)
+    return np.bincount(np.searchsorted(ends, _begins(_KIND[data] != _SPACE, ends), side="right") - 1, minlength=len(texts))
+
+
+def distinct_counts(lists: pa.Array) -> np.ndarray:
+    """How many different values each list of strings has."""
+    code = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    most = int(code.max(initial=0)) + 1
+    return np.bincount(np.unique(row * most + code) // most, minlength=len(lists))
+
+
+def raw_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The tokens that aren't empty (ASCII, binary), the row of each, and ``token_count`` of each row."""
+    data, ends = _plain_bytes(texts)
     kind = _KIND[_LOWER[data]]
     runs = np.bincount(np.searchsorted(ends, _begins(kind == _SPACE, ends), side="right") - 1, minlength=len(texts))
     kept = kind != _DROPPED

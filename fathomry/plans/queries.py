@@ -5,9 +5,12 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomry.functions import arrow_text
 from fathomry.functions import text as T
 from fathomry.functions.vectors import hashed_rows, hashed_sparse
 from fathomry.operators import advisor, chunking, graph, index, locate, maintain, metrics, search, table_functions
@@ -57,8 +60,17 @@ def markdown(docs: DataFrame) -> DataFrame:
 
 
 def tokenize_stats(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", T.tokenize(F.col("text")).alias("t"), T.word_count(F.col("text")).cast("long").alias("n_words"), T.token_count(F.col("text")).cast("long").alias("n_raw"))
-    return rows.select("doc_id", "n_words", "n_raw", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct(F.transform("t", T.stem))).cast("long").alias("n_stems"))
+    def run(batches):
+        for batch in batches:
+            done = 0
+            for texts in arrow_text.slices(batch.column("text")):
+                found, raw = arrow_text.terms(texts, stemmed=True)
+                counts = [arrow_text.word_counts(texts), raw, pc.list_value_length(found), arrow_text.distinct_counts(found)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(texts)), *[pa.array(x).cast(pa.int64()) for x in counts]], names=["doc_id", "n_words", "n_raw", "n_tokens", "n_stems"])
+                done += len(texts)
+
+    rows = _docs(spark, sf_dir).select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_raw long, n_tokens long, n_stems long")
 
 
 def normalize_text(spark, sf_dir):

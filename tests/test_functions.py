@@ -78,3 +78,14 @@ def test_sentences_as_the_pattern_has_them(spark):
     for r in rows:
         found = re.findall(r"[^.!?]+[.!?]+(?:\s|\Z)", texts[r.id]) or [texts[r.id]]
         assert list(r.s) == [x.strip() for x in found if x.strip()]
+
+
+def test_counts_of_arrow_batches_equal_the_columns(spark, tmp_path):
+    from fathomry.plans import queries
+
+    texts = [None, "", " ", "a", "\ufeffThe  cats\u3000catting cat \u0130x \u212aeys", "!! -- __ caf\u00e9 e\u0301", "\x0b\x1cword\x85other\xa0end ", "running runs ran runs " * 40]
+    spark.createDataFrame([(k, x, "en", "a") for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.tokenize_stats(spark, str(tmp_path))
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()  # folds over tokens are interpreted
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", T.word_count(F.col("text")), T.token_count(F.col("text")), F.size(T.tokenize(F.col("text"))), F.size(F.array_distinct(T.stems(F.col("text")))))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))

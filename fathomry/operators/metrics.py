@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +55,16 @@ def recall_of_expected(ranked: DataFrame, expected: DataFrame, k: int = 5) -> Da
     return each.agg(F.coalesce(F.avg(F.col("hit").cast("int")), F.lit(0.0)).alias("recall"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` or a function in it names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def token_coverage(query: Column, text: Column) -> Column:
     """Share of the query's tokens that occur in the text; 1 without tokens. Relevance of a context or an answer."""
-    tokens = tokenize(query)
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.when(F.size(tokens) == 0, F.lit(1.0)).otherwise(F.size(F.filter(tokens, lambda t: F.contains(low, t))) / F.greatest(F.size(tokens), F.lit(1)))
+    both = F.struct(tokenize(query).alias("tokens"), F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    share = lambda x: F.size(F.filter(x["tokens"], lambda t: F.contains(x["low"], t))) / F.greatest(F.size(x["tokens"]), F.lit(1))
+    return _let(both, lambda x: F.when(F.size(x["tokens"]) == 0, F.lit(1.0)).otherwise(share(x)))
 
 
 def numbers(answer: Column) -> Column:
@@ -73,29 +80,33 @@ def entities(answer: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(plain, lambda w: w.rlike("^[A-Z]")), F.lower))
 
 
-def faithfulness(answer: Column, context: Column) -> tuple[Column, Column]:
-    """(score, mismatches) of an answer against its context: its numbers, entities and first key terms are looked up."""
+def faithfulness(answer: Column, context: Column) -> Column:
+    """score and mismatches (a struct) of an answer against its context: its numbers, entities and first key terms are looked up."""
     answer, context = F.coalesce(answer, F.lit("")), F.coalesce(context, F.lit(""))
-    low = F.lower(context)
-    in_context = F.regexp_extract_all(context, F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0))
-    named = entities(answer)
     terms = F.slice(F.array_distinct(F.filter(tokenize(answer), lambda t: F.length(t) > LONG_TERM)), 1, KEY_TERMS)
-    terms = F.filter(terms, lambda t: ~F.array_contains(named, t))
     # A number may also stand inside a longer one, between its points.
-    whole = F.transform(in_context, lambda n: F.concat(F.lit("."), n, F.lit(".")))
-    has = lambda n: F.exists(whole, lambda x: F.contains(x, F.concat(F.lit("."), n, F.lit("."))))
+    whole = F.transform(F.regexp_extract_all(context, F.lit(r"\b\d+(?:\.\d+)?\b"), F.lit(0)), lambda n: F.concat(F.lit("."), n, F.lit(".")))
+    parts = F.struct(numbers(answer).alias("numbers"), entities(answer).alias("named"), terms.alias("terms"), F.lower(context).alias("low"), whole.alias("whole"))
     missing = lambda items, test, kind: F.transform(F.filter(items, lambda x: ~test(x)), lambda x: F.concat(F.lit(f'{kind} "'), x, F.lit('" not found in sources')))
-    has_text = lambda x: F.contains(low, x)
-    found = F.concat(missing(numbers(answer), has, "Number"), missing(named, has_text, "Entity"), missing(terms, has_text, "Key term"))
-    checks = F.size(numbers(answer)) + F.size(named) + F.size(terms)
     none = F.array().cast("array<string>")
-    mismatches = F.when(answer == "", none).when(context == "", F.array(F.lit("Entire context is empty"))).otherwise(found)
-    score = F.when(answer == "", F.lit(1.0)).when(context == "", F.lit(0.0)).when(checks == 0, F.lit(1.0)).otherwise(1 - F.size(found) / F.greatest(checks, F.lit(1)))
-    return score, mismatches
+
+    def looked_up(x: Column) -> Column:
+        own = F.filter(x["terms"], lambda t: ~F.array_contains(x["named"], t))
+        has = lambda n: F.exists(x["whole"], lambda w: F.contains(w, F.concat(F.lit("."), n, F.lit("."))))
+        has_text = lambda t: F.contains(x["low"], t)
+        found = F.concat(missing(x["numbers"], has, "Number"), missing(x["named"], has_text, "Entity"), missing(own, has_text, "Key term"))
+        return F.struct(found.alias("found"), (F.size(x["numbers"]) + F.size(x["named"]) + F.size(own)).alias("checks"))
+
+    def judged(x: Column) -> Column:
+        mismatches = F.when(answer == "", none).when(context == "", F.array(F.lit("Entire context is empty"))).otherwise(x["found"])
+        score = F.when(answer == "", F.lit(1.0)).when(context == "", F.lit(0.0)).when(x["checks"] == 0, F.lit(1.0)).otherwise(1 - F.size(x["found"]) / F.greatest(x["checks"], F.lit(1)))
+        return F.struct(score.alias("score"), mismatches.alias("mismatches"))
+
+    return _let(_let(parts, looked_up), judged)
 
 
 def groundedness(answers: DataFrame) -> DataFrame:
     """``answers`` (query, answer, context) with context_relevance, answer_relevance, faithfulness, mismatches, flagged."""
-    score, mismatches = faithfulness(F.col("answer"), F.col("context"))
-    out = answers.withColumns({"context_relevance": token_coverage(F.col("query"), F.col("context")), "answer_relevance": token_coverage(F.col("query"), F.col("answer")), "faithfulness": score, "mismatches": mismatches})
+    out = answers.withColumns({"context_relevance": token_coverage(F.col("query"), F.col("context")), "answer_relevance": token_coverage(F.col("query"), F.col("answer")), "_judged": faithfulness(F.col("answer"), F.col("context"))})
+    out = out.withColumns({"faithfulness": F.col("_judged.score"), "mismatches": F.col("_judged.mismatches")}).drop("_judged")
     return out.withColumn("flagged", (F.col("faithfulness") < LEAST_FAITHFUL) & (F.size("mismatches") > 0))

@@ -43,6 +43,13 @@ def test_proximity():
     assert search._closeness(["red", "green"], ["red"] * 101 + ["green"]) == 0
 
 
+def test_groundedness_computes_each_part_once(spark):
+    rows = spark.createDataFrame([("red car", "Ann Lee drove 3.5 miles. It was in Rome.", "red 13.5 Lee"), ("", "", None), ("x y", "9", "")], "query string, answer string, context string")
+    plan = metrics.groundedness(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2  # of the answer and of the context
+    assert plan.count("array_distinct") == 3  # numbers, entities, key terms
+
+
 def test_proximity_counts_every_place():
     from itertools import product
 

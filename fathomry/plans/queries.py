@@ -211,7 +211,9 @@ def doc_delete_cascade(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     left = index.without_documents(_index(spark, sf_dir), docs.where("source = 'src0'"), docs.select("doc_id", F.col("doc_id").alias("chunk_id")))
     sizes = left.lengths.agg(F.count(F.lit(1)).alias("n_chunks"))
-    return left.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.countDistinct("term").alias("n_terms")).join(F.broadcast(sizes))
+    postings = left.blocks.agg(F.coalesce(F.sum(F.get("ends", F.size("ends") - 1)), F.lit(0)).alias("n_postings"))
+    terms = left.blocks.select(F.explode("terms").alias("term")).agg(F.countDistinct("term").alias("n_terms"))
+    return postings.join(F.broadcast(terms)).join(F.broadcast(sizes))
 
 
 def store_stats(spark, sf_dir):

@@ -172,6 +172,20 @@ def test_dense_search_makes_no_row_for_each_pair(spark, monkeypatch):
         assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
 
 
+def test_deleted_chunks_leave_blocks_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_CHUNKS", 4)
+    monkeypatch.setattr(index, "DEAD_AT_ONCE", 3)
+    docs = spark.createDataFrame([(k, f"word{k % 5} common{k} all all" if k != 7 else "") for k in range(20)] + [(None, "without id")], "doc_id long, text string").coalesce(2)
+    gone = docs.where("doc_id % 3 = 0 or doc_id < 5")
+    left = index.without_documents(index.build_index(docs, key="doc_id"), gone, docs.select("doc_id", F.col("doc_id").alias("chunk_id")))
+    rest = docs.where("doc_id is null or not (doc_id % 3 = 0 or doc_id < 5)")
+    fresh = index.build_index(rest, key="doc_id")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(left.postings.select("term", "chunk_id", "tf")) == rows(fresh.postings.select("term", "chunk_id", "tf")) and rows(left.lengths) == rows(fresh.lengths)
+    asked = spark.createDataFrame([(1, "word1 all"), (2, "common13")], "query_id long, text string")
+    assert rows(index.bm25(left, asked)) == rows(index.bm25(fresh, asked))
+
+
 def test_blocks_are_written_and_read_a_few_at_once(spark, monkeypatch):
     """A row group of all a task's blocks would be one batch of the reader."""
     monkeypatch.setattr(index, "BLOCK_CHUNKS", 1)

@@ -153,6 +153,16 @@ def _store(spark, path, n=40, parts=8):
     return s, docs
 
 
+def test_postings_of_dealt_chunks_are_not_shuffled(spark, tmp_path):
+    from fathomry.sources import store
+
+    chunks = spark.createDataFrame([("a", 1, "red red car"), ("b", 2, "blue car"), ("a", 1, "red sky")], "chunk_id string, doc_id long, text string")
+    made = store.postings_by_document(store.Store(spark, str(tmp_path))._dealt(chunks, "doc_id", 4), "_part")
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # of the chunks
+    rows = sorted(map(tuple, made.drop("_part").collect()))
+    assert rows == sorted(map(tuple, store.postings_by_document(chunks).collect())) and ("red", "a", 1, 3) in rows
+
+
 def test_store_rewrites_touched_partitions_only(spark, tmp_path):
     s, docs = _store(spark, tmp_path)
     before = s.manifest()["tables"]
